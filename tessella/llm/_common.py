@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of words: space and the five ASCII controls TAB to CR.
@@ -62,6 +62,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     return marked.join(many, [key, "__salt"], "left").drop("__salt")
 
 
+#: Rows that one task numbers in gapless().
+CELL_ROWS = 50_000
+
+
+def gapless(rows: DataFrame, group: str, ids: list[str], rest: list[str], n_rows: int, n_groups: int) -> DataFrame:
+    """rows with a column rank, gapless from 0 in each group, in the order of a hash of ids.
+
+    A group is split into cells by that hash, so a large group is numbered by many tasks; the driver holds one count
+    per cell of about CELL_ROWS rows. rest breaks ties between rows with equal ids.
+    """
+    cells = max(1, -(-n_rows // (n_groups * CELL_ROWS)))
+    dealt = rows.withColumn("__hash", F.xxhash64(*ids)).withColumn("__cell", F.pmod("__hash", F.lit(cells)).cast("int"))
+    counts = dealt.groupBy(group, "__cell").count().toPandas().sort_values([group, "__cell"])
+    counts["first"] = counts.groupby(group)["count"].cumsum() - counts["count"]
+    kind = next(f.dataType.simpleString() for f in rows.schema if f.name == group)
+    offsets = rows.sparkSession.createDataFrame([(int(a), int(b), int(c)) for a, b, c in counts[[group, "__cell", "first"]].itertuples(index=False)], f"{group} {kind}, __cell int, __first long")
+    at = F.row_number().over(Window.partitionBy(group, "__cell").orderBy("__hash", *ids, *rest))
+    return dealt.withColumn("__at", at).join(F.broadcast(offsets), [group, "__cell"]).withColumn("rank", F.col("__first") + F.col("__at") - 1).drop("__hash", "__cell", "__at", "__first")
+
+
 def text_slices(texts: pa.Array, max_bytes: int = 4 << 20):
     """(first row, slice) pairs of an Arrow string array, each of about max_bytes or one row, to bound memory."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)

@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import materialise
+from tessella.llm._common import gapless, materialise
 
-#: Groups to a block, rows to a cell: what the driver holds of the corpus is one number for each of these many.
-BLOCK_GROUPS, MAX_BLOCK_BITS, CELL_ROWS = 4096, 18, 50_000
+#: Groups to a block; the driver holds one byte total for each block.
+BLOCK_GROUPS, MAX_BLOCK_BITS = 4096, 18
 
 
 class BlockedSizes:
@@ -145,13 +145,7 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     shard = F.lit(0)
     for k in cut_keys:
         shard = shard + (F.col("gkey") >= F.lit(bytearray(k))).cast("int")
-    cells = max(1, -(-n_rows // (n_shards * CELL_ROWS)))
-    placed = keys.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int").alias("cell"), "gkey")
-    counts = placed.groupBy("shard", "cell").count().toPandas().sort_values(["shard", "cell"])
-    counts["first"] = counts.groupby("shard")["count"].cumsum() - counts["count"]
-    spark = docs.sparkSession
-    offsets = spark.createDataFrame([(int(a), int(b), int(c)) for a, b, c in counts[["shard", "cell", "first"]].itertuples(index=False)], "shard int, cell int, first long")
-    numbered = placed.selectExpr("*", "row_number() over (partition by shard, cell order by xxhash64(doc_id), doc_id, gkey) - 1 as at")
-    return numbered.join(F.broadcast(offsets), ["shard", "cell"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    placed = keys.withColumn("shard", shard)
+    return gapless(placed, "shard", ["doc_id"], ["gkey"], n_rows, n_shards).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
