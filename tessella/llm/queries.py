@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm.chat_format import format_records, read_back
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.packing import pack
+from tessella.llm.pii import find_pii
 from tessella.llm.sharding import assign_shards
 
 
@@ -37,7 +38,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_exact_dedup, op5_chat_format, op8_packing)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"), redact=False).drop("redacted")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_exact_dedup, op5_chat_format, op8_packing, op10_pii)}
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
