@@ -132,3 +132,15 @@ def word_hashes(table: pa.Array) -> np.ndarray:
     import xxhash
 
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in table.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(table))
+
+
+#: At most so many labelled rows are used to fit a classifier, those with the smallest hash of their id.
+FIT_ROWS = 20_000
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held_out: tuple[int, int], fit_rows: int) -> DataFrame:
+    """doc_id, label and text of the labelled rows to fit on: fit_rows at most, so their ids may be broadcast."""
+    ids = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out[0])) != held_out[1]).where("label is not null")
+    ids = ids.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return text.join(F.broadcast(ids), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import quality, toxicity
 from tessella.llm.chat_format import format_records, read_back
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.packing import pack
@@ -20,6 +21,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def held_out(modulus: int, remainder: int):
+    """Whether a doc_id is kept from learning: crc32 of its text, modulus, remainder."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -34,6 +47,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -42,7 +62,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), redact=False).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_exact_dedup, op5_chat_format, op8_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op8_packing, op10_pii)}
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
