@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -155,12 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         parts = [total[k * width : (k + 1) * width].astype(np.float32).tobytes() for k in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
 
-    def add(key, batches):
-        total = np.zeros(width)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = np.zeros(width), 0
         for batch in batches:
+            part = batch.column(0)[0].as_py()
             for x in batch.column(1).to_pylist():
                 total += np.frombuffer(x, dtype=np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "sums"])
 
     got = text.mapInArrow(sums, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").toPandas().sort_values("part")
     raw = np.concatenate([np.zeros(0, dtype=np.float32), *(np.frombuffer(x, dtype=np.float32) for x in got["sums"])])
