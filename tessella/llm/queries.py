@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm import quality, toxicity
 from tessella.llm.chat_format import format_records, read_back
 from tessella.llm.exact_dedup import exact_dedup
+from tessella.llm.html_text import extract_text
 from tessella.llm.packing import pack
 from tessella.llm.pii import find_pii
 from tessella.llm.sharding import assign_shards
@@ -54,6 +55,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), redact=False).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op8_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op7_html_text, op8_packing, op10_pii)}
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
