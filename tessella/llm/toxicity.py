@@ -53,7 +53,6 @@ class Lexicons:
     word: np.ndarray
     beginning: np.ndarray
     features: np.ndarray
-    clean_words: int = 0
 
 
 def learn_lexicons(docs: list[np.ndarray], y: np.ndarray) -> Lexicons:
@@ -65,18 +64,19 @@ def learn_lexicons(docs: list[np.ndarray], y: np.ndarray) -> Lexicons:
     none = np.zeros(0, dtype=np.int64)
     if not len(docs) or not 0 < y.sum() < len(y):
         return Lexicons(none, none, none)
-    flat = np.concatenate(docs)
-    label = np.repeat(y, [len(d) for d in docs])
-    n = np.bincount(flat, minlength=DIMS * 2).astype(float)
-    pos = np.bincount(flat, weights=label, minlength=DIMS * 2)
-    base = y.mean()
-    seen = n > 0
-    share = np.clip(np.divide(pos, n, out=np.full(len(n), base), where=seen), 1e-9, 1 - 1e-9)
+    count, hits = np.zeros(2 * DIMS, dtype=np.int32), np.zeros(2 * DIMS, dtype=np.int32)
+    for d, label in zip(docs, y, strict=True):
+        count[d] += 1
+        if label:
+            hits[d] += 1
+    base, n_seen = y.mean(), int((count > 0).sum())
+    ids = np.flatnonzero(count >= 3)
+    n = count[ids].astype(float)
+    share = np.clip(hits[ids] / n, 1e-9, 1 - 1e-9)
     gain = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-    strong = seen & (gain > np.log(seen.sum() / 0.01)) & (share > max(0.6, 3 * base))
-    ids = np.flatnonzero(strong)
-    loose = np.flatnonzero(seen & (gain > 7) & ((share > base) | (gain > np.log(seen.sum() / 0.01))))
-    return Lexicons(ids[ids < DIMS], ids[ids >= DIMS], loose)
+    sure = gain > np.log(n_seen / 0.01)
+    strong = ids[sure & (share > max(0.6, 3 * base))]
+    return Lexicons(strong[strong < DIMS], strong[strong >= DIMS], ids[(gain > 7) & ((share > base) | sure)])
 
 
 def words_of(texts: pa.Array):
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32).tobytes() for x in out], pa.binary())], names=["doc_id", "label", "features"])
 
     got = train.mapInArrow(feature_rows, "doc_id long, label int, features binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    rows = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in got["features"]]
+    rows = [np.frombuffer(x, dtype=np.int32) for x in got["features"]]
     y = got["label"].to_numpy(dtype=float)
     lex = spark.sparkContext.broadcast(learn_lexicons(rows, y))
     taught = spark.sparkContext.broadcast(dict(zip(got["doc_id"].tolist(), got["label"].tolist(), strict=True)))
