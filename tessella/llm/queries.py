@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import quality, toxicity
 from tessella.llm.chat_format import format_records, read_back
+from tessella.llm.decontaminate import find_leaks
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html_text import extract_text
 from tessella.llm.packing import pack
@@ -63,11 +64,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), redact=False).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op7_html_text, op8_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op7_html_text, op8_packing, op9_decontaminate, op10_pii)}
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
