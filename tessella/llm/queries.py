@@ -10,6 +10,7 @@ from tessella.llm.chat_format import format_records, read_back
 from tessella.llm.decontaminate import find_leaks
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html_text import extract_text
+from tessella.llm.jaccard_join import jaccard_classes
 from tessella.llm.packing import pack
 from tessella.llm.pii import find_pii
 from tessella.llm.sharding import assign_shards
@@ -23,6 +24,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def held_out(modulus: int, remainder: int):
     """Whether a doc_id is kept from learning: crc32 of its text, modulus, remainder."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
@@ -72,11 +77,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), redact=False).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op7_html_text, op8_packing, op9_decontaminate, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op7_html_text, op8_packing, op9_decontaminate, op10_pii)}
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op2_jaccard_join": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM t),
+        e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+        SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, m.component_id
+        FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON s.doc_id = m.a""",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {NORM} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
