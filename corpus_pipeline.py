@@ -1,4 +1,54 @@
-STAGES = []
+"""A corpus pipeline: toxic documents go, then exact and near copies, then leaks of the benchmark; the rest is packed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import toxicity
+from tessella.llm._common import materialise, without_ids
+from tessella.llm.decontaminate import find_leaks
+from tessella.llm.exact_dedup import keep_distinct
+from tessella.llm.jaccard_join import jaccard_classes
+from tessella.llm.packing import pack
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on these documents and the labels, does not predict toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest doc_id."""
+    return keep_distinct(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document with the smallest doc_id."""
+    return without_ids(docs, "doc_id", jaccard_classes(docs).where("doc_id <> component_id").select("doc_id"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return without_ids(docs, "doc_id", find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+
+
+def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("decontaminate", drop_leaks), ("packing", pack_rest)]
+
+#: No SQL: label models, edit-distance search and optimal buckets are beyond it.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table, each stage's result written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialise(docs, name)
+    return docs

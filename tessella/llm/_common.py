@@ -62,6 +62,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     return marked.join(many, [key, "__salt"], "left").drop("__salt")
 
 
+def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in the one column of ids; rows with a null id stay.
+
+    A bitmap of hashed ids, 32 MB at most whatever the data, is broadcast; rows that it rules out pass by without a shuffle, and
+    only the rest, the rows to drop and a few more, are joined.
+    """
+    drop = materialise(ids.toDF("__drop").where("__drop is not null").distinct(), "drop")
+    n = drop.count()
+    bits = min(28, max(15, (max(n, 1) * 16 - 1).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << bits)) + 1
+    maps = drop.groupBy(F.bitmap_bucket_number(spot("__drop")).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot("__drop"))).alias("__bits"))
+    maps = materialise(maps, "drop-bits")
+    place = F.bitmap_bit_position(spot(id_col))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = docs.withColumn("__bucket", F.bitmap_bucket_number(spot(id_col))).join(F.broadcast(maps), "__bucket", "left")
+    marked = marked.withColumn("__hit", F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False)))
+    rest = marked.where("__hit").select(*docs.columns).join(drop, F.col(id_col).cast("string") == F.col("__drop").cast("string"), "left_anti")
+    return marked.where("not __hit").select(*docs.columns).unionByName(rest)
+
+
 #: Rows that one task numbers in gapless().
 CELL_ROWS = 50_000
 

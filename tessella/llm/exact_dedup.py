@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import ascii_lower, join_groups, materialise
+from tessella.llm._common import ascii_lower, join_groups, materialise, without_ids
 
 #: A chunk ends after a line break or a comma or full stop with a space, 512 characters on at the earliest, or at 4,096.
 CHUNK = r"(?s).{512,4096}?(?:\n|[.,] )|.{1,4096}"
@@ -59,6 +59,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() drops; ids must be unique, or repeated rows of one id are kept once."""
-    drop = exact_dedup(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    """docs without the rows that exact_dedup() drops. Ids are taken to be unique; rows with a null id stay."""
+    return without_ids(docs, id_col, exact_dedup(docs, id_col, text_col).where("not kept").select("doc_id"))
