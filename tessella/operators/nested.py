@@ -77,6 +77,15 @@ def records(at_position: dict[str, Column], key: str | None) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), record)).otherwise(F.array())
 
 
+def field_lists(structs: Column, field: str) -> Column:
+    """One field of each struct of a list."""
+    return F.transform(structs, lambda s: s[field])
+
+
+def with_dosage(samples: Column, dosage: int) -> Column:
+    return F.transform(samples, lambda s: F.struct(s.cast("string").alias("sample"), F.lit(dosage).cast("byte").alias("dosage")))
+
+
 def normalise(docs: DataFrame, primary_keys: dict[str, str] | None = None) -> DataFrame:
     """One row per position of each document.
 
@@ -99,7 +108,7 @@ def normalise(docs: DataFrame, primary_keys: dict[str, str] | None = None) -> Da
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     columns = [F.col(f"`{f}`") for f in found.get("", [])]
     for track in (t for t in found if t):
-        columns += [F.transform(F.col(f"`{track}`"), lambda r, f=f: r[f]).alias(f"{track}.{f}") for f in found[track]]
+        columns += [field_lists(F.col(f"`{track}`"), f).alias(f"{track}.{f}") for f in found[track]]
     return flat.select(*columns, F.concat_ws(":", *(part(c) for c in ("chrom", "pos", "inputRef", "alt"))).alias("locus"))
 
 
@@ -107,7 +116,7 @@ def melt_samples(rows: DataFrame) -> DataFrame:
     """One row per carrier: sample (string) and dosage (byte) instead of the three lists of samples; null samples and rows
     without carriers go. All three lists are exploded as one, in a single pass."""
     present = [(c, d) for c, d in CARRIERS if c in rows.columns]
-    pairs = [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda s, d=d: F.struct(s.cast("string").alias("sample"), F.lit(d).cast("byte").alias("dosage"))) for c, d in present]
+    pairs = [with_dosage(F.coalesce(F.col(c), F.array().cast("array<string>")), d) for c, d in present]
     rest = [F.col(f"`{c}`") for c in rows.columns if c not in dict(CARRIERS)]
     return rows.select(*rest, F.inline(F.filter(F.concat(*pairs), lambda p: p["sample"].isNotNull())))
 
@@ -146,7 +155,7 @@ def struct_of_arrays(df: DataFrame, column: str) -> DataFrame:
     """A list of structs to one list per field, named column.field."""
     fields = df.schema[column].dataType.elementType.fieldNames()
     rest = [F.col(f"`{c}`") for c in df.columns if c != column]
-    return df.select(*rest, *[F.transform(F.col(f"`{column}`"), lambda x, f=f: x[f]).alias(f"{column}.{f}") for f in fields])
+    return df.select(*rest, *[field_lists(F.col(f"`{column}`"), f).alias(f"{column}.{f}") for f in fields])
 
 
 def flatten_list(values: Column, depth: int) -> Column:
@@ -192,6 +201,24 @@ def check_options(fields: list[str] | None, exploded: str | None, structs_of_arr
         raise ValueError("explode_field and fields need structs_of_arrays")
 
 
+def include(docs: DataFrame, fields: list[str], melt: bool) -> DataFrame:
+    """docs with the identity fields, carriers if melting, and the fields asked for: what the scan has to read."""
+    wanted = [*IDENTITY, *(dict(CARRIERS) if melt else ()), *fields]
+
+    def keep(schema: T.StructType, at: str, ref: str) -> list[Column]:
+        out = []
+        for f in schema.fields:
+            name, path = f"{at}.{f.name}" if at else f.name, f"{ref}.`{f.name}`" if ref else f"`{f.name}`"
+            if isinstance(f.dataType, T.StructType):
+                inner = keep(f.dataType, name, path)
+                out += [F.struct(*inner).alias(f.name)] if inner else []
+            elif name in wanted:
+                out.append(F.col(path).alias(f.name))
+        return out
+
+    return docs.select(*keep(docs.schema, "", ""))
+
+
 def query_annotations(
     docs: DataFrame,
     query: str = "*",
@@ -201,11 +228,16 @@ def query_annotations(
     flatten: bool = True,
     primary_keys: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Documents that match a query string, as rows: filter, positions, carriers, exploded field, projection; one lazy plan."""
+    """Documents that match a query string, as rows: filter, positions, carriers, exploded field, projection; one lazy plan.
+
+    With fields, other ones are not read; a track whose key is not among them has one record per position.
+    """
     from tessella.operators.querystring import compile_query
 
     check_options(fields, exploded)
     found = docs.where(compile_query(query, docs.schema))
+    if fields is not None:
+        found = include(found, fields, melt)
     rows = normalise(found, primary_keys)
     if melt:
         rows = melt_samples(rows)
