@@ -74,12 +74,13 @@ def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << bits)) + 1
     maps = drop.groupBy(F.bitmap_bucket_number(spot("__drop")).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot("__drop"))).alias("__bits"))
     maps = materialise(maps, "drop-bits")
-    place = F.bitmap_bit_position(spot(id_col))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("string").alias("key"), spot(id_col).alias("spot"))
+    place = F.bitmap_bit_position("spot")
     byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = docs.withColumn("__bucket", F.bitmap_bucket_number(spot(id_col))).join(F.broadcast(maps), "__bucket", "left")
-    marked = marked.withColumn("__hit", F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False)))
-    rest = marked.where("__hit").select(*docs.columns).join(drop, F.col(id_col).cast("string") == F.col("__drop").cast("string"), "left_anti")
-    return marked.where("not __hit").select(*docs.columns).unionByName(rest)
+    hit = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    marked = rows.withColumn("__bucket", F.bitmap_bucket_number("spot")).join(F.broadcast(maps), "__bucket", "left").select("row", "key", hit.alias("hit"))
+    rest = marked.where("hit").join(drop, F.col("key") == F.col("__drop").cast("string"), "left_anti")
+    return marked.where("not hit").select("row.*").unionByName(rest.select("row.*"))
 
 
 #: Rows that one task numbers in gapless().

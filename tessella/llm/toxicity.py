@@ -150,7 +150,7 @@ class LabelModel:
                     table = table + 0.5
                     self.cond[c, k] = table / table.sum(axis=1, keepdims=True)
             new = self.posterior(patterns, known)
-            if np.abs(new - q).max() < 1e-6:
+            if np.abs(new - q).max(initial=0) < 1e-6:
                 break
             q = new
 
