@@ -62,7 +62,7 @@ def constrained_least_squares(a: np.ndarray, b: np.ndarray, floor: float) -> np.
     n = a.shape[1]
     for mask in range(1 << n):
         free = [k for k in range(n) if not mask >> k & 1]
-        x = np.full(n, floor)
+        x = np.full(n, float(floor))
         if free:
             x[free] = np.linalg.lstsq(a[:, free], b - a @ np.where(np.isin(range(n), free), 0.0, floor), rcond=None)[0]
         if (x >= floor - 1e-12).all() and (loss := np.linalg.norm(a @ x - b)) < value - 1e-15:

@@ -219,11 +219,11 @@ class Compiler:
         ref, kind = self.leaves[name.lower()]
         depth, element = _element(kind)
         value = F.col(ref)
-        if not depth:
-            return F.coalesce(test(value, element), F.lit(False))
+        if not depth:  # null means no match; only a negation has to tell, so the bare test can go down to the scan
+            return test(value, element)
         for _ in range(depth - 1):
             value = F.flatten(value)
-        return F.coalesce(F.exists(value, lambda v: F.coalesce(test(v, element), F.lit(False))), F.lit(False))
+        return F.exists(value, lambda v: test(v, element))
 
 
 def compile_query(query: str, schema: T.StructType, text_columns: list[str] | None = None) -> Column:

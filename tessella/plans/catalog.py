@@ -14,7 +14,7 @@ from tessella.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+MEASURES = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
 
 
 def query(sql: str | None = None):

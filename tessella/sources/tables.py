@@ -62,10 +62,10 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_vcf(df: DataFrame, path: str, comments: list[str] = ()) -> None:
-    """Tab-separated text, gzip-compressed, with a header line in each part file; comments go to their own part before them."""
-    if comments:
-        df.sparkSession.createDataFrame([(f"##{c}",) for c in comments], "value string").coalesce(1).write.mode("append").text(path)
-    df.write.mode("append").option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    """gzip-compressed text lines; comments and the line of column names are a part file of their own."""
+    head = [(f"##{c}",) for c in comments] + [("\t".join(df.columns),)]
+    df.sparkSession.createDataFrame(head, "value string").coalesce(1).write.mode("append").option("compression", "gzip").text(path)
+    df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(".")) for c in df.columns])).write.mode("append").option("compression", "gzip").text(path)
 
 
 def genotypes_long(vcf: DataFrame, samples: list[str]) -> DataFrame:
