@@ -199,3 +199,14 @@ def test_classifiers_and_samplers():
     low = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 30)) * 3
     noisy = low + rng.normal(size=(40, 30))
     assert np.linalg.norm(mx.optshrink(noisy, 2) - low) < np.linalg.norm(noisy - low)
+
+
+def test_models_go_to_parquet_and_back(spark, tmp_path):
+    from tessella.operators.persist import load_model, save_model
+
+    model = latent.FactorModel(np.arange(6.0).reshape(2, 3), np.ones(3), np.zeros(3))
+    save_model(spark, model, str(tmp_path / "m"))
+    back = load_model(spark, str(tmp_path / "m"), latent.FactorModel)
+    assert all(np.array_equal(getattr(back, k), getattr(model, k)) for k in ("w", "noise", "mean"))
+    with pytest.raises(ValueError):
+        load_model(spark, str(tmp_path / "m"), cv.Covariance)
