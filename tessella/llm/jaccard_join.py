@@ -24,8 +24,9 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 COUNTERS, SLICES = 1 << 19, 16
 #: Prefix entries that one task groups by shingle; bits per shingle of a bitmap; members of a leaf; children of a node.
 SLOT_ENTRIES, BITS, LEAF, FANOUT = 400_000, 2, 16, 8
-#: Node pairs examined at once.
-FRONTIER = 1 << 14
+#: Node pairs examined at once; shingles of the sets that one task compares; members of a block beyond which they are all taken for
+#: candidates of each other, without bitmaps, and left to the exact comparison.
+FRONTIER, TASK_SHINGLES, BLOCK_MEMBERS = 1 << 14, 8_000_000, 100_000
 
 
 def least_overlap(a, b):
@@ -300,8 +301,8 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _rank(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Sort key of shingles in the common order: frequency level, then a mix of the hash."""
-    return (level[(hashes >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (mix64(hashes) >> np.uint64(6))
+    """Sort key of shingles in the common order: frequency level (12 bits), then a mix of the hash."""
+    return (level[(hashes >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(52)) | (mix64(hashes) >> np.uint64(12))
 
 
 def _blocks(text: DataFrame, level: np.ndarray, n_slots: int) -> DataFrame:
@@ -413,8 +414,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = table.where("kind = 0")
     n_rows, total = (int(x or 0) for x in sets.agg(F.count("*"), F.sum("n")).first())
     counts = _sketch(table).astype(np.float64)
-    usual = counts.mean() + 8 * math.sqrt(counts.mean() + 1)
-    level = np.clip(np.ceil(np.log2(np.maximum(counts / usual, 1))), 0, 31).astype(np.uint8)
+    # Levels are fine steps of a counter's excess over the mean. What is shared by d documents stands d above the rest of its counter,
+    # so it takes a place behind most shingles that are not, long before d is sure to be told from noise.
+    level = np.clip((counts - counts.mean()) / math.sqrt(counts.mean() + 1) * 32 + 128, 0, 4095).astype(np.uint16)
     n_slots = max(8, -(-total // (4 * SLOT_ENTRIES)))
     blocks = materialise(_blocks(text, level, n_slots), "blocks")
 
@@ -449,11 +451,19 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out += [(int(digests[low + i]), int(digests[low + j])) for i, j in candidate_links(sizes[low:high], maps[low:high])]
         yield _batch([[x for x, _ in out], [y for _, y in out]], [pa.int64()] * 2, ["a", "b"])
 
-    listed = blocks.mapInArrow(members, "block long, digest long, n long")
+    def stars(batches):
+        for batch in batches:
+            digests = [np.frombuffer(d, dtype=np.int64) for d in batch.column(1).to_pylist()]
+            none = [np.zeros(0, dtype=np.int64)]
+            yield _batch([np.concatenate(none + [np.full(len(d), d.min()) for d in digests]), np.concatenate(none + digests)], [pa.int64()] * 2, ["a", "b"])
+
+    large = F.length("digests") > 8 * BLOCK_MEMBERS
+    listed = blocks.where(~large).mapInArrow(members, "block long, digest long, n long")
     maps = sets.where("n > 0").groupBy("digest").agg(F.first("data").alias("data"))
     links = listed.join(maps, "digest").repartition("block").sortWithinPartitions("block").mapInArrow(prune, "a long, b long")
+    links = links.unionByName(blocks.where(large).mapInArrow(stars, "a long, b long"))
     roots = _connected(links).selectExpr("member as digest", "root")
-    classes = _verified(text, roots)
+    classes = _verified(text, roots, sets.where("n > 0").groupBy("digest").agg(F.first("n").alias("n")))
 
     reps = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
     named = reps.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
@@ -464,9 +474,75 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
 
 
-def _verified(text: DataFrame, roots: DataFrame) -> DataFrame:
-    """digest, class (its smallest digest), class_size of all representatives that bitmaps could not tell apart, by their exact sets."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact classes of the sets of one group of rows (root, chunk, digest, data, ...); repeated digests count once."""
+    sets, key = {}, (0, 0)
+    for batch in batches:
+        key = (batch.column("root")[0].as_py(), batch.column("chunk")[0].as_py())
+        for k, x in zip(batch.column("digest").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            sets.setdefault(k, x)
+    keys = sorted(sets)
+    label = exact_classes([np.frombuffer(sets[k], dtype=np.uint64) for k in keys])
+    n = np.bincount(label, minlength=len(keys))[label]
+    yield _batch([keys, [keys[i] for i in label], n.astype(np.int64), [key[0]] * len(keys), [key[1]] * len(keys)], [pa.int64()] * 4 + [pa.int32()], ["digest", "class", "class_size", "root", "chunk"])
+
+
+COMPARED = "digest long, class long, class_size long, root long, chunk int"
+
+
+def _verified(text: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """digest, class (one of its digests), class_size of all representatives that bitmaps could not tell apart, by their exact sets.
+
+    A world (root) of more than TASK_SHINGLES shingles is dealt over chunks, which are compared each for itself; _merged()
+    then finds what links their classes.
+    """
+    roots = materialise(roots.join(sizes, "digest"), "worlds")
     n = roots.count()
+    worlds = roots.groupBy("root").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > TASK_SHINGLES).withColumn("chunks", F.ceil(F.col("shingles") / TASK_SHINGLES).cast("int"))
+    worlds = materialise(worlds, "large-worlds")
+    roots = roots.join(worlds, "root", "left").select("digest", "root", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    roots = roots.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+    sets = _sets(text, roots, n).join(roots, "digest")
+    if worlds.isEmpty():
+        return materialise(sets.groupBy("root", "chunk").applyInArrow(_compare, COMPARED), "classes").select("digest", "class", "class_size")
+    sets = materialise(sets.dropDuplicates(["digest"]), "sets")
+    first = materialise(sets.groupBy("root", "chunk").applyInArrow(_compare, COMPARED), "classes")
+    large = first.join(worlds, "root", "left_semi")
+    small = first.join(worlds, "root", "left_anti").select("digest", "class", "class_size")
+    return small.unionByName(_merged(sets.where("chunks > 1"), large.select("digest", "class", "root")))
+
+
+def _merged(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """digest, class, class_size of worlds that lie in chunks, from the classes of each chunk.
+
+    First one member of each class stands for it. Worlds that this leaves in several classes are compared by pairs of chunks, so no
+    link between any two members is missed; a world that is one dense class, like a mass of near copies, never gets there.
+    """
+    leaders = sets.join(classes.where(F.col("digest") == F.col("class")).select("digest"), "digest", "left_semi").withColumn("chunk", F.lit(0))
+    by_leader = leaders.groupBy("root").applyInArrow(_compare, COMPARED).select(F.col("digest").alias("class"), F.col("class").alias("label"))
+    labelled = materialise(classes.join(by_leader, "class").select("digest", "root", "label"), "labels")
+    unclear = labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("root")
+    rest = sets.join(unclear, "root", "left_semi").join(labelled.select("digest", "label"), "digest")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: k != F.col("chunk")))
+    pairs = rest.withColumn("other", other).select("root", "digest", "data", "label", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        labels = np.array(table.column("label").to_pylist(), dtype=np.int64)
+        found = exact_classes([np.frombuffer(x, dtype=np.uint64) for x in table.column("data").to_pylist()])
+        both = np.unique(np.stack([found, labels]), axis=1)
+        next_to = both[0, 1:] == both[0, :-1]
+        yield _batch([both[1, :-1][next_to], both[1, 1:][next_to]], [pa.int64()] * 2, ["a", "b"])
+
+    links = pairs.groupBy("root", "i", "j").applyInArrow(across, "a long, b long")
+    final = labelled.join(_connected(links).select(F.col("member").alias("label"), F.col("root").alias("to")), "label", "left").select("digest", F.coalesce("to", "label").alias("class"))
+    final = materialise(final, "classes")
+    return final.join(final.groupBy("class").agg(F.count("*").alias("class_size")), "class").select("digest", "class", "class_size")
+
+
+def _sets(text: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """digest, data (sorted shingle hashes) of the representatives in roots, and of a few more. A bitmap of their digests, 32 MB at most,
+    is broadcast, so the sets of other documents are not moved."""
     bits = min(28, max(20, math.ceil(math.log2(max(n, 1) * 16))))
     spot = F.expr(f"digest & {(1 << bits) - 1}L")
     found = roots.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toPandas()
@@ -479,27 +555,14 @@ def _verified(text: DataFrame, roots: DataFrame) -> DataFrame:
     def emit(batches):
         mask = np.uint64((1 << bits) - 1)
         for batch in batches:
-            keys, data = [], []
+            first = {}
             for _, offsets, hashes in shingle_sets(batch.column(0)):
                 digest = set_digests(offsets, hashes)
                 p = (digest & mask).astype(np.int64)
                 # bucket 1 holds positions 1 to 32768, so position p is bit p - 1; position 0 is in bucket 0
                 hit = (shared.value[np.where(p > 0, (p - 1) >> 3, 0)] >> ((p - 1) & 7).astype(np.uint8)) & 1
                 for i in np.flatnonzero((hit > 0) & (digest > 0) | (p == 0)):
-                    keys.append(int(digest[i : i + 1].view(np.int64)[0]))
-                    data.append(hashes[offsets[i] : offsets[i + 1]].tobytes())
-            first = {k: x for k, x in zip(keys, data, strict=True)}
+                    first[int(digest[i : i + 1].view(np.int64)[0])] = hashes[offsets[i] : offsets[i + 1]].tobytes()
             yield _batch([list(first), list(first.values())], [pa.int64(), pa.binary()], ["digest", "data"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = {}
-        for batch in batches:
-            for k, x in zip(batch.column("digest").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                sets.setdefault(k, x)
-        keys = sorted(sets)
-        label = exact_classes([np.frombuffer(sets[k], dtype=np.uint64) for k in keys])
-        n = np.bincount(label, minlength=len(keys))[label]
-        yield _batch([keys, [keys[i] for i in label], n.astype(np.int64)], [pa.int64()] * 3, ["digest", "class", "class_size"])
-
-    sets = text.select("text").mapInArrow(emit, "digest long, data binary").join(roots, "digest")
-    return materialise(sets.groupBy("root").applyInArrow(compare, "digest long, class long, class_size long"), "classes")
+    return text.select("text").mapInArrow(emit, "digest long, data binary")

@@ -62,6 +62,25 @@ def test_near_copies_chains_and_frequent_passages(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows)
 
 
+@pytest.mark.parametrize(("limit", "members"), [(300, 100_000), (2000, 3)])
+def test_large_worlds_in_chunks(spark, monkeypatch, limit, members):
+    """Worlds and blocks too large for a task: a mass of near copies, and a chain whose ends share nothing."""
+    monkeypatch.setattr(jj, "TASK_SHINGLES", limit)
+    monkeypatch.setattr(jj, "BLOCK_MEMBERS", members)
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base, chain, rows = [word() for _ in range(120)], [word() for _ in range(100)], []
+    for _ in range(30):
+        near = list(base)
+        near[rng.randrange(120)] = word()
+        rows.append(" ".join(near))
+        rows.append(" ".join(chain))
+        chain = chain[4:] + [word() for _ in range(4)]
+    rows = list(enumerate(rows))
+    got = jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows)
+
+
 def test_empty_table_null_and_repeated_ids(spark, empty):
     assert jj.jaccard_classes(empty).collect() == []
     rows = [(None, "a b c d e f"), (7, "A b c d e f"), (7, "a b c d e f"), (None, None), (3, "")]
