@@ -185,30 +185,27 @@ def search(offsets: np.ndarray, words: np.ndarray, index: ItemIndex, chunk: int
     """(text, item, edits, first word, end word) of the best match of each item in each text, in offsets of the text."""
     starts, sizes = windows(words, index)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    checked: set[tuple[int, int, int]] = set()
     for at in range(0, len(starts), chunk):
         s, n = starts[at : at + chunk], sizes[at : at + chunk]
         middle = np.clip(s + n // 2, 0, len(words) - 1)
         doc = np.searchsorted(offsets, middle, side="right") - 1
         low, high = np.maximum(s, offsets[doc]), np.minimum(s + n, offsets[doc + 1])
         keys = lsh_keys(words, low, high, n, index.n_keys)
-        place = np.searchsorted(index.keys, keys.ravel(), side="left")
-        for flat in np.flatnonzero((place < len(index.keys)) & (index.keys[np.minimum(place, len(index.keys) - 1)] == keys.ravel())):
-            w, p, key = flat // keys.shape[1], place[flat], keys.ravel()[flat]
-            while p < len(index.keys) and index.keys[p] == key:
-                item = int(index.key_items[p])
-                p += 1
-                k = int(index.limits[item])
-                d = int(doc[w])
-                if (d, item, int(s[w])) in checked:
-                    continue
-                checked.add((d, item, int(s[w])))
-                a, b = max(int(low[w]) - k, int(offsets[d])), min(int(high[w]) + k, int(offsets[d + 1]))
-                edits, end = best_match(index.words[index.offsets[item] : index.offsets[item + 1]], words[a:b])
-                if edits <= k:
-                    m = int(index.offsets[item + 1] - index.offsets[item])
-                    stop = a + end - int(offsets[d])
-                    best[d, item] = min(best.get((d, item), (1 << 30, 0, 0)), (edits, max(0, stop - m), stop))
+        left, right = (np.searchsorted(index.keys, keys.ravel(), side=side) for side in ("left", "right"))
+        hits = right - left
+        window = np.repeat(np.arange(keys.size) // keys.shape[1], hits)
+        place = np.repeat(left, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)
+        pairs = np.unique(window * len(index.ids) + index.key_items[place])
+        for w, item in zip((pairs // len(index.ids)).tolist(), (pairs % len(index.ids)).tolist(), strict=True):
+            d, k = int(doc[w]), int(index.limits[item])
+            if best.get((d, item), (1, 0, 0))[0] == 0:
+                continue
+            a, b = max(int(low[w]) - k, int(offsets[d])), min(int(high[w]) + k, int(offsets[d + 1]))
+            edits, end = best_match(index.words[index.offsets[item] : index.offsets[item + 1]], words[a:b])
+            if edits <= k:
+                m = int(index.offsets[item + 1] - index.offsets[item])
+                stop = a + end - int(offsets[d])
+                best[d, item] = min(best.get((d, item), (1 << 30, 0, 0)), (edits, max(0, stop - m), stop))
     return [(d, item, *found) for (d, item), found in sorted(best.items())]
 
 
