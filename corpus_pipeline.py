@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import toxicity
-from tessella.llm._common import materialise, without_ids
+from tessella.llm._common import bounded_batches, materialise, without_ids
 from tessella.llm.decontaminate import find_leaks
 from tessella.llm.exact_dedup import keep_distinct
 from tessella.llm.jaccard_join import jaccard_classes
@@ -15,6 +15,7 @@ from tessella.llm.packing import pack
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on these documents and the labels, does not predict toxic."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
@@ -26,11 +27,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document with the smallest doc_id."""
+    bounded_batches(spark)
     return without_ids(docs, "doc_id", jaccard_classes(docs).where("doc_id <> component_id").select("doc_id"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
+    bounded_batches(spark)
     return without_ids(docs, "doc_id", find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
 
 

@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     """
     hot = groups.where(F.col(size) > F.lit(max(n_rows // HOT_SHARE, 1000))).select(F.col(key).alias("__hot"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    marked = marked.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise((F.rand(7) * SALTS).cast("int"))).drop("__hot")
+    marked = marked.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SALTS)).cast("int"))).drop("__hot")
     many = groups.withColumn("__n", F.when(F.col(size) > F.lit(max(n_rows // HOT_SHARE, 1000)), SALTS).otherwise(1))
     many = many.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
     return marked.join(many, [key, "__salt"], "left").drop("__salt")
@@ -103,14 +104,22 @@ def gapless(rows: DataFrame, group: str, ids: list[str], rest: list[str], n_rows
     return dealt.withColumn("__at", at).join(F.broadcast(offsets), [group, "__cell"]).withColumn("rank", F.col("__first") + F.col("__at") - 1).drop("__hash", "__cell", "__at", "__first")
 
 
-def text_slices(texts: pa.Array, max_bytes: int = 4 << 20):
-    """(first row, slice) pairs of an Arrow string array, each of about max_bytes or one row, to bound memory."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,000 rows and 8 MB at most, for texts; called by the queries and the pipeline before they read."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def text_slices(texts: pa.Array, max_bytes: int = 3 << 20):
+    """(first row, slice) pairs of an Arrow string array, each of about max_bytes or one row, to bound memory; what Arrow's pool
+    holds unused goes back to the system in the end."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     at = 0
     while at < len(texts):
         n = max(1, int(np.searchsorted(np.cumsum(lengths[at : at + 20_000]), max_bytes)))
         yield at, texts.slice(at, n)
         at += n
+    pa.default_memory_pool().release_unused()
 
 
 def as_strings(column: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -149,10 +158,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(table: pa.Array) -> np.ndarray:
-    """A 64-bit hash of every distinct word."""
-    import xxhash
-
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in table.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(table))
+    """A 64-bit hash of every distinct word (SipHash with a fixed key, in C)."""
+    if not len(table):
+        return np.zeros(0, dtype=np.uint64)
+    return hash_array(table.to_numpy(zero_copy_only=False), categorize=False)
 
 
 #: At most so many labelled rows are used to fit a classifier, those with the smallest hash of their id.

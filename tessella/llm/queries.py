@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import quality, toxicity
+from tessella.llm._common import bounded_batches
 from tessella.llm.chat_format import format_records, read_back
 from tessella.llm.decontaminate import find_leaks
 from tessella.llm.exact_dedup import exact_dedup
@@ -17,6 +18,7 @@ from tessella.llm.sharding import assign_shards
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

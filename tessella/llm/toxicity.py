@@ -24,6 +24,7 @@ INSULTS = frozenset(
     "idiotes crétin imbécile connard connasse salaud salope ordure dégoûtant minable "
     "arschloch dummkopf trottel abschaum wertlos ekelhaft hurensohn schlampe vollidiot".split()
 )
+INSULT_SET = pa.array(sorted(INSULTS), pa.large_string())
 DIRECTED = re.compile(r"\b(?:you|your|you're|u|tu|eres|es|du bist|ihr seid|vous êtes|tu es)\b[^.!?\n]{0,24}")
 LEET = str.maketrans("013457@$", "oleastas")
 VOTERS = ("insult", "insults", "disguised", "directed", "learned_word", "learned_words", "learned_beginning", "dense", "shouting", "no_hit")
@@ -36,7 +37,8 @@ def table_features(table: pa.Array) -> tuple[np.ndarray, pa.Array]:
     size = np.asarray(pc.utf8_length(norm), dtype=np.int64)
     columns = [np.where(size > 0, (word_hashes(norm) % np.uint64(DIMS)).astype(np.int64), -1)]
     for n in PREFIXES:
-        salted = mix64(word_hashes(pc.utf8_slice_codeunits(norm, 0, n)) + np.uint64(n))
+        begin = pc.dictionary_encode(pc.utf8_slice_codeunits(norm, 0, n))
+        salted = mix64(word_hashes(begin.dictionary) + np.uint64(n))[np.asarray(begin.indices, dtype=np.int64)]
         columns.append(np.where(size > n, (salted % np.uint64(DIMS)).astype(np.int64), -1))
     return np.stack(columns, axis=1), norm
 
@@ -92,9 +94,10 @@ def votes(part: pa.Array, offsets, codes, feats, norm, table, lex: Lexicons) ->
     """The pattern of each text: bit k is set if voter k fires."""
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
-    words = norm.to_pylist()
-    insult = np.fromiter((w in INSULTS for w in words), dtype=bool, count=len(words))
-    hidden = np.fromiter((not hit and any(c in "013457@$" for c in w) and w.translate(LEET) in INSULTS for w, hit in zip(words, insult, strict=True)), dtype=bool, count=len(words))
+    insult = np.asarray(pc.is_in(norm, value_set=INSULT_SET))
+    hidden = np.zeros(len(norm), dtype=bool)
+    for i in np.flatnonzero(np.asarray(pc.match_substring_regex(norm, "[013457@$]")) & ~insult):
+        hidden[i] = norm[int(i)].as_py().translate(LEET) in INSULTS
     learned = np.isin(feats[:, 0], lex.word)
     begins = np.isin(feats[:, 1:], lex.beginning).any(axis=1)
     raw_upper = np.asarray(pc.utf8_is_upper(table)) & (np.asarray(pc.utf8_length(table)) > 2)
@@ -102,7 +105,7 @@ def votes(part: pa.Array, offsets, codes, feats, norm, table, lex: Lexicons) ->
 
     def distinct(flag):
         at = flag[codes]
-        return np.bincount(distinct_pairs(row[at], codes[at], len(words) + 1)[0], minlength=n)
+        return np.bincount(distinct_pairs(row[at], codes[at], len(norm) + 1)[0], minlength=n)
 
     n_insult, n_learned, n_begin = distinct(insult), distinct(learned), distinct(begins)
     tokens = np.bincount(row[(insult | learned | begins)[codes]], minlength=n)
@@ -201,6 +204,22 @@ def fit_linear(docs: list[np.ndarray], patterns: np.ndarray, target: np.ndarray,
     return theta[:width], theta[width:-1], float(theta[-1])
 
 
+def platt(z: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Slope and offset of z with which its logistic is the likeliest for labels y; (1, 0) without both labels."""
+    if not len(y) or not 0 < y.sum() < len(y):
+        return 1.0, 0.0
+    theta, design = np.array([1.0, 0.0]), np.stack([z, np.ones(len(z))], axis=1)
+    prior = np.array([1e-2, 1e-2])  # holds the slope where z tells all labels apart
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -500, 500)))
+        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(prior)
+        step = np.linalg.solve(hess, design.T @ (y - p) - prior * (theta - [1.0, 0.0]))
+        theta = theta + np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(theta[0]), float(theta[1])) if theta[0] > 0 else (1.0, 0.0)
+
+
 @dataclass
 class ToxicityModel:
     lex: Lexicons
@@ -213,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fits on docs; labels has doc_id and label (0, 1 or null). Rows of which crc32(doc_id) mod held_out[0] is held_out[1] teach nothing.
 
     Voters see every row of docs, so their accuracies and correlations come from the whole corpus; the driver gets at
-    most 3 * 2**10 counts and the features of fit_rows documents. Without labels the insult lexicon alone decides.
+    most 3 * 2**10 counts and the features of fit_rows documents. The classifier learns the label model's posteriors; its scores are then
+    calibrated on the labels of the fit rows. Without labels the insult lexicon alone decides.
     """
     spark = docs.sparkSession
     train = labelled_rows(docs, labels, id_col, text_col, held_out, fit_rows)
@@ -255,7 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows, pattern, y = [np.zeros(0, dtype=np.int64)] * N_PATTERNS, patterns, np.full(N_PATTERNS, -1.0)
     target = model.posterior(pattern, y.astype(np.int64))
     weights, vote_weights, bias = fit_linear(rows, pattern, target, lex.value.features)
-    return ToxicityModel(lex.value, weights, vote_weights, bias)
+    place = [np.searchsorted(lex.value.features, np.intersect1d(d, lex.value.features)) for d in rows]
+    z = np.array([weights[k].sum() for k in place]) + ((pattern[:, None] >> np.arange(len(VOTERS))) & 1) @ vote_weights + bias
+    slope, offset = platt(z[y >= 0], y[y >= 0])
+    return ToxicityModel(lex.value, weights * slope, vote_weights * slope, bias * slope + offset)
 
 
 def probabilities(texts: pa.Array, m: ToxicityModel) -> np.ndarray:
