@@ -165,9 +165,9 @@ def gene_peptide_mean(spark, sf_dir):
     return out.select("p_brand", *[F.round(c, 6).alias(c) for c in ("price", "size")])
 
 
-@query("SELECT l_suppkey, avg(l_quantity) FILTER (l_returnflag = 'A') AS A, avg(l_quantity) FILTER (l_returnflag = 'N') AS N, avg(l_quantity) FILTER (l_returnflag = 'R') AS R FROM lineitem GROUP BY l_suppkey")
+@query("SELECT l_suppkey, round(avg(l_quantity) FILTER (l_returnflag = 'A'), 6) AS A, round(avg(l_quantity) FILTER (l_returnflag = 'N'), 6) AS N, round(avg(l_quantity) FILTER (l_returnflag = 'R'), 6) AS R FROM lineitem GROUP BY l_suppkey")
 def samples_by_genes(spark, sf_dir):
-    long = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_quantity").alias("value"))
+    long = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("value"))
     return reshape.samples_by_genes(long, "l_returnflag", ["A", "N", "R"], "l_suppkey")
 
 
