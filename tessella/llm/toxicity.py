@@ -11,8 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import FIT_ROWS, as_strings, labelled_rows, mix64, split_words, text_slices, word_hashes
+from tessella.llm._common import as_strings, labelled_rows, mix64, split_words, text_slices, word_hashes
 
+#: At most so many labelled rows are used to fit; the driver holds the features of their documents, about 3 kB each.
+FIT_ROWS = 12_000
 #: Dimensions of hashed features; lengths of the word beginnings that are features beside whole words.
 DIMS, PREFIXES = 1 << 21, (4, 5, 6)
 TRIM = ".,;:!?()[]{}<>\"'#$%&*|=+-_/\\~`"
