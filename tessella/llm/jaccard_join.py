@@ -27,6 +27,8 @@ SLOT_ENTRIES, BITS, LEAF, FANOUT = 400_000, 2, 16, 8
 #: Node pairs examined at once; shingles of the sets that one task compares; members of a block beyond which they are all taken for
 #: candidates of each other, without bitmaps, and left to the exact comparison.
 FRONTIER, TASK_SHINGLES, BLOCK_MEMBERS = 1 << 14, 8_000_000, 100_000
+#: Documents of one batch (2,000 rows) with the same prefix shingle beyond which one of them stands for all in that shingle's block.
+BATCH_MEMBERS = 64
 
 
 def least_overlap(a, b):
@@ -305,9 +307,35 @@ def _rank(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
     return (level[(hashes >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(52)) | (mix64(hashes) >> np.uint64(12))
 
 
+def _thinned(tokens: np.ndarray, digests: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix entries of a batch, with a shingle that more than most of its documents have left to one of them.
+
+    A size of 0 marks what such an entry stands for: its block is linked whole, without bitmaps, and so are the documents of the batch that it
+    stands for, by entries under a key of their own. So a shingle has that many entries a batch at most, and no link is lost.
+    """
+    order = np.lexsort((digests, tokens))
+    tokens, digests, sizes = tokens[order], digests[order], sizes[order]
+    new = np.ones(len(tokens), dtype=bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (digests[1:] != digests[:-1])
+    tokens, digests, sizes = tokens[new], digests[new], sizes[new]
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
+    counts = np.diff(np.append(starts, len(tokens)))
+    full = counts > most
+    if not full.any():
+        return tokens, digests, sizes
+    inside = np.repeat(full, counts)
+    stars = np.unique(np.stack([np.repeat(digests[starts], counts)[inside], digests[inside]]), axis=1)
+    kept = ~inside
+    kept[starts[full]] = True
+    sizes = sizes.copy()
+    sizes[starts[full]] = 0
+    key = mix64(stars[0] + np.uint64(0x57A2))
+    return tuple(np.concatenate(x) for x in ((tokens[kept], key), (digests[kept], stars[1]), (sizes[kept], np.zeros(len(key), dtype=np.uint32))))
+
+
 def _blocks(text: DataFrame, level: np.ndarray, n_slots: int) -> DataFrame:
     """Distinct blocks of representatives that share a prefix shingle, as packed digests and sizes."""
-    shared = text.sparkSession.sparkContext.broadcast(level)
+    shared, most = text.sparkSession.sparkContext.broadcast(level), BATCH_MEMBERS
 
     def emit(batches):
         names, kinds = ["slot", "tokens", "digests", "sizes"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -328,6 +356,7 @@ def _blocks(text: DataFrame, level: np.ndarray, n_slots: int) -> DataFrame:
                 inside = place < (size - -(-NUMERATOR * size // DENOMINATOR) + 1)[doc]
                 parts.append((tokens[inside], digest[doc[inside]], size[doc[inside]].astype(np.uint32)))
             tokens, digests, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 3
+            tokens, digests, sizes = _thinned(tokens, digests, sizes.astype(np.uint32), most)
             slot = (mix64(tokens + np.uint64(77)) % np.uint64(n_slots)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             cuts = np.searchsorted(slot[order], np.arange(n_slots + 1))
@@ -346,14 +375,16 @@ def _blocks(text: DataFrame, level: np.ndarray, n_slots: int) -> DataFrame:
         new = np.ones(len(tokens), dtype=bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (digests[1:] != digests[:-1])
         tokens, digests, sizes = tokens[new], digests[new], sizes[new]
-        cut = np.ones(len(tokens), dtype=bool)  # a gap of sizes over 4 : 3 parts a block
-        cut[1:] = (tokens[1:] != tokens[:-1]) | (NUMERATOR * sizes[1:] > DENOMINATOR * sizes[:-1])
+        cut = np.ones(len(tokens), dtype=bool)  # a gap of sizes over 4 : 3 parts a block, unless it has an entry of size 0, which come first
+        cut[1:] = tokens[1:] != tokens[:-1]
+        whole = np.repeat(sizes[cut] == 0, np.diff(np.append(np.flatnonzero(cut), len(tokens)))) if len(tokens) else cut
+        cut[1:] |= ~whole[1:] & (NUMERATOR * sizes[1:] > DENOMINATOR * sizes[:-1])
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(tokens))
         many = np.flatnonzero(ends - starts > 1)
         seen, out = set(), ([], [], [])
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(digests), dtype=np.uint64)])
-        keys = mix64(sums[ends] - sums[starts]) if len(starts) else sums
+        keys = mix64(sums[ends] - sums[starts] + whole[starts]) if len(starts) else sums
         for b in many:
             key = int(keys[b])
             if key not in seen:
@@ -361,7 +392,7 @@ def _blocks(text: DataFrame, level: np.ndarray, n_slots: int) -> DataFrame:
                 rows = slice(starts[b], ends[b])
                 out[0].append(np.uint64(key).view(np.int64))
                 out[1].append(digests[rows].tobytes())
-                out[2].append(sizes[rows].astype(np.uint32).tobytes())
+                out[2].append(b"" if whole[starts[b]] else sizes[rows].astype(np.uint32).tobytes())
         yield _batch([pa.array(np.array(out[0], dtype=np.int64)), out[1], out[2]], [pa.int64(), pa.binary(), pa.binary()], ["block", "digests", "sizes"])
 
     packed = text.select("text").mapInArrow(emit, "slot int, tokens binary, digests binary, sizes binary")
@@ -457,7 +488,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             none = [np.zeros(0, dtype=np.int64)]
             yield _batch([np.concatenate(none + [np.full(len(d), d.min()) for d in digests]), np.concatenate(none + digests)], [pa.int64()] * 2, ["a", "b"])
 
-    large = F.length("digests") > 8 * BLOCK_MEMBERS
+    large = (F.length("digests") > 8 * BLOCK_MEMBERS) | (F.length("sizes") == 0)
     listed = blocks.where(~large).mapInArrow(members, "block long, digest long, n long")
     maps = sets.where("n > 0").groupBy("digest").agg(F.first("data").alias("data"))
     links = listed.join(maps, "digest").repartition("block").sortWithinPartitions("block").mapInArrow(prune, "a long, b long")

@@ -62,10 +62,11 @@ def test_near_copies_chains_and_frequent_passages(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows)
 
 
-@pytest.mark.parametrize(("limit", "members"), [(300, 100_000), (2000, 3)])
-def test_large_worlds_in_chunks(spark, monkeypatch, limit, members):
-    """Worlds and blocks too large for a task: a mass of near copies, and a chain whose ends share nothing."""
+@pytest.mark.parametrize(("limit", "members", "batch"), [(300, 100_000, 64), (2000, 3, 64), (10**6, 100_000, 3), (400, 100_000, 4)])
+def test_large_worlds_in_chunks(spark, monkeypatch, limit, members, batch):
+    """Worlds, blocks and shingles too large for a task: a mass of near copies, and a chain whose ends share nothing."""
     monkeypatch.setattr(jj, "TASK_SHINGLES", limit)
+    monkeypatch.setattr(jj, "BATCH_MEMBERS", batch)
     monkeypatch.setattr(jj, "BLOCK_MEMBERS", members)
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(3000)}"
@@ -76,11 +77,24 @@ def test_large_worlds_in_chunks(spark, monkeypatch, limit, members):
         rows.append(" ".join(near))
         rows.append(" ".join(chain))
         chain = chain[4:] + [word() for _ in range(4)]
+    rows += [" ".join(base[:n] + [word() for _ in range(30)]) for n in range(20, 120, 5)]
     rows = list(enumerate(rows))
     got = jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows)
 
 
+def test_thinned_entries_stay_connected():
+    rng = np.random.default_rng(0)
+    tokens, digests = rng.integers(1, 9, 4000).astype(np.uint64), rng.integers(1, 400, 4000).astype(np.uint64)
+    t, d, s = jj._thinned(tokens, digests, np.full(4000, 7, dtype=np.uint32), 64)
+    assert max(np.unique(t[s > 0], return_counts=True)[1], default=0) <= 64
+    near = jj.Classes(400)
+    for k in np.unique(t):
+        own = d[t == k].astype(int)
+        near.add(np.full(len(own), own[0]), own)
+    assert len({near.find(int(x)) for x in np.unique(digests)}) == 1
+
+
 def test_empty_table_null_and_repeated_ids(spark, empty):
     assert jj.jaccard_classes(empty).collect() == []
     rows = [(None, "a b c d e f"), (7, "A b c d e f"), (7, "a b c d e f"), (None, None), (3, "")]
