@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import toxicity
-from tessella.llm._common import bounded_batches, materialise, without_ids
+from tessella.llm._common import bounded_batches, materialise, numbered, without_ids
 from tessella.llm.decontaminate import find_leaks
 from tessella.llm.exact_dedup import keep_distinct
 from tessella.llm.jaccard_join import jaccard_classes
@@ -21,20 +21,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
+    """Of equal texts, the row with the largest doc_id; rows are told apart even where doc_ids repeat or are null."""
     return keep_distinct(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest doc_id."""
+    """Of each class of near copies, one row with the smallest doc_id (null only if all are); decided by row, as in drop_copies()."""
     bounded_batches(spark)
-    return without_ids(docs, "doc_id", jaccard_classes(docs).where("doc_id <> component_id").select("doc_id"))
+    rows, row = numbered(docs)
+    others = materialise(jaccard_classes(rows, row).where("doc_id <> component_id").select(F.col("doc_id").alias("uid"), "component_id"), "near-copies")
+    members = others.union(others.select("component_id", "component_id").distinct())
+    ids = rows.select(F.col(row).alias("uid"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank"))
+    kept = members.join(ids, "uid").groupBy("component_id").agg(F.min("rank").getField(row).alias("uid"))
+    return without_ids(rows, row, members.join(kept, "uid", "left_anti").select("uid")).drop(row)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Rows that hold no item of the benchmark, decided by row, as in drop_copies()."""
     bounded_batches(spark)
-    return without_ids(docs, "doc_id", find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+    rows, row = numbered(docs)
+    return without_ids(rows, row, find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).select("doc_id")).drop(row)
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

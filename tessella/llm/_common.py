@@ -63,6 +63,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
     return marked.join(many, [key, "__salt"], "left").drop("__salt")
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written once with a further column of row numbers, and that column's name: rows that repeat, or share an id, can be told apart."""
+    name = "__row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """docs without the rows whose id is in the one column of ids; rows with a null id stay.
 

@@ -152,3 +152,22 @@ def test_pipeline_stages_against_brute_force(spark, folder):
     for r in packed:
         length[r.doc_id] = length.get(r.doc_id, 0) + r.length
     assert length == {i: len((t or "").split()) for i, t in rows if i in kept[-1]}
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Repeated rows and doc_ids: one copy of each text stays, and a row doesn't go for what another row with its id holds."""
+    rng = random.Random(3)
+    base, near, item, *own = (prose(rng, 40, [f"{k}w{i}" for i in range(500)]) for k in range(7))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def run(stage, rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = stage(spark, df, str(tmp_path))
+        assert got.columns == df.columns
+        return sorted((r.doc_id or 0, r.text) for r in got.collect())
+
+    assert run(corpus_pipeline.drop_copies, [(1, base), (1, base), (2, base.upper()), (2, own[0]), (1, own[1])]) == sorted([(2, base.upper()), (2, own[0]), (1, own[1])])
+    assert run(corpus_pipeline.drop_copies, [(1, base), (1, base)]) == [(1, base)]
+    assert run(corpus_pipeline.drop_near_copies, [(3, near), (5, near + " x"), (5, near + " x"), (5, own[0]), (3, own[1])]) == sorted([(3, near), (5, own[0]), (3, own[1])])
+    assert [i for i, _ in run(corpus_pipeline.drop_near_copies, [(3, near + " x"), (3, near)])] == [3]
+    assert run(corpus_pipeline.drop_leaks, [(1, "a " + item), (1, own[0]), (2, own[1])]) == sorted([(1, own[0]), (2, own[1])])

@@ -54,6 +54,14 @@ def test_keep_distinct_returns_the_columns_of_documents(docs, corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, v in expected_dedup(corpus).items() if v[2])
 
 
+def test_keep_distinct_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (2, "c"), (3, "B"), (3, "d"), (None, "e"), (4, "E"), (None, "f"), (None, "F"), (5, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as __row").repartition(3)
+    got = ed.keep_distinct(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id or 0), (r.text or "").lower()) for r in got.collect()) == [(0, "f"), (1, "a"), (2, "c"), (3, "b"), (3, "d"), (4, "e"), (5, "")]
+
+
 def smallest_capacity(sizes, k):
     low, high = max(sizes), sum(sizes)
     while low < high:
