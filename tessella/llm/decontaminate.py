@@ -216,24 +216,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall:
     """doc_id, item_id, edits, first_word, end_word (counted from end_word by the item's length) of every leaked item in every document.
 
     Whole texts are searched; words are compared without case and outer punctuation. Items without words match nothing; null
-    and empty texts hold nothing; equal items are all reported; repeated rows are searched each on its own; other columns
+    and empty texts hold nothing; items and documents with a null id are searched like others; equal items are all reported; repeated rows are searched each on its own; other columns
     are not read. A benchmark of more than BLOCK_ITEMS items or BLOCK_WORDS words is searched for in blocks of that size.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     out = None
     block: list[tuple[int, np.ndarray]] = []
     size = 0
 
     def one_block(block):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(np.array([i for i, _ in block], dtype=np.int64), [w for _, w in block], rate, recall))
+        index = docs.sparkSession.sparkContext.broadcast(build_index(np.array([i for i, _ in block], dtype=object), [w for _, w in block], rate, recall))
 
         def run(batches):
             for batch in batches:
                 rows: list[tuple[int, ...]] = []
                 ids = batch.column(0).to_pylist()
                 for at, _, offsets, words in normal_words(batch.column(1)):
-                    rows += [(ids[at + d], int(index.value.ids[i]), *rest) for d, i, *rest in search(offsets, words, index.value)]
+                    rows += [(ids[at + d], index.value.ids[i], *rest) for d, i, *rest in search(offsets, words, index.value)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in MATCH.split(", ")])

@@ -171,3 +171,15 @@ def test_pipeline_decides_by_row(spark, tmp_path):
     assert run(corpus_pipeline.drop_near_copies, [(3, near), (5, near + " x"), (5, near + " x"), (5, own[0]), (3, own[1])]) == sorted([(3, near), (5, own[0]), (3, own[1])])
     assert [i for i, _ in run(corpus_pipeline.drop_near_copies, [(3, near + " x"), (3, near)])] == [3]
     assert run(corpus_pipeline.drop_leaks, [(1, "a " + item), (1, own[0]), (2, own[1])]) == sorted([(1, own[0]), (2, own[1])])
+
+
+def test_null_ids_are_searched_and_dropped(spark, tmp_path):
+    rng = random.Random(6)
+    base, near, item, nameless, own = (prose(rng, 40, [f"{k}w{i}" for i in range(500)]) for k in range(5))
+    benchmark = spark.createDataFrame([(1, item), (None, nameless)], "item_id long, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(None, base), (None, base), (None, near), (2, near + " x"), (None, "a " + item), (3, nameless), (None, own)], "doc_id long, text string")
+    assert sorted(str((r.doc_id, r.item_id, r.edits)) for r in dc.find_leaks(df, benchmark).collect()) == ["(3, None, 0)", "(None, 1, 0)"]
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.drop_leaks):
+        df = stage(spark, df, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in df.collect()) == sorted([(0, base), (2, near + " x"), (0, own)])
