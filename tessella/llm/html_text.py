@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes plaintext".split())
 RCDATA = frozenset("title textarea".split())
-UNSEEN = frozenset("head script style template title meta link base iframe object noembed noframes datalist svg math audio video canvas col colgroup param source track".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu".split())
-LINED = frozenset("address article aside body caption center dd details dialog div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr td th thead tbody tfoot select".split())
+UNSEEN = frozenset("head script style template title meta link base iframe object noembed noframes datalist audio video canvas col colgroup param source track".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp plaintext table figure fieldset hr menu".split())
+LINED = frozenset("address article aside body caption center dd details dialog div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr td th thead tbody tfoot select svg text".split())
 CLOSES_P = SPACED | frozenset("address article aside center details dialog div figcaption footer form header hgroup main nav search section summary dd dt li".split())
 CELL_SCOPE = frozenset("td th caption table html template button object marquee applet".split())
 #: Start tag: open elements that it ends, and elements beyond which it doesn't look.
@@ -33,6 +33,11 @@ ENDS = {
 ENDS["thead"] = ENDS["tfoot"] = ENDS["tbody"]
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 TABLE_PARTS = frozenset({"table", "tbody", "thead", "tfoot", "tr"})
+#: Parts of a table: the elements that they stand in. What else stands straight in TABLE_PARTS goes before the table.
+STANDS_IN = {"tr": TABLE_PARTS - {"tr"}, "td": TABLE_PARTS, "th": TABLE_PARTS} | dict.fromkeys(("tbody", "thead", "tfoot", "caption", "colgroup", "col"), frozenset({"table"}))
+IN_PLACE = frozenset({"script", "style", "template"})
+#: Drawn only where referred to, or not at all, within svg and math.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern annotation annotation-xml".split())
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 TAG = re.compile(r"""</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -85,14 +90,15 @@ def tokens(html: str):
         if name in RAW or name in RCDATA:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
             body = html[at : close.start() if close else n]
-            if name in RCDATA and body:
+            if name in RCDATA | {"xmp", "plaintext"} and body:
                 yield "text", body, ""
             yield "end", name, ""
             at = close.end() if close else n
 
 
 def build(html: str) -> Node:
-    """The element tree. Optional end tags are implied, unmatched ones ignored, and text straight in a table goes before it."""
+    """The element tree. Optional end tags are implied, unmatched ones ignored; text and elements straight in a table go before it,
+    and forms there are left out but not what they hold."""
     root = Node("html")
     stack = [root]
 
@@ -104,16 +110,21 @@ def build(html: str) -> Node:
             if stack[k].tag in until:
                 return
 
+    def before_table(x: Node | str) -> None:
+        k = max(i for i, y in enumerate(stack) if y.tag in ("table", "html"))
+        if stack[k].tag == "table" and k:
+            stack[k - 1].children.insert(len(stack[k - 1].children) - 1, x)
+        else:
+            stack[-1].children.append(x)
+
     for kind, value, source in tokens(html):
+        if stack[-1].tag == "colgroup" and (kind == "text" and value.strip(" \t\n\f\r") or kind == "start" and value not in ("col", "template")):
+            stack.pop()
         if kind == "text":
-            text = unescape(value) if "&" in value else value
+            text = unescape(value) if "&" in value and stack[-1].tag not in ("xmp", "plaintext") else value
             if stack[-1].tag in TABLE_PARTS:
                 if text.strip(" \t\n\f\r"):
-                    k = max(i for i, x in enumerate(stack) if x.tag in ("table", "html"))
-                    if stack[k].tag == "table" and k:
-                        stack[k - 1].children.insert(len(stack[k - 1].children) - 1, text)
-                    else:
-                        stack[-1].children.append(text)
+                    before_table(text)
                 continue
             stack[-1].children.append(text)
         elif kind == "start":
@@ -133,12 +144,31 @@ def build(html: str) -> Node:
                         stack.pop()
             if stack[-1].tag == "head" and value not in UNSEEN and value != "noscript":
                 stack.pop()
+            if value in STANDS_IN:
+                k = max(i for i, x in enumerate(stack) if x.tag in ("table", "template", "html"))
+                if stack[k].tag == "table":
+                    while stack[-1].tag not in STANDS_IN[value]:
+                        stack.pop()
+            astray = stack[-1].tag in TABLE_PARTS and value not in STANDS_IN and value not in IN_PLACE
+            if astray and any(x.tag == "table" for x in stack):
+                if value == "form":
+                    continue
+                if value == "table":
+                    close(frozenset({"table"}), frozenset())
+                    astray = False
             if value in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr")
                 stack[-1].children.append(row)
                 stack.append(row)
             node = Node(value, {k.lower(): unescape(a or b or c) for k, a, b, c in ATTR.findall(source)} if source.strip(" /") else None)
-            stack[-1].children.append(node)
+            if value in UNDRAWN and any(x.tag in ("svg", "math") for x in stack):
+                node.attrs["hidden"] = ""
+            if astray:
+                before_table(node)
+            else:
+                stack[-1].children.append(node)
+            if source.endswith("/") and any(x.tag in ("svg", "math") for x in [*stack, node]):
+                continue
             if value not in VOID and len(stack) < MAX_DEPTH:
                 stack.append(node)
         elif value == "br":
@@ -307,7 +337,7 @@ def render(root: Node, depth: int = 0) -> str:
                 w.marker = mark
             elif tag in ("blockquote", "dd"):
                 w.indent.append("  ")
-            elif tag == "pre":
+            elif tag in ("pre", "xmp", "plaintext"):
                 pre += 1
             elif tag == "q":
                 w.text('"')
@@ -323,7 +353,7 @@ def render(root: Node, depth: int = 0) -> str:
         elif tag in ("li", "blockquote", "dd"):
             w.indent.pop()
             w.marker = ""
-        elif tag == "pre":
+        elif tag in ("pre", "xmp", "plaintext"):
             pre -= 1
     return w.result()
 

@@ -107,6 +107,33 @@ def test_any_markup_renders(html):
     html_to_text(html)
 
 
+STRAY = [
+    ("<table><form><tr><td>x</td></tr></form></table>", "x"),
+    ("<table><tr><form><td>x</td></form></tr></table>", "x"),
+    ("<table><div>note</div><tr><td>x</table>", "note\n\nx"),
+    ("<table><b>text</b><tr><td>x</table>y", "text\n\nx\n\ny"),
+    ("<table><tr><a>text</a><td>x<td>y</table>", "text\n\nx  y"),
+    ("<table><b>text<tr><td>x</table>", "text\n\nx"),
+    ("<table><tr><td>a<table><tr><i>i<td>b</table></table>", "ai\n\nb"),
+    ("<table><tr><table><tr><td>x</table>y", "x\n\ny"),
+    ("<table><colgroup>t<tr><td>x</table>", "t\n\nx"),
+    ("a<xmp><b>x</b> &amp;</xmp>b", "a\n\n<b>x</b> &amp;\n\nb"),
+    ("<svg><title>no</title><defs><text>no</text></defs><path d='' /><text>s</text><text>t</text></svg>u", "s\nt\nu"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), STRAY)
+def test_stray_elements_keep_their_text(html, text):
+    assert html_to_text(html) == text
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<table>", "<tbody>", "<tr>", "</tr>", "<td>", "</td>", "</table>", "<form>", "</form>", "<caption>", "<colgroup>", "<col>", "<ul>", "<li>", "<b>", "</b>", "<a>", "word "]), max_size=40))
+def test_any_markup_keeps_every_word(parts):
+    assert html_to_text("".join(parts)).count("word") == parts.count("word ")
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.recursive(st.lists(st.sampled_from("abcdefgh"), min_size=1, max_size=4), lambda kids: st.tuples(st.sampled_from(["div", "p", "span", "section", "ul", "li", "b", "h2"]), st.lists(kids, max_size=3)), max_leaves=12))
 def test_no_visible_word_is_lost(tree):
