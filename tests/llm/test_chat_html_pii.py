@@ -195,3 +195,23 @@ def test_pii_rows(spark):
     three = next(r for r in got if r.doc_id == 3 and r.n_email)
     assert three.base_sha256 == hashlib.sha256(b"email:5:14").hexdigest() and "email:5:14" in three.spans
     assert pii.find_pii(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("span", ["0123456789abcdef" * 13, "abcdefghijklmnopqrstuvwxyz" * 2 + "0a7c9e2b4d6f8" * 3, "k_" + "Zx9Qw3" * 60])
+def test_secrets_of_any_length(spark, span):
+    text = f'token = "{span}" end'
+    assert ("secret", 9, 9 + len(span)) in pii.candidates(text)
+    got = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.redacted == 'token = "[SECRET]" end'
+
+
+@pytest.mark.parametrize("span", ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8:85a3::8a2e:370:7334", "::1", "dead::beef", "fe80::"])
+def test_compressed_addresses_are_proposed(span):
+    assert pii.candidates(f"address {span}, then") == [("ip", 8, 8 + len(span))]
+    assert not pii.candidates("std::vector x::y 12:30 a:b")
+
+
+def test_compressed_addresses_are_found(spark):
+    rows = [(1, "the server address is 2001:db8::1 now"), (2, "host = fe80::1ff:fe23:4567:890a, then"), (3, "login ip: 2001:db8:85a3::8a2e:370:7334 ok"), (4, "call a::b(c) here")]
+    got = {r.doc_id: r.redacted for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "the server address is [IP] now", 2: "host = [IP], then", 3: "login ip: [IP] ok", 4: rows[3][1]}
