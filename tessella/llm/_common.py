@@ -41,12 +41,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table written by materialise() once nothing will read it again."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables written by materialise() once nothing will read them again."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
@@ -71,24 +72,37 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
-def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose id is in the one column of ids; rows with a null id stay.
+def _bitmap_marks(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with a column hit, false where key is surely not in the one column of ids.
 
-    A bitmap of hashed ids, 32 MB at most whatever the data, is broadcast; rows that it rules out pass by without a shuffle, and
-    only the rest, the rows to drop and a few more, are joined.
+    A bitmap of hashed ids, 32 MB at most whatever the data, is broadcast, so rows are not shuffled. ids is read twice and should be
+    a written table.
     """
-    drop = materialise(ids.toDF("__drop").where("__drop is not null").distinct(), "drop")
-    n = drop.count()
+    n, (id_col,) = ids.count(), ids.columns
     bits = min(28, max(15, (max(n, 1) * 16 - 1).bit_length()))
-    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(1 << bits)) + 1
-    maps = drop.groupBy(F.bitmap_bucket_number(spot("__drop")).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot("__drop"))).alias("__bits"))
-    maps = materialise(maps, "drop-bits")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("string").alias("key"), spot(id_col).alias("spot"))
-    place = F.bitmap_bit_position("spot")
+    spot = lambda c: F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit(1 << bits)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(spot(id_col)).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot(id_col))).alias("__bits"))
+    place = F.bitmap_bit_position("__spot")
     byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
-    marked = rows.withColumn("__bucket", F.bitmap_bucket_number("spot")).join(F.broadcast(maps), "__bucket", "left").select("row", "key", hit.alias("hit"))
-    rest = marked.where("hit").join(drop, F.col("key") == F.col("__drop").cast("string"), "left_anti")
+    spotted = rows.withColumn("__spot", spot(key)).withColumn("__bucket", F.bitmap_bucket_number("__spot"))
+    return spotted.join(F.broadcast(maps), "__bucket", "left").withColumn("hit", hit).drop("__bucket", "__spot", "__bits")
+
+
+def in_bitmap(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is in the one column of ids, of the same type, and a few more: a filter before a join."""
+    return _bitmap_marks(rows, key, ids).where("hit").drop("hit")
+
+
+def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in the one column of ids; rows with a null id stay.
+
+    Rows that a bitmap of the ids rules out pass by without a shuffle, and only the rest, the rows to drop and a few more, are joined.
+    """
+    drop = materialise(ids.select(F.col(ids.columns[0]).cast("string").alias("__drop")).where("__drop is not null").distinct(), "drop")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("string").alias("key"))
+    marked = _bitmap_marks(rows, "key", drop)
+    rest = marked.where("hit").join(drop, F.col("key") == F.col("__drop"), "left_anti")
     return marked.where("not hit").select("row.*").unionByName(rest.select("row.*"))
 
 

@@ -1,10 +1,12 @@
 """N-gram Jaccard join: signature trees over token bitmaps prune pairs, exact sets decide, classes come back per document.
 
-Exact throughout. A document is represented by the digest of its shingle set, so copies are one representative. Pairs that
-can reach the threshold share a shingle among the first n - ceil(t * n) + 1 of each set in any fixed order of
-shingles (prefix filter); the order here puts frequent shingles last. Representatives that share such a shingle
-form a block; a signature tree of the block, traversed against itself, yields the pairs whose bitmaps allow the overlap. Their
-connected classes are small closed worlds, in which the exact sets are compared.
+A document is represented by the 128-bit digest of its shingle set, so copies are one representative; sets are hashed once, written, and
+read by all later steps. Representatives are dealt over partitions by their prefix: pairs that can reach the threshold share a shingle
+among the first n - ceil(t * n) + 1 of each set in any fixed order of shingles; the order here puts frequent ones last. In each
+partition, representatives of one size range make one signature tree, whose nodes hold the range of sizes and two OR-combined
+bitmaps: of the dealt shingles that brought the members here, and of their whole sets. Trees are traversed against themselves and
+against the tree of the next size range, and node pairs whose largest possible overlap is too small are pruned. Connected classes
+of what is left are small closed worlds, in which the exact sets are compared. Results are exact up to collisions of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -17,18 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import as_strings, drop_table, join_groups, materialise, mix64, split_words, text_slices, word_hashes
+from tessella.llm._common import as_strings, drop_table, in_bitmap, join_groups, materialise, mix64, split_words, text_slices, word_hashes
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Counters of the frequency sketch (16 bits each); slices in which it is summed.
 COUNTERS, SLICES = 1 << 19, 16
-#: Prefix entries that one task groups by shingle; bits per shingle of a bitmap; members of a leaf; children of a node.
-SLOT_ENTRIES, BITS, LEAF, FANOUT = 400_000, 2, 16, 8
-#: Node pairs examined at once; shingles of the sets that one task compares; members of a block beyond which they are all taken for
-#: candidates of each other, without bitmaps, and left to the exact comparison.
-FRONTIER, TASK_SHINGLES, BLOCK_MEMBERS = 1 << 14, 8_000_000, 100_000
-#: Documents of one batch (2,000 rows) with the same prefix shingle beyond which one of them stands for all in that shingle's block.
-BATCH_MEMBERS = 64
+#: Prefix entries that one task groups by shingle; entries of shared shingles to a partition of trees.
+SLOT_ENTRIES, PART_ENTRIES = 400_000, 20_000
+#: A shingle with more prefix entries than this, by the sketch, is dealt over pairs of salts, so that no task gets many more than twice as many of them.
+HOT_ENTRIES = 50_000
+#: Bits per shingle of a set's bitmap, log2 of its greatest width (wider sets are folded), members of a leaf, children of a node, node pairs examined at once.
+BITS, WIDEST, LEAF, FANOUT, FRONTIER = 2, 12, 16, 8, 1 << 14
+#: Shingles of the sets that one task compares: an even share of all, within these bounds.
+LEAST_TASK_SHINGLES, TASK_SHINGLES = 20_000, 4_000_000
 
 
 def least_overlap(a, b):
@@ -50,9 +53,10 @@ def shingle_sets(texts: pa.Array):
         h = np.zeros(max(n - SHINGLE + 1, 0), dtype=np.uint64)
         for k in range(SHINGLE):
             h = mix64(h + words[k : n - SHINGLE + 1 + k]) if len(h) else h
-        doc = np.repeat(np.arange(len(size)), np.maximum(size - SHINGLE + 1, 0))
-        first = np.repeat(offsets[:-1], np.maximum(size - SHINGLE + 1, 0))
-        run = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(size - SHINGLE + 1, 0)) - np.maximum(size - SHINGLE + 1, 0), np.maximum(size - SHINGLE + 1, 0))
+        grams = np.maximum(size - SHINGLE + 1, 0)
+        doc = np.repeat(np.arange(len(size)), grams)
+        first = np.repeat(offsets[:-1], grams)
+        run = np.arange(len(doc)) - np.repeat(np.cumsum(grams) - grams, grams)
         hashes = h[first + run] if len(doc) else np.zeros(0, dtype=np.uint64)
         short = np.flatnonzero((size > 0) & (size < SHINGLE))
         extra = np.zeros(len(short), dtype=np.uint64)
@@ -71,16 +75,23 @@ def shingle_sets(texts: pa.Array):
 
 
 def set_digests(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each set, from sums of two mixes of its members; 0 for the empty set."""
+    """A 128-bit digest of each set as a row of two numbers: sums of two mixes of its members, mixed once more with each other."""
     sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes + np.uint64(s)), dtype=np.uint64)]) for s in (0x51ED, 0xC0DE)]
     a, b = (s[offsets[1:]] - s[offsets[:-1]] for s in sums)
-    digest = mix64(a + mix64(b)) | np.uint64(1)
-    return np.where(np.diff(offsets) > 0, digest, np.uint64(0))
+    first = mix64(a + mix64(b))
+    return np.stack([first, mix64(b + mix64(first))], axis=1)
+
+
+def as_binary(rows: np.ndarray) -> pa.Array:
+    """Rows of two numbers as 16-byte strings."""
+    flat = np.ascontiguousarray(rows, dtype=np.uint64)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
 
 
 def bitmap_class(n: np.ndarray) -> np.ndarray:
-    """log2 of the number of bitmap bits for sets of n members: at least BITS * n bits, and at least 64."""
-    return np.maximum(np.ceil(np.log2(np.maximum(BITS * np.asarray(n), 64))).astype(np.int64), 6)
+    """log2 of the number of bitmap bits for sets of n members: at least BITS * n bits, within 6 and WIDEST. Sizes within 3 : 4 are
+    of the same class or of neighbouring ones."""
+    return np.clip(np.ceil(np.log2(np.maximum(BITS * np.asarray(n), 64))).astype(np.int64), 6, WIDEST)
 
 
 def bitmap(hashes: np.ndarray, bits: int) -> bytes:
@@ -97,76 +108,78 @@ def fold(words: np.ndarray, to: int) -> np.ndarray:
     return words
 
 
-class SignatureTree:
-    """Levels of nodes, the last being the members; each node has the OR of its members' bitmaps, the range of their
-    sizes, and the largest excess of a member's size over its number of bits."""
-
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((*bits.T[:4], sizes))
-        self.order, bits, sizes = order, bits[order], sizes[order]
-        levels = [(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64), np.arange(len(sizes) + 1))]
-        step = LEAF
-        while len(levels[-1][1]) > 1:
-            b, low, high, extra, _ = levels[-1]
-            at = np.arange(0, len(low), step)
-            levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at), np.append(at, len(low))))
-            step = FANOUT
-        self.levels = levels[::-1]
-
-
-def possible(x, i: np.ndarray, y, j: np.ndarray) -> np.ndarray:
-    """Whether nodes i of level x and nodes j of level y may hold a linking pair: the largest overlap their bitmaps and
-    sizes leave possible against the smallest that a link needs."""
-    need = least_overlap(x[1][i], y[1][j])
-    ok = (np.minimum(x[2][i], y[2][j]) >= need) & (DENOMINATOR * x[2][i] >= NUMERATOR * y[1][j]) & (DENOMINATOR * y[2][j] >= NUMERATOR * x[1][i])
-    at = np.flatnonzero(ok)
-    common = np.bitwise_count(x[0][i[at]] & y[0][j[at]]).sum(axis=1).astype(np.int64)
-    ok[at] = np.minimum(x[3][i[at]], y[3][j[at]]) + common >= need[at]
-    return ok
+class Level:
+    """Nodes of one level of a tree: OR of the members' set bitmaps, range of their sizes, largest excess of a size over its number of
+    bits, OR of the bitmaps of dealt shingles (None for the members themselves), first child and first member of each."""
 
+    def __init__(self, bits, low, high, extra, dealt, children, members):
+        self.bits, self.low, self.high, self.extra, self.dealt, self.children, self.members = bits, low, high, extra, dealt, children, members
 
-def tree_join(a: SignatureTree, b: SignatureTree, same: bool):
-    """Dual traversal: yields arrays of member pairs of a and b (each pair once if same) that no node pair could rule out.
+    def __len__(self):
+        return len(self.low)
 
-    Node pairs wait on a stack and are expanded FRONTIER at a time, deepest first, so memory stays bounded.
+
+class SignatureTree:
+    """Levels of nodes from the members up to one root. Members that share dealt shingles stand next to each other, then those of like size.
+
+    ids: the members; entry_member and entry_shingle: which member has which dealt shingle (numbered from 0 to n_shingles).
     """
-    depth = [(len(a.levels), len(b.levels))]
-    root = np.zeros(1, dtype=np.int64)
-    todo = [(0, 0, root, root)]
-    while todo:
-        da, db, i, j = todo.pop()
-        if len(i) > FRONTIER:
-            todo.append((da, db, i[FRONTIER:], j[FRONTIER:]))
-            i, j = i[:FRONTIER], j[:FRONTIER]
-        keep = possible(a.levels[da], i, b.levels[db], j)
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        last_a, last_b = da == depth[0][0] - 1, db == depth[0][1] - 1
-        if last_a and last_b:
-            if same:
-                i, j = i[i < j], j[i < j]
-            if len(i):
-                yield a.order[i], b.order[j]
-            continue
-        for first, tree, d, last in ((True, a, da, last_a), (False, b, db, last_b)):
-            if last:
-                continue
-            own = i if first else j
-            low, high = tree.levels[d][4][own], tree.levels[d][4][own + 1]
-            n = high - low
-            child = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            i, j = (child, np.repeat(j, n)) if first else (np.repeat(i, n), child)
-        if same:
-            i, j = i[i <= j], j[i <= j]
-        todo.append((da if last_a else da + 1, db if last_b else db + 1, i, j))
+
+    def __init__(self, ids: np.ndarray, bits: np.ndarray, sizes: np.ndarray, entry_member: np.ndarray, entry_shingle: np.ndarray, n_shingles: int):
+        first = np.full(len(ids), n_shingles)
+        np.minimum.at(first, entry_member, entry_shingle)
+        order = np.lexsort((*bits.T[:2], sizes, first))
+        self.ids, bits, sizes = ids[order], bits[order], sizes[order]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        ends = np.arange(len(order) + 1)
+        self.levels = [Level(bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64), None, ends, ends)]
+        at = np.arange(0, len(order), LEAF)
+        shingles = np.zeros((len(at), -(-max(n_shingles, 1) // 64) * 64), dtype=bool)
+        shingles[place[entry_member] // LEAF, entry_shingle] = True
+        dealt = np.packbits(shingles, axis=1, bitorder="little").view(np.uint64)
+        while True:
+            below = self.levels[-1]
+            if below.dealt is not None:
+                at = np.arange(0, len(below), FANOUT)
+                dealt = np.bitwise_or.reduceat(below.dealt, at, axis=0)
+            ends = np.append(at, len(below))
+            self.levels.append(Level(np.bitwise_or.reduceat(below.bits, at, axis=0), np.minimum.reduceat(below.low, at), np.maximum.reduceat(below.high, at), np.maximum.reduceat(below.extra, at), dealt, ends, below.members[ends]))
+            if len(at) == 1:
+                return
+
+    def one_class(self, level: int, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest and largest class among the members of each node."""
+        label, at = classes.labels()[self.ids], self.levels[level].members[:-1]
+        return np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
+
+    def expand(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Children of the nodes, and how many each has."""
+        low = self.levels[level].children[nodes]
+        n = self.levels[level].children[nodes + 1] - low
+        return np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), n
+
+
+def possible(x: Level, i: np.ndarray, y: Level, j: np.ndarray) -> np.ndarray:
+    """Whether nodes i of x and nodes j of y may hold a linking pair of this partition: the largest overlap that sizes, dealt shingles and
+    set bitmaps leave possible against the smallest that a link needs."""
+    need = least_overlap(x.low[i], y.low[j])
+    ok = (np.minimum(x.high[i], y.high[j]) >= need) & (DENOMINATOR * x.high[i] >= NUMERATOR * y.low[j]) & (DENOMINATOR * y.high[j] >= NUMERATOR * x.low[i])
+    at = np.flatnonzero(ok)
+    if x.dealt is not None and y.dealt is not None:
+        meet = (x.dealt[i[at]] & y.dealt[j[at]]).any(axis=1)
+        ok[at[~meet]] = False
+        at = at[meet]
+    common = np.bitwise_count(x.bits[i[at]] & y.bits[j[at]]).sum(axis=1).astype(np.int64)
+    ok[at] = np.minimum(x.extra[i[at]], y.extra[j[at]]) + common >= need[at]
+    return ok
 
 
 class Classes:
-    """Union-find over 0..n-1, fed with arrays of pairs; links() are the pairs that joined two classes."""
+    """Union-find over 0..n-1, fed with arrays of pairs; links are the pairs that joined two classes. seen and pruned count node pairs."""
 
     def __init__(self, n: int):
-        self.root, self.links = np.arange(n), []
+        self.root, self.links, self.seen, self.pruned = np.arange(n), [], 0, 0
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -174,6 +187,11 @@ class Classes:
             i = int(self.root[i])
         return i
 
+    def labels(self) -> np.ndarray:
+        while not ((up := self.root[self.root]) == self.root).all():
+            self.root = up
+        return self.root
+
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
             for x, y in zip(i[:64].tolist(), j[:64].tolist(), strict=True):
@@ -183,48 +201,95 @@ class Classes:
                     self.links.append((x, y))
             i, j = i[64:], j[64:]
             if len(i):
-                for _ in range(64):
-                    up = self.root[self.root]
-                    if (up == self.root).all():
-                        break
-                    self.root = up
-                apart = self.root[i] != self.root[j]
+                label = self.labels()
+                apart = label[i] != label[j]
                 i, j = i[apart], j[apart]
 
 
-def small_block_links(sizes: np.ndarray, maps: list[bytes]) -> list[tuple[int, int]]:
-    """candidate_links() of a block that would be one leaf: its pairs against each other, bitmaps folded to the narrowest."""
-    rows = [np.frombuffer(m, dtype=np.uint64)[None, :] for m in maps]
-    narrow = min(r.shape[1] for r in rows)
-    bits = np.concatenate([fold(r, narrow) for r in rows])
-    level = (bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64))
-    i, j = np.triu_indices(len(sizes), 1)
-    keep = possible(level, i, level, j)
-    if len(sizes) == 2:
-        return [(0, 1)] if keep[0] else []
-    classes = Classes(len(sizes))
-    classes.add(i[keep], j[keep])
-    return classes.links
+def traverse(a: SignatureTree, b: SignatureTree, la: int, lb: int, i: np.ndarray, j: np.ndarray, classes: Classes) -> None:
+    """Dual traversal from nodes i of level la of a and j of level lb of b; member pairs that nothing rules out join classes.
 
+    A node pair is pruned if its largest possible overlap is too small, or if all its members are in one class already. Two nodes of
+    one class each need one possible pair only, so their first members are tried first: a mass of near copies costs its length,
+    not its square. Node pairs wait on a stack and are expanded FRONTIER at a time, so memory stays bounded.
+    """
+    todo = [(la, lb, i, j)]
+    while todo:
+        la, lb, i, j = todo.pop()
+        if len(i) > FRONTIER:
+            todo.append((la, lb, i[FRONTIER:], j[FRONTIER:]))
+            i, j = i[:FRONTIER], j[:FRONTIER]
+        x, y = a.levels[la], b.levels[lb]
+        keep = possible(x, i, y, j)
+        if la or lb:
+            classes.seen, classes.pruned = classes.seen + len(i), classes.pruned + int((~keep).sum())
+        i, j = i[keep], j[keep]
+        if la == lb == 0:
+            classes.add(a.ids[i], b.ids[j])
+            continue
+        if not len(i):
+            continue
+        (low_a, high_a), (low_b, high_b) = a.one_class(la, classes), b.one_class(lb, classes)
+        one = (low_a[i] == high_a[i]) & (low_b[j] == high_b[j])
+        open_ = ~(one & (low_a[i] == low_b[j]))
+        i, j, one = i[open_], j[open_], np.flatnonzero(one[open_])
+        p, q = x.members[i[one]], y.members[j[one]]
+        hit = possible(a.levels[0], p, b.levels[0], q)
+        classes.add(a.ids[p[hit]], b.ids[q[hit]])
+        left = np.ones(len(i), dtype=bool)
+        left[one[hit]] = False
+        i, j = i[left], j[left]
+        down_a, down_b = la >= lb, lb >= la
+        if down_a:
+            i, n = a.expand(la, i)
+            j = np.repeat(j, n)
+        if down_b:
+            j, n = b.expand(lb, j)
+            i = np.repeat(i, n)
+        if a is b and la == 1:
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            todo.append((la - down_a, lb - down_b, i, j))
+
+
+def join_self(tree: SignatureTree, classes: Classes) -> None:
+    """All pairs of a tree's members: leaves against themselves, then, level by level upwards, children of one node against each other."""
+    leaves = np.arange(len(tree.levels[1]))
+    traverse(tree, tree, 1, 1, leaves, leaves, classes)
+    for level in range(1, len(tree.levels) - 1):
+        parent = np.repeat(np.arange(len(tree.levels[level + 1])), np.diff(tree.levels[level + 1].children))
+        nodes = np.arange(len(parent))
+        for step in range(1, FANOUT):
+            i = nodes[:-step][parent[:-step] == parent[step:]]
+            if len(i):
+                traverse(tree, tree, level, level, i, i + step, classes)
+
+
+def candidate_links(sizes: np.ndarray, maps: list[bytes], entry_member: np.ndarray, entry_shingle: np.ndarray) -> Classes:
+    """Classes of the representatives of a partition under the pairs that signature trees leave possible; .links is a spanning forest of those pairs.
 
-def candidate_links(sizes: np.ndarray, maps: list[bytes]) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a block that signature trees leave possible: one tree per bitmap width, joined with
-    itself and with the tree of the next width folded down, which sizes within 3 : 4 don't go beyond."""
-    if len(sizes) <= LEAF:
-        return small_block_links(sizes, maps)
-    width = bitmap_class(sizes)
+    One tree per size range (bitmap width), joined with itself and with the tree of the next range, its bitmaps folded down.
+    """
+    width, n_shingles = bitmap_class(sizes), int(entry_shingle.max(initial=-1)) + 1
     classes = Classes(len(sizes))
+    place = np.zeros(len(sizes), dtype=np.int64)
     rows = {c: np.flatnonzero(width == c) for c in np.unique(width).tolist()}
-    bits = {c: np.stack([np.frombuffer(maps[i], dtype=np.uint64) for i in at]) for c, at in rows.items()}
-    for c, at in rows.items():
-        tree = SignatureTree(bits[c], sizes[at])
-        for i, j in tree_join(tree, tree, True):
-            classes.add(at[i], at[j])
+
+    def grow(c: int, words: int) -> SignatureTree:
+        at = rows[c]
+        place[at] = np.arange(len(at))
+        own = width[entry_member] == c
+        bits = np.frombuffer(b"".join(maps[i] for i in at), dtype=np.uint64).reshape(len(at), -1)
+        return SignatureTree(at, fold(bits, words), sizes[at], place[entry_member[own]], entry_shingle[own], n_shingles)
+
+    trees = {c: grow(c, 1 << (c - 6)) for c in rows}
+    for tree in trees.values():
+        join_self(tree, classes)
+    for c in trees:
         if c + 1 in rows:
-            up = rows[c + 1]
-            for i, j in tree_join(tree, SignatureTree(fold(bits[c + 1], bits[c].shape[1]), sizes[up]), False):
-                classes.add(at[i], up[j])
-    return classes.links
+            a, b = trees[c], grow(c + 1, 1 << (c - 6))
+            traverse(a, b, len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), classes)
+    return classes
 
 
 def exact_classes(sets: list[np.ndarray]) -> np.ndarray:
@@ -266,25 +331,34 @@ def _batch(columns, kinds, names):
 
 
 def _summaries(text: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, digest and bitmap of each document; kind 1: a slice (doc_id) of the frequency sketch of a partition."""
+    """kind 0: doc_id, n and digest of each document, and of the first of equal sets in a batch the bitmap and the set itself;
+    kind 1: a slice (part) of the frequency sketch of a partition."""
+    id_type = dict(text.dtypes)["doc_id"]
 
     def run(batches):
-        counts = np.zeros(COUNTERS, dtype=np.int64)
-        names, kinds = ["kind", "doc_id", "n", "digest", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        counts, id_arrow = np.zeros(COUNTERS, dtype=np.int64), None
+        names, kinds = ["kind", "part", "doc_id", "n", "digest", "bits", "data"], [pa.int32(), pa.int32(), None, pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            ids, n, digests, maps = batch.column(0), [], [], []
+            n, digests, maps, sets, known = [], [np.zeros((0, 2), dtype=np.uint64)], [], [], set()
+            id_arrow = batch.column(0).type
             for _, offsets, hashes in shingle_sets(batch.column(1)):
+                size, digest = np.diff(offsets), set_digests(offsets, hashes)
                 counts += np.bincount((hashes >> np.uint64(45)).astype(np.int64), minlength=COUNTERS)
-                size = np.diff(offsets)
                 width = bitmap_class(size)
-                n += size.tolist()
-                digests.append(set_digests(offsets, hashes).view(np.int64))
-                maps += [bitmap(hashes[offsets[i] : offsets[i + 1]], int(width[i])) if size[i] else None for i in range(len(size))]
-            yield _batch([np.zeros(len(n), dtype=np.int32), ids, n, np.concatenate([np.zeros(0, dtype=np.int64), *digests]), maps], kinds, names)
-        low = np.minimum(counts, 65_535).astype(np.uint16).reshape(SLICES, -1)
-        yield _batch([[1] * SLICES, list(range(SLICES)), [0] * SLICES, [0] * SLICES, [x.tobytes() for x in low]], kinds, names)
-
-    return text.mapInArrow(run, "kind int, doc_id long, n long, digest long, data binary")
+                n.append(size)
+                digests.append(digest)
+                for i, key in enumerate(map(bytes, digest)):
+                    own = None if not size[i] or key in known else hashes[offsets[i] : offsets[i + 1]]
+                    known.add(key)
+                    maps.append(None if own is None else bitmap(own, int(width[i])))
+                    sets.append(None if own is None else own.tobytes())
+            n = np.concatenate([np.zeros(0, dtype=np.int64), *n])
+            yield _batch([np.zeros(len(n), dtype=np.int32), np.zeros(len(n), dtype=np.int32), batch.column(0), n, as_binary(np.concatenate(digests)), maps, sets], kinds, names)
+        if id_arrow is not None:
+            low = np.minimum(counts, 65_535).astype(np.uint16).reshape(SLICES, -1)
+            yield _batch([[1] * SLICES, list(range(SLICES)), pa.nulls(SLICES, id_arrow), [0] * SLICES, [None] * SLICES, [x.tobytes() for x in low], [None] * SLICES], kinds, names)
+
+    return text.mapInArrow(run, f"kind int, part int, doc_id {id_type}, n long, digest binary, bits binary, data binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -296,9 +370,9 @@ def _sketch(rows: DataFrame) -> np.ndarray:
             part = batch.column(0)[0].as_py()
             for x in batch.column(1).to_pylist():
                 total += np.frombuffer(x, dtype=np.uint16)
-        yield _batch([[part], [total.astype(np.uint32).tobytes()]], [pa.int64(), pa.binary()], ["part", "data"])
+        yield _batch([[part], [total.astype(np.uint32).tobytes()]], [pa.int32(), pa.binary()], ["part", "data"])
 
-    got = rows.where("kind = 1").select(F.col("doc_id").alias("part"), "data").groupBy("part").applyInArrow(add, "part long, data binary").toPandas().sort_values("part")
+    got = rows.where("kind = 1").select("part", F.col("bits").alias("data")).groupBy("part").applyInArrow(add, "part int, data binary").toPandas().sort_values("part")
     return np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in got["data"]]) if len(got) else np.zeros(COUNTERS, dtype=np.uint32)
 
 
@@ -307,56 +381,39 @@ def _rank(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
     return (level[(hashes >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(52)) | (mix64(hashes) >> np.uint64(12))
 
 
-def _thinned(tokens: np.ndarray, digests: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix entries of a batch, with a shingle that more than most of its documents have left to one of them.
-
-    A size of 0 marks what such an entry stands for: its block is linked whole, without bitmaps, and so are the documents of the batch that it
-    stands for, by entries under a key of their own. So a shingle has that many entries a batch at most, and no link is lost.
-    """
-    order = np.lexsort((digests, tokens))
-    tokens, digests, sizes = tokens[order], digests[order], sizes[order]
-    new = np.ones(len(tokens), dtype=bool)
-    new[1:] = (tokens[1:] != tokens[:-1]) | (digests[1:] != digests[:-1])
-    tokens, digests, sizes = tokens[new], digests[new], sizes[new]
-    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
-    counts = np.diff(np.append(starts, len(tokens)))
-    full = counts > most
-    if not full.any():
+def salted(tokens: np.ndarray, digests: np.ndarray, sizes: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix entries with those of hot shingles dealt over pairs of salts: an entry with salt s of k goes under the k keys
+    of (shingle, s, t), t any salt, so any two entries of a shingle still meet under one key, and a key has two in k of them."""
+    hot = np.flatnonzero(salts > 1)
+    if not len(hot):
         return tokens, digests, sizes
-    inside = np.repeat(full, counts)
-    stars = np.unique(np.stack([np.repeat(digests[starts], counts)[inside], digests[inside]]), axis=1)
-    kept = ~inside
-    kept[starts[full]] = True
-    sizes = sizes.copy()
-    sizes[starts[full]] = 0
-    key = mix64(stars[0] + np.uint64(0x57A2))
-    return tuple(np.concatenate(x) for x in ((tokens[kept], key), (digests[kept], stars[1]), (sizes[kept], np.zeros(len(key), dtype=np.uint32))))
+    k = salts[hot]
+    own = np.repeat((digests[hot, 1] % k.astype(np.uint64)).astype(np.int64), k)
+    other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    row = np.repeat(hot, k)
+    key = mix64(tokens[row] + mix64((np.minimum(own, other) * 65_536 + np.maximum(own, other) + 1).astype(np.uint64)))
+    cold = salts <= 1
+    return np.concatenate([tokens[cold], key]), np.concatenate([digests[cold], digests[row]]), np.concatenate([sizes[cold], sizes[row]])
 
 
-def _blocks(text: DataFrame, level: np.ndarray, n_slots: int) -> DataFrame:
-    """Distinct blocks of representatives that share a prefix shingle, as packed digests and sizes."""
-    shared, most = text.sparkSession.sparkContext.broadcast(level), BATCH_MEMBERS
+def _blocks(sets: DataFrame, level: np.ndarray, salts: np.ndarray, n_slots: int) -> DataFrame:
+    """Distinct groups of representatives that share a prefix shingle (k0, k1: their digest), as packed digests and sizes."""
+    shared = sets.sparkSession.sparkContext.broadcast((level, salts))
 
     def emit(batches):
         names, kinds = ["slot", "tokens", "digests", "sizes"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            parts = []
-            for _, offsets, hashes in shingle_sets(batch.column(0)):
-                size = np.diff(offsets)
-                digest = set_digests(offsets, hashes)
-                _, first = np.unique(digest, return_index=True)
-                chosen = np.zeros(len(size), dtype=bool)
-                chosen[first] = size[first] > 0
-                doc = np.repeat(np.arange(len(size)), size)
-                live = chosen[doc]
-                doc, tokens = doc[live], hashes[live]
-                order = np.lexsort((_rank(tokens, shared.value), doc))
-                doc, tokens = doc[order], tokens[order]
-                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                inside = place < (size - -(-NUMERATOR * size // DENOMINATOR) + 1)[doc]
-                parts.append((tokens[inside], digest[doc[inside]], size[doc[inside]].astype(np.uint32)))
-            tokens, digests, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 3
-            tokens, digests, sizes = _thinned(tokens, digests, sizes.astype(np.uint32), most)
+            level, salts = shared.value
+            size = batch.column(1).to_numpy()
+            digest = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64).reshape(-1, 2)
+            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64)
+            doc = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((_rank(tokens, level), doc))
+            doc, tokens = doc[order], tokens[order]
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            inside = place < (size - -(-NUMERATOR * size // DENOMINATOR) + 1)[doc]
+            doc, tokens = doc[inside], tokens[inside]
+            tokens, digests, sizes = salted(tokens, digest[doc], size[doc].astype(np.uint32), salts[(tokens >> np.uint64(45)).astype(np.int64)])
             slot = (mix64(tokens + np.uint64(77)) % np.uint64(n_slots)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             cuts = np.searchsorted(slot[order], np.arange(n_slots + 1))
@@ -367,134 +424,119 @@ def _blocks(text: DataFrame, level: np.ndarray, n_slots: int) -> DataFrame:
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for batch in batches for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
         tokens = np.frombuffer(b"".join(x[0] for x in got), dtype=np.uint64)
-        digests = np.frombuffer(b"".join(x[1] for x in got), dtype=np.uint64)
+        digests = np.frombuffer(b"".join(x[1] for x in got), dtype=np.uint64).reshape(-1, 2)
         sizes = np.frombuffer(b"".join(x[2] for x in got), dtype=np.uint32)
         del got
-        order = np.lexsort((digests, sizes, tokens))
+        order = np.lexsort((digests[:, 1], digests[:, 0], sizes, tokens))
         tokens, digests, sizes = tokens[order], digests[order], sizes[order].astype(np.int64)
         new = np.ones(len(tokens), dtype=bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (digests[1:] != digests[:-1])
+        new[1:] = (tokens[1:] != tokens[:-1]) | (digests[1:] != digests[:-1]).any(axis=1)
         tokens, digests, sizes = tokens[new], digests[new], sizes[new]
-        cut = np.ones(len(tokens), dtype=bool)  # a gap of sizes over 4 : 3 parts a block, unless it has an entry of size 0, which come first
-        cut[1:] = tokens[1:] != tokens[:-1]
-        whole = np.repeat(sizes[cut] == 0, np.diff(np.append(np.flatnonzero(cut), len(tokens)))) if len(tokens) else cut
-        cut[1:] |= ~whole[1:] & (NUMERATOR * sizes[1:] > DENOMINATOR * sizes[:-1])
+        cut = np.ones(len(tokens), dtype=bool)  # a gap of sizes over 4 : 3 parts a group
+        cut[1:] = (tokens[1:] != tokens[:-1]) | (NUMERATOR * sizes[1:] > DENOMINATOR * sizes[:-1])
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(tokens))
+        keys = []
+        for salt in (0, 0xB10C):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(digests[:, 0] + mix64(digests[:, 1] + np.uint64(salt))), dtype=np.uint64)])
+            keys.append((sums[ends] - sums[starts]).view(np.int64) if len(starts) else np.zeros(0, dtype=np.int64))
         many = np.flatnonzero(ends - starts > 1)
-        seen, out = set(), ([], [], [])
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(digests), dtype=np.uint64)])
-        keys = mix64(sums[ends] - sums[starts] + whole[starts]) if len(starts) else sums
-        for b in many:
-            key = int(keys[b])
-            if key not in seen:
-                seen.add(key)
-                rows = slice(starts[b], ends[b])
-                out[0].append(np.uint64(key).view(np.int64))
-                out[1].append(digests[rows].tobytes())
-                out[2].append(b"" if whole[starts[b]] else sizes[rows].astype(np.uint32).tobytes())
-        yield _batch([pa.array(np.array(out[0], dtype=np.int64)), out[1], out[2]], [pa.int64(), pa.binary(), pa.binary()], ["block", "digests", "sizes"])
-
-    packed = text.select("text").mapInArrow(emit, "slot int, tokens binary, digests binary, sizes binary")
-    found = packed.groupBy("slot").applyInArrow(group, "block long, digests binary, sizes binary")
-    return found.dropDuplicates(["block"])
+        many = many[np.unique(np.stack([keys[0][many], keys[1][many]]), axis=1, return_index=True)[1]] if len(many) else many
+        rows = [slice(starts[b], ends[b]) for b in many]
+        columns = [keys[0][many], keys[1][many], ends[many] - starts[many], [digests[r].tobytes() for r in rows], [sizes[r].astype(np.uint32).tobytes() for r in rows]]
+        yield _batch(columns, [pa.int64()] * 3 + [pa.binary()] * 2, ["k0", "k1", "members", "digests", "sizes"])
+
+    packed = sets.select("digest", "n", "data").mapInArrow(emit, "slot int, tokens binary, digests binary, sizes binary")
+    found = packed.groupBy("slot").applyInArrow(group, "k0 long, k1 long, members long, digests binary, sizes binary")
+    return found.dropDuplicates(["k0", "k1"])
+
+
+LINKS = "a binary, b binary, seen long, pruned long"
+
+
+def _links(blocks: DataFrame, maps: DataFrame) -> DataFrame:
+    """Links (a, b) of representatives by signature trees, and one row per partition with the node pairs seen and pruned."""
+    total = blocks.agg(F.sum("members")).first()[0] or 0
+    parts = max(1, -(-total // PART_ENTRIES))
+
+    def members(batches):
+        for batch in batches:
+            key, size = batch.column(0).to_numpy(), [np.frombuffer(s, dtype=np.uint32).astype(np.int64) for s in batch.column(2).to_pylist()]
+            digest = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, 2)
+            yield _batch([np.repeat(key, [len(s) for s in size]), as_binary(digest), np.concatenate([np.zeros(0, dtype=np.int64), *size])], [pa.int64(), pa.binary(), pa.int64()], ["block", "digest", "n"])
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        codes = table.column("digest").chunk(0).dictionary_encode()
+        names, member = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        _, first = np.unique(member, return_index=True)
+        shingle = np.unique(table.column("block").to_numpy(), return_inverse=True)[1]
+        found = candidate_links(table.column("n").to_numpy()[first], table.column("bits").take(pa.array(first)).to_pylist(), member.astype(np.int64), shingle)
+        a, b = [names[x] for x, _ in found.links], [names[y] for _, y in found.links]
+        yield _batch([[*a, None], [*b, None], [*[None] * len(a), found.seen], [*[None] * len(a), found.pruned]], [pa.binary(), pa.binary(), pa.int64(), pa.int64()], ["a", "b", "seen", "pruned"])
+
+    listed = blocks.select("k0", "digests", "sizes").mapInArrow(members, "block long, digest binary, n long").withColumn("part", F.pmod("block", F.lit(parts)))
+    return listed.join(maps, "digest").select("part", "block", "digest", "n", "bits").groupBy("part").applyInArrow(trees, LINKS)
 
 
 def _connected(links: DataFrame) -> DataFrame:
-    """member, root: the smallest member of each connected class of links (a, b), by hooking and pointer jumping.
+    """member, root: the smallest member of each connected class of links (a, b), as a written table, by alternating stars.
 
-    Each round sends every link's ends to the smaller root seen next to them and halves the paths; links inside one class
-    drop out. Tables are written to the shared folder between rounds.
+    In each round every node's larger neighbours are linked to the smallest node of its neighbourhood, then its smaller ones and itself
+    to the smallest of those. Classes stay as they are, and links end up as stars around the smallest members, in a number of
+    rounds that grows with the logarithm of the longest path. Every round is one table in the shared folder.
     """
-    edges = materialise(links.selectExpr("least(a, b) a", "greatest(a, b) b").where("a < b").distinct(), "edges")
-    roots = materialise(edges.select(F.col("a").alias("member")).union(edges.select("b")).distinct().selectExpr("member", "member as root"), "roots")
-    while not edges.isEmpty():
-        hook = edges.groupBy("b").agg(F.min("a").alias("a"))
-        # b hooks onto a smaller neighbour; a chain of hooks is shortened until every entry points at its end
-        hook = materialise(hook.selectExpr("b as node", "a as up"), "hooks")
-        while True:
-            up = hook.alias("x").join(hook.alias("y"), F.col("x.up") == F.col("y.node"), "left").selectExpr("x.node as node", "coalesce(y.up, x.up) as up", "y.up is not null as moved")
-            up = materialise(up, "hooks")
-            moved = not up.where("moved").isEmpty()
-            drop_table(hook)
-            hook = up.select("node", "up")
-            if not moved:
-                break
-        after = roots.join(hook, roots["root"] == hook["node"], "left").selectExpr("member", "coalesce(up, root) as root")
-        after = materialise(after, "roots")
-        one = edges.join(hook, edges["a"] == hook["node"], "left").selectExpr("coalesce(up, a) as a", "b")
-        two = one.join(hook, one["b"] == hook["node"], "left").selectExpr("a", "coalesce(up, b) as b")
-        rest = materialise(two.selectExpr("least(a, b) a", "greatest(a, b) b").where("a < b").distinct(), "edges")
-        for old in (edges, roots, hook):
-            drop_table(old)
-        edges, roots = rest, after
+    edges = materialise(links.selectExpr("greatest(a, b) u", "least(a, b) v").where("u > v").distinct(), "edges")
+    mark, before = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first(), None
+    while mark != before:
+        both = edges.union(edges.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").selectExpr("v as u", "m as v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.inline(F.expr("array(struct(v as u, m as v), struct(u as u, m as v))"))).where("u > v").distinct()
+        after = materialise(small, "edges")
+        drop_table(edges)
+        edges, before, mark = after, mark, after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    roots = materialise(edges.selectExpr("u as member", "v as root").union(edges.selectExpr("v", "v").distinct()), "roots")
+    drop_table(edges)
     return roots
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row.
-
-    Sets of 5-word shingles of whole texts, A-Z lower-cased, link from a Jaccard similarity of 0.75 on. Null texts and
-    texts without words have no shingles and are linked with nothing: component_id is their own doc_id. Repeated
-    rows come back as often as they go in; null doc_ids are smaller than none and never name a class that has others;
-    other columns are not read; an empty table gives an empty result.
-    """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark = docs.sparkSession
+def representatives(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
+    """The written summaries of all documents, and the frequency sketch of their shingles."""
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     table = materialise(_summaries(text), "summaries")
-    sets = table.where("kind = 0")
-    n_rows, total = (int(x or 0) for x in sets.agg(F.count("*"), F.sum("n")).first())
-    counts = _sketch(table).astype(np.float64)
+    return table.where("kind = 0"), _sketch(table).astype(np.float64)
+
+
+def signature_links(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Links that no bitmap rules out, as a written table of columns LINKS, whose classes hold every true link."""
     # Levels are fine steps of a counter's excess over the mean. What is shared by d documents stands d above the rest of its counter,
     # so it takes a place behind most shingles that are not, long before d is sure to be told from noise.
     level = np.clip((counts - counts.mean()) / math.sqrt(counts.mean() + 1) * 32 + 128, 0, 4095).astype(np.uint16)
-    n_slots = max(8, -(-total // (4 * SLOT_ENTRIES)))
-    blocks = materialise(_blocks(text, level, n_slots), "blocks")
+    salts = np.maximum(1, np.ceil((counts - counts.mean()) / HOT_ENTRIES)).astype(np.int64)
+    n_slots = max(8, math.ceil(counts.sum() / (4 * SLOT_ENTRIES)))
+    blocks = materialise(_blocks(sets.where("data is not null"), level, salts, n_slots), "blocks")
+    maps = sets.where("data is not null").select("digest", "bits").dropDuplicates(["digest"])
+    links = materialise(_links(blocks, maps), "links")
+    drop_table(blocks)
+    return links
 
-    def members(batches):
-        for batch in batches:
-            key, digest, size = [], [], []
-            for k, d, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                d, s = np.frombuffer(d, dtype=np.int64), np.frombuffer(s, dtype=np.uint32)
-                key.append(np.full(len(d), k))
-                digest.append(d)
-                size.append(s.astype(np.int64))
-            none = [np.zeros(0, dtype=np.int64)]
-            yield _batch([np.concatenate(none + x) for x in (key, digest, size)], [pa.int64()] * 3, ["block", "digest", "n"])
-
-    def prune(batches):
-        left = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            now = pa.concat_tables([left, now]) if left is not None else now
-            key = now.column("block").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            left = now.slice(int(cuts[-1]))
-            yield from links_of(now.slice(0, int(cuts[-1])), cuts)
-        if left is not None:
-            yield from links_of(left, np.zeros(1, dtype=np.int64))
-
-    def links_of(rows, cuts):
-        sizes, digests, maps = rows.column("n").to_numpy(), rows.column("digest").to_numpy(), rows.column("data").to_pylist()
-        out: list[tuple[int, int]] = []
-        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), rows.num_rows], strict=True):
-            if low < high:
-                out += [(int(digests[low + i]), int(digests[low + j])) for i, j in candidate_links(sizes[low:high], maps[low:high])]
-        yield _batch([[x for x, _ in out], [y for _, y in out]], [pa.int64()] * 2, ["a", "b"])
-
-    def stars(batches):
-        for batch in batches:
-            digests = [np.frombuffer(d, dtype=np.int64) for d in batch.column(1).to_pylist()]
-            none = [np.zeros(0, dtype=np.int64)]
-            yield _batch([np.concatenate(none + [np.full(len(d), d.min()) for d in digests]), np.concatenate(none + digests)], [pa.int64()] * 2, ["a", "b"])
-
-    large = (F.length("digests") > 8 * BLOCK_MEMBERS) | (F.length("sizes") == 0)
-    listed = blocks.where(~large).mapInArrow(members, "block long, digest long, n long")
-    maps = sets.where("n > 0").groupBy("digest").agg(F.first("data").alias("data"))
-    links = listed.join(maps, "digest").repartition("block").sortWithinPartitions("block").mapInArrow(prune, "a long, b long")
-    links = links.unionByName(blocks.where(large).mapInArrow(stars, "a long, b long"))
-    roots = _connected(links).selectExpr("member as digest", "root")
-    classes = _verified(text, roots, sets.where("n > 0").groupBy("digest").agg(F.first("n").alias("n")))
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row.
+
+    Sets of 5-word shingles of whole texts, A-Z lower-cased, link from a Jaccard similarity of 0.75 on. Null texts and
+    texts without words have no shingles and are linked with nothing: component_id is their own doc_id. Ids may be of any
+    type that has an order. Repeated rows come back as often as they go in; null doc_ids are smaller than none and never name a class that has others;
+    other columns are not read; an empty table gives an empty result. The result reads two tables in the shared folder.
+    """
+    sets, counts = representatives(docs, id_col, text_col)
+    n_rows = sets.count()
+    links = signature_links(sets, counts)
+    roots = _connected(links.where("a is not null").select("a", "b")).selectExpr("member as digest", "root")
+    classes = _verified(sets, roots)
+    drop_table(links, roots)
 
     reps = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
     named = reps.join(classes, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
@@ -505,95 +547,76 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
 
 
+COMPARED = "digest binary, class binary"
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact classes of the sets of one group of rows (root, chunk, digest, data, ...); repeated digests count once."""
-    sets, key = {}, (0, 0)
-    for batch in batches:
-        key = (batch.column("root")[0].as_py(), batch.column("chunk")[0].as_py())
-        for k, x in zip(batch.column("digest").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            sets.setdefault(k, x)
+    """Exact classes of the sets of one group of rows (digest, data, ...); class: the smallest digest of the class."""
+    table = pa.Table.from_batches(list(batches))
+    sets = dict(zip(table.column("digest").to_pylist(), table.column("data").to_pylist(), strict=True))
     keys = sorted(sets)
     label = exact_classes([np.frombuffer(sets[k], dtype=np.uint64) for k in keys])
-    n = np.bincount(label, minlength=len(keys))[label]
-    yield _batch([keys, [keys[i] for i in label], n.astype(np.int64), [key[0]] * len(keys), [key[1]] * len(keys)], [pa.int64()] * 4 + [pa.int32()], ["digest", "class", "class_size", "root", "chunk"])
+    yield _batch([keys, [keys[i] for i in label]], [pa.binary()] * 2, ["digest", "class"])
 
 
-COMPARED = "digest long, class long, class_size long, root long, chunk int"
+def _chunked(sets: DataFrame, shingles: int) -> DataFrame:
+    """sets (root, digest, n, ...) with a chunk: the sets of a world are dealt by digest over chunks of about so many shingles."""
+    worlds = sets.groupBy("root").agg(F.ceil(F.sum("n") / shingles).cast("int").alias("chunks"))
+    return sets.join(worlds, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
 
 
-def _verified(text: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
-    """digest, class (one of its digests), class_size of all representatives that bitmaps could not tell apart, by their exact sets.
+def _verified(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """digest, class (one of its digests), class_size of all representatives in the worlds (roots), by their exact sets.
 
-    A world (root) of more than TASK_SHINGLES shingles is dealt over chunks, which are compared each for itself; _merged()
-    then finds what links their classes.
+    A world is dealt over chunks of at most an even share of all shingles, and each is compared for itself. Then one member stands for each
+    class, and those are dealt and compared again, as long as that brings their number down. Where a world is left in
+    several classes, a link that is still to be found has an end outside its largest class; so what is outside meets every
+    chunk of the world. No task ever holds more than two chunks, and no link between any two members is missed.
     """
-    roots = materialise(roots.join(sizes, "digest"), "worlds")
-    n = roots.count()
-    worlds = roots.groupBy("root").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > TASK_SHINGLES).withColumn("chunks", F.ceil(F.col("shingles") / TASK_SHINGLES).cast("int"))
-    worlds = materialise(worlds, "large-worlds")
-    roots = roots.join(worlds, "root", "left").select("digest", "root", F.coalesce("chunks", F.lit(1)).alias("chunks"))
-    roots = roots.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
-    sets = _sets(text, roots, n).join(roots, "digest")
-    if worlds.isEmpty():
-        return materialise(sets.groupBy("root", "chunk").applyInArrow(_compare, COMPARED), "classes").select("digest", "class", "class_size")
-    sets = materialise(sets.dropDuplicates(["digest"]), "sets")
-    first = materialise(sets.groupBy("root", "chunk").applyInArrow(_compare, COMPARED), "classes")
-    large = first.join(worlds, "root", "left_semi")
-    small = first.join(worlds, "root", "left_anti").select("digest", "class", "class_size")
-    return small.unionByName(_merged(sets.where("chunks > 1"), large.select("digest", "class", "root")))
-
-
-def _merged(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """digest, class, class_size of worlds that lie in chunks, from the classes of each chunk.
-
-    First one member of each class stands for it. Worlds that this leaves in several classes are compared by pairs of chunks, so no
-    link between any two members is missed; a world that is one dense class, like a mass of near copies, never gets there.
-    """
-    leaders = sets.join(classes.where(F.col("digest") == F.col("class")).select("digest"), "digest", "left_semi").withColumn("chunk", F.lit(0))
-    by_leader = leaders.groupBy("root").applyInArrow(_compare, COMPARED).select(F.col("digest").alias("class"), F.col("class").alias("label"))
-    labelled = materialise(classes.join(by_leader, "class").select("digest", "root", "label"), "labels")
-    unclear = labelled.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("root")
-    rest = sets.join(unclear, "root", "left_semi").join(labelled.select("digest", "label"), "digest")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: k != F.col("chunk")))
-    pairs = rest.withColumn("other", other).select("root", "digest", "data", "label", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        labels = np.array(table.column("label").to_pylist(), dtype=np.int64)
-        found = exact_classes([np.frombuffer(x, dtype=np.uint64) for x in table.column("data").to_pylist()])
-        both = np.unique(np.stack([found, labels]), axis=1)
-        next_to = both[0, 1:] == both[0, :-1]
-        yield _batch([both[1, :-1][next_to], both[1, 1:][next_to]], [pa.int64()] * 2, ["a", "b"])
-
-    links = pairs.groupBy("root", "i", "j").applyInArrow(across, "a long, b long")
-    final = labelled.join(_connected(links).select(F.col("member").alias("label"), F.col("root").alias("to")), "label", "left").select("digest", F.coalesce("to", "label").alias("class"))
+    spark = sets.sparkSession
+    wanted = in_bitmap(sets.where("data is not null").select("digest", "n", "data"), "digest", roots.select("digest"))
+    own = materialise(wanted.join(roots, "digest").dropDuplicates(["digest"]), "worlds")
+    total = own.agg(F.sum("n")).first()[0] or 0
+    share = min(TASK_SHINGLES, max(LEAST_TASK_SHINGLES, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    dealt = materialise(_chunked(own, share), "chunks")
+    drop_table(own)
+    label = materialise(dealt.groupBy("root", "chunk").applyInArrow(_compare, COMPARED).join(dealt.select("digest", "root", "chunks"), "digest"), "classes")
+    large = label.where("chunks > 1")
+    worlds, leaders = large.agg(F.countDistinct("root"), F.countDistinct("class")).first()
+    while leaders > worlds:
+        first = dealt.join(large.select(F.col("class").alias("digest")).distinct(), "digest", "left_semi").select("root", "digest", "n", "data")
+        merged = _chunked(first, share).groupBy("root", "chunk").applyInArrow(_compare, COMPARED).select(F.col("digest").alias("class"), F.col("class").alias("to"))
+        after = materialise(label.join(merged, "class", "left").select("digest", F.coalesce("to", "class").alias("class"), "root", "chunks"), "classes")
+        drop_table(label)
+        label, large = after, after.where("chunks > 1")
+        before, leaders = leaders, large.select("class").distinct().count()
+        if 4 * leaders > 3 * before:
+            break
+    links = _across(dealt, large, share)
+    final = label.join(_connected(links).select(F.col("member").alias("class"), F.col("root").alias("to")), "class", "left").select("digest", F.coalesce("to", "class").alias("class"))
     final = materialise(final, "classes")
+    drop_table(label, links, dealt)
     return final.join(final.groupBy("class").agg(F.count("*").alias("class_size")), "class").select("digest", "class", "class_size")
 
 
-def _sets(text: DataFrame, roots: DataFrame, n: int) -> DataFrame:
-    """digest, data (sorted shingle hashes) of the representatives in roots, and of a few more. A bitmap of their digests, 32 MB at most,
-    is broadcast, so the sets of other documents are not moved."""
-    bits = min(28, max(20, math.ceil(math.log2(max(n, 1) * 16))))
-    spot = F.expr(f"digest & {(1 << bits) - 1}L")
-    found = roots.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toPandas()
-    wanted = np.zeros((1 << bits) // 8 + 8192, dtype=np.uint8)
-    for bucket, x in zip(found["bucket"], found["bits"], strict=True):
-        if bucket:
-            wanted[(int(bucket) - 1) * 4096 : int(bucket) * 4096] = np.frombuffer(x, dtype=np.uint8)
-    shared = text.sparkSession.sparkContext.broadcast(wanted)
+def _across(dealt: DataFrame, label: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between the classes in which a world is left, as a written table."""
+    sizes = label.groupBy("root", "class").agg(F.count("*").alias("size"))
+    worlds = sizes.groupBy("root").agg(F.max_by("class", F.struct("size", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("root", "largest")
+    rows = dealt.join(label.select("digest", "class"), "digest").join(worlds, "root")
+    outside = rows.where("class <> largest")
+    groups = outside.groupBy("root").agg(F.ceil(F.sum("n") / share).cast("int").alias("groups"))
+    inside = rows.join(groups, "root").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    meeting = outside.join(groups, "root").withColumn("group", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("groups")).cast("int"))
+    meeting = meeting.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    columns = ["root", "chunk", "group", "digest", "class", "data"]
 
-    def emit(batches):
-        mask = np.uint64((1 << bits) - 1)
-        for batch in batches:
-            first = {}
-            for _, offsets, hashes in shingle_sets(batch.column(0)):
-                digest = set_digests(offsets, hashes)
-                p = (digest & mask).astype(np.int64)
-                # bucket 1 holds positions 1 to 32768, so position p is bit p - 1; position 0 is in bucket 0
-                hit = (shared.value[np.where(p > 0, (p - 1) >> 3, 0)] >> ((p - 1) & 7).astype(np.uint8)) & 1
-                for i in np.flatnonzero((hit > 0) & (digest > 0) | (p == 0)):
-                    first[int(digest[i : i + 1].view(np.int64)[0])] = hashes[offsets[i] : offsets[i + 1]].tobytes()
-            yield _batch([list(first), list(first.values())], [pa.int64(), pa.binary()], ["digest", "data"])
-
-    return text.select("text").mapInArrow(emit, "digest long, data binary")
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        sets = dict(zip(table.column("digest").to_pylist(), zip(table.column("class").to_pylist(), table.column("data").to_pylist(), strict=True), strict=True))
+        names = [x for x, _ in sets.values()]
+        found = exact_classes([np.frombuffer(x, dtype=np.uint64) for _, x in sets.values()])
+        links = {(names[k], names[i]) for i, k in enumerate(found.tolist()) if names[i] != names[k]}
+        yield _batch([[a for a, _ in links], [b for _, b in links]], [pa.binary()] * 2, ["a", "b"])
+
+    return materialise(inside.select(columns).unionByName(meeting.select(columns)).groupBy("root", "chunk", "group").applyInArrow(across, "a binary, b binary"), "across")

@@ -62,12 +62,13 @@ def test_near_copies_chains_and_frequent_passages(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows)
 
 
-@pytest.mark.parametrize(("limit", "members", "batch"), [(300, 100_000, 64), (2000, 3, 64), (10**6, 100_000, 3), (400, 100_000, 4)])
-def test_large_worlds_in_chunks(spark, monkeypatch, limit, members, batch):
-    """Worlds, blocks and shingles too large for a task: a mass of near copies, and a chain whose ends share nothing."""
-    monkeypatch.setattr(jj, "TASK_SHINGLES", limit)
-    monkeypatch.setattr(jj, "BATCH_MEMBERS", batch)
-    monkeypatch.setattr(jj, "BLOCK_MEMBERS", members)
+@pytest.mark.parametrize(("share", "hot", "part"), [(300, 50_000, 20_000), (2000, 5, 20_000), (10**6, 3, 40), (400, 50_000, 7)])
+def test_worlds_shingles_and_partitions_of_any_size(spark, monkeypatch, share, hot, part):
+    """Worlds beyond a task's share, hot shingles, many partitions: a mass of near copies, a chain whose ends share nothing, hubs."""
+    monkeypatch.setattr(jj, "TASK_SHINGLES", share)
+    monkeypatch.setattr(jj, "LEAST_TASK_SHINGLES", share)
+    monkeypatch.setattr(jj, "HOT_ENTRIES", hot)
+    monkeypatch.setattr(jj, "PART_ENTRIES", part)
     rng = random.Random(2)
     word = lambda: f"w{rng.randrange(3000)}"
     base, chain, rows = [word() for _ in range(120)], [word() for _ in range(100)], []
@@ -83,16 +84,46 @@ def test_large_worlds_in_chunks(spark, monkeypatch, limit, members, batch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows)
 
 
-def test_thinned_entries_stay_connected():
+def test_salted_entries_still_meet():
     rng = np.random.default_rng(0)
-    tokens, digests = rng.integers(1, 9, 4000).astype(np.uint64), rng.integers(1, 400, 4000).astype(np.uint64)
-    t, d, s = jj._thinned(tokens, digests, np.full(4000, 7, dtype=np.uint32), 64)
-    assert max(np.unique(t[s > 0], return_counts=True)[1], default=0) <= 64
-    near = jj.Classes(400)
-    for k in np.unique(t):
-        own = d[t == k].astype(int)
-        near.add(np.full(len(own), own[0]), own)
-    assert len({near.find(int(x)) for x in np.unique(digests)}) == 1
+    tokens, digests = rng.integers(1, 9, 4000).astype(np.uint64), rng.integers(1, 2**62, (4000, 2)).astype(np.uint64)
+    salts = np.where(tokens < 4, 5, 1)
+    t, d, s = jj.salted(tokens, digests, np.full(4000, 7, dtype=np.uint32), salts)
+    assert len(t) == len(d) == len(s) == (salts**2 * (salts > 1) // 5 + (salts == 1)).sum()
+    keys = {}
+    for key, own in zip(t.tolist(), map(bytes, d), strict=True):
+        keys.setdefault(own, set()).add(key)
+    for token in (2, 7):
+        same = [keys[bytes(x)] for x in d[np.isin(d[:, 0], digests[tokens == token, 0])][:60]]
+        assert all(a & b for a in same for b in same)
+    hot = [key for key, n in zip(*np.unique(t, return_counts=True), strict=True) if n > 300]
+    assert all(k in (4, 5, 6, 7, 8) for k in hot)  # no key of a salted shingle has more than two fifths of its entries
+
+
+def test_trees_prune_and_near_copies_cost_their_length(spark):
+    """Node pairs are pruned on unrelated documents; a mass of near copies is joined without looking at all its leaf pairs."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = [" ".join(word() for _ in range(rng.randrange(8, 90))) for _ in range(600)]
+    rows = [(k, t) for k, text in enumerate(rows) for t in (text, text + " end")]
+    sets, counts = jj.representatives(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    seen, pruned = jj.signature_links(sets, counts).selectExpr("sum(seen)", "sum(pruned)").first()
+    assert pruned > seen / 4 > 0
+    n = 2000
+    base = np.random.default_rng(1).integers(0, 2**63, 100).astype(np.uint64)
+    maps = []
+    for _ in range(n):
+        own = base.copy()
+        own[rng.randrange(100)] = rng.randrange(2**63)
+        maps.append(jj.bitmap(own, int(jj.bitmap_class(np.array([100]))[0])))
+    found = jj.candidate_links(np.full(n, 100), maps, np.arange(n), np.zeros(n, dtype=np.int64))
+    assert len(set(found.labels().tolist())) == 1 and found.seen < 20 * n / jj.LEAF
+
+
+def test_text_ids(spark):
+    text = "one two three four five six seven"
+    got = jj.jaccard_classes(spark.createDataFrame([("b", text), ("a", text), (None, ""), ("c", None)], "doc_id string, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == [("None", 0, "None"), ("a", 3, "a"), ("b", 3, "a"), ("c", 0, "c")]
 
 
 def test_empty_table_null_and_repeated_ids(spark, empty):
@@ -114,17 +145,12 @@ def test_tree_join_loses_no_linking_pair(data):
         own[change] = rng.integers(0, 2**63, change.sum()).astype(np.uint64)
         sets.append(np.unique(own))
     sizes = np.array([len(s) for s in sets])
-    bits = np.stack([np.frombuffer(jj.bitmap(s, 7), dtype=np.uint64) for s in sets])
-    tree = jj.SignatureTree(bits, sizes)
-    found = {tuple(sorted(p)) for i, j in jj.tree_join(tree, tree, True) for p in zip(i.tolist(), j.tolist())}
-    for a in range(len(sets)):
-        for b in range(a):
-            both = len(np.intersect1d(sets[a], sets[b]))
-            if both and 100 * both >= 75 * (sizes[a] + sizes[b] - both):
-                assert (b, a) in found
+    shingle = data.draw(st.integers(1, 8))
+    entries = [(k, int(x)) for k, s in enumerate(sets) for x in np.unique(s % np.uint64(shingle))]
+    member, dealt = (np.array(x, dtype=np.int64) for x in zip(*entries, strict=True))
     label = jj.exact_classes(sets)
-    links = jj.candidate_links(sizes, [jj.bitmap(s, int(w)) for s, w in zip(sets, jj.bitmap_class(sizes))])
+    found = jj.candidate_links(sizes, [jj.bitmap(s, int(w)) for s, w in zip(sets, jj.bitmap_class(sizes), strict=True)], member, dealt)
     joined = jj.Classes(len(sets))
-    joined.add(np.array([a for a, _ in links], dtype=int), np.array([b for _, b in links], dtype=int))
+    joined.add(np.array([a for a, _ in found.links], dtype=int), np.array([b for _, b in found.links], dtype=int))
     for a in range(len(sets)):
-        assert joined.find(a) == joined.find(int(label[a]))
+        assert joined.find(a) == joined.find(int(label[a])) == found.find(a)
