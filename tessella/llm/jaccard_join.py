@@ -25,13 +25,13 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: Counters of the frequency sketch (16 bits each); slices in which it is summed.
 COUNTERS, SLICES = 1 << 19, 16
 #: Prefix entries that one task groups by shingle; entries of shared shingles to a partition of trees.
-SLOT_ENTRIES, PART_ENTRIES = 400_000, 20_000
+SLOT_ENTRIES, PART_ENTRIES = 400_000, 8_000
 #: A shingle with more prefix entries than this, by the sketch, is dealt over pairs of salts, so that no task gets many more than twice as many of them.
 HOT_ENTRIES = 50_000
 #: Bits per shingle of a set's bitmap, log2 of its greatest width (wider sets are folded), members of a leaf, children of a node, node pairs examined at once.
-BITS, WIDEST, LEAF, FANOUT, FRONTIER = 2, 12, 16, 8, 1 << 14
+BITS, WIDEST, LEAF, FANOUT, FRONTIER = 2, 16, 16, 8, 1 << 14
 #: Shingles of the sets that one task compares: an even share of all, within these bounds.
-LEAST_TASK_SHINGLES, TASK_SHINGLES = 20_000, 4_000_000
+LEAST_TASK_SHINGLES, TASK_SHINGLES = 200_000, 4_000_000
 
 
 def least_overlap(a, b):
