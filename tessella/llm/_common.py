@@ -37,7 +37,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -113,17 +113,17 @@ CELL_ROWS = 50_000
 def gapless(rows: DataFrame, group: str, ids: list[str], rest: list[str], n_rows: int, n_groups: int) -> DataFrame:
     """rows with a column rank, gapless from 0 in each group, in the order of a hash of ids.
 
-    A group is split into cells by that hash, so a large group is numbered by many tasks; the driver holds one count
-    per cell of about CELL_ROWS rows. rest breaks ties between rows with equal ids.
+    A group is split into cells of about CELL_ROWS rows by that hash, so a large group is numbered by many tasks. What the cells before one hold is
+    summed from one count per cell; nothing comes to the driver and nothing is broadcast by force: rows lie by
+    (group, cell) already when the sums are joined. rest breaks ties between rows with equal ids.
     """
     cells = max(1, -(-n_rows // (n_groups * CELL_ROWS)))
     dealt = rows.withColumn("__hash", F.xxhash64(*ids)).withColumn("__cell", F.pmod("__hash", F.lit(cells)).cast("int"))
-    counts = dealt.groupBy(group, "__cell").count().toPandas().sort_values([group, "__cell"])
-    counts["first"] = counts.groupby(group)["count"].cumsum() - counts["count"]
-    kind = next(f.dataType.simpleString() for f in rows.schema if f.name == group)
-    offsets = rows.sparkSession.createDataFrame([(int(a), int(b), int(c)) for a, b, c in counts[[group, "__cell", "first"]].itertuples(index=False)], f"{group} {kind}, __cell int, __first long")
+    counts = dealt.groupBy(group, "__cell").agg(F.count("*").alias("__n"))
+    first = F.sum("__n").over(Window.partitionBy(group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
     at = F.row_number().over(Window.partitionBy(group, "__cell").orderBy("__hash", *ids, *rest))
-    return dealt.withColumn("__at", at).join(F.broadcast(offsets), [group, "__cell"]).withColumn("rank", F.col("__first") + F.col("__at") - 1).drop("__hash", "__cell", "__at", "__first")
+    placed = dealt.withColumn("__at", at).join(counts.select(group, "__cell", first.alias("__first")), [group, "__cell"])
+    return placed.withColumn("rank", F.col("__first") + F.col("__at") - 1).drop("__hash", "__cell", "__at", "__first")
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -190,9 +190,14 @@ def word_hashes(table: pa.Array) -> np.ndarray:
 FIT_ROWS = 20_000
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held_out: tuple[int, int], fit_rows: int) -> DataFrame:
-    """doc_id, label and text of the labelled rows to fit on: fit_rows at most, so their ids may be broadcast."""
-    ids = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(held_out[0])) != held_out[1]).where("label is not null")
-    ids = ids.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held_out: tuple[int, int], fit_rows: int, unlabelled_rows: int = 0) -> DataFrame:
+    """doc_id, label and text of the labelled rows to fit on, fit_rows at most, so their ids may be broadcast; and of unlabelled_rows rows
+    without a label (label: -1), with the smallest hashes of their ids too. Ids of docs and labels are compared as text."""
+    taught = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(held_out[0])) != held_out[1]
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return text.join(F.broadcast(ids), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    known = labels.where(taught("doc_id")).where("label is not null").groupBy(F.col("doc_id").cast("string").alias("__id")).agg(F.max("label").cast("int").alias("label"))
+    ids = known.orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
+    if unlabelled_rows:
+        other = docs.where(taught(id_col)).select(F.col(id_col).cast("string").alias("__id")).join(labels.select(F.col("doc_id").cast("string").alias("__id")), "__id", "left_anti").distinct()
+        ids = ids.unionByName(other.orderBy(F.xxhash64("__id"), "__id").limit(unlabelled_rows).withColumn("label", F.lit(-1)))
+    return text.join(F.broadcast(ids), F.col("doc_id").cast("string") == F.col("__id")).select("doc_id", "label", "text")

@@ -547,22 +547,23 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")).alias("component_id"))
 
 
-COMPARED = "digest binary, class binary"
+COMPARED = "root binary, digest binary, class binary, chunks int"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact classes of the sets of one group of rows (digest, data, ...); class: the smallest digest of the class."""
+    """Exact classes of the sets of one group of rows (root, digest, data, chunks, ...); class: the smallest digest of the class."""
     table = pa.Table.from_batches(list(batches))
     sets = dict(zip(table.column("digest").to_pylist(), table.column("data").to_pylist(), strict=True))
     keys = sorted(sets)
     label = exact_classes([np.frombuffer(sets[k], dtype=np.uint64) for k in keys])
-    yield _batch([keys, [keys[i] for i in label]], [pa.binary()] * 2, ["digest", "class"])
+    root, chunks = table.column("root")[0].as_py(), table.column("chunks")[0].as_py()
+    yield _batch([[root] * len(keys), keys, [keys[i] for i in label], [chunks] * len(keys)], [pa.binary()] * 3 + [pa.int32()], ["root", "digest", "class", "chunks"])
 
 
-def _chunked(sets: DataFrame, shingles: int) -> DataFrame:
-    """sets (root, digest, n, ...) with a chunk: the sets of a world are dealt by digest over chunks of about so many shingles."""
-    worlds = sets.groupBy("root").agg(F.ceil(F.sum("n") / shingles).cast("int").alias("chunks"))
-    return sets.join(worlds, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
+def _chunked(members: DataFrame, shingles: int) -> DataFrame:
+    """members (root, digest, n, ...) with chunks and chunk: those of a world are dealt by digest over chunks of about so many shingles."""
+    worlds = members.groupBy("root").agg(F.ceil(F.sum("n") / shingles).cast("int").alias("chunks"))
+    return members.join(worlds, "root").withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
 
 
 def _verified(sets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -574,28 +575,34 @@ def _verified(sets: DataFrame, roots: DataFrame) -> DataFrame:
     chunk of the world. No task ever holds more than two chunks, and no link between any two members is missed.
     """
     spark = sets.sparkSession
-    wanted = in_bitmap(sets.where("data is not null").select("digest", "n", "data"), "digest", roots.select("digest"))
-    own = materialise(wanted.join(roots, "digest").dropDuplicates(["digest"]), "worlds")
-    total = own.agg(F.sum("n")).first()[0] or 0
+    first = sets.where("data is not null")
+    places = in_bitmap(first.select("digest", "n"), "digest", roots.select("digest")).dropDuplicates(["digest"]).join(roots, "digest")
+    places = materialise(places, "places")
+    total = places.agg(F.sum("n")).first()[0] or 0
     share = min(TASK_SHINGLES, max(LEAST_TASK_SHINGLES, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    dealt = materialise(_chunked(own, share), "chunks")
-    drop_table(own)
-    label = materialise(dealt.groupBy("root", "chunk").applyInArrow(_compare, COMPARED).join(dealt.select("digest", "root", "chunks"), "digest"), "classes")
-    large = label.where("chunks > 1")
+    data = in_bitmap(first.select("digest", "data"), "digest", roots.select("digest"))
+    dealt = materialise(data.join(_chunked(places, share), "digest").dropDuplicates(["digest"]), "worlds")
+    drop_table(places)
+    label = materialise(dealt.groupBy("root", "chunk").applyInArrow(_compare, COMPARED), "classes")
+    large, split = label.where("chunks > 1"), dealt.where("chunks > 1").drop("chunks", "chunk")
     worlds, leaders = large.agg(F.countDistinct("root"), F.countDistinct("class")).first()
     while leaders > worlds:
-        first = dealt.join(large.select(F.col("class").alias("digest")).distinct(), "digest", "left_semi").select("root", "digest", "n", "data")
-        merged = _chunked(first, share).groupBy("root", "chunk").applyInArrow(_compare, COMPARED).select(F.col("digest").alias("class"), F.col("class").alias("to"))
-        after = materialise(label.join(merged, "class", "left").select("digest", F.coalesce("to", "class").alias("class"), "root", "chunks"), "classes")
+        standing = split.join(large.select(F.col("class").alias("digest")).distinct(), "digest", "left_semi")
+        merged = _chunked(standing, share).groupBy("root", "chunk").applyInArrow(_compare, COMPARED).select(F.col("digest").alias("class"), F.col("class").alias("to"))
+        after = materialise(label.join(merged, "class", "left").select("root", "digest", F.coalesce("to", "class").alias("class"), "chunks"), "classes")
         drop_table(label)
         label, large = after, after.where("chunks > 1")
         before, leaders = leaders, large.select("class").distinct().count()
         if 4 * leaders > 3 * before:
             break
-    links = _across(dealt, large, share)
-    final = label.join(_connected(links).select(F.col("member").alias("class"), F.col("root").alias("to")), "class", "left").select("digest", F.coalesce("to", "class").alias("class"))
-    final = materialise(final, "classes")
-    drop_table(label, links, dealt)
+    final = label.select("digest", "class")
+    if leaders > worlds:
+        links = _across(dealt.where("chunks > 1"), large, share)
+        roots = _connected(links)
+        final = label.join(roots.select(F.col("member").alias("class"), F.col("root").alias("to")), "class", "left").select("digest", F.coalesce("to", "class").alias("class"))
+        final = materialise(final, "classes")
+        drop_table(label, links, roots)
+    drop_table(dealt)
     return final.join(final.groupBy("class").agg(F.count("*").alias("class_size")), "class").select("digest", "class", "class_size")
 
 
@@ -603,7 +610,7 @@ def _across(dealt: DataFrame, label: DataFrame, share: int) -> DataFrame:
     """Links (a, b) between the classes in which a world is left, as a written table."""
     sizes = label.groupBy("root", "class").agg(F.count("*").alias("size"))
     worlds = sizes.groupBy("root").agg(F.max_by("class", F.struct("size", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("root", "largest")
-    rows = dealt.join(label.select("digest", "class"), "digest").join(worlds, "root")
+    rows = dealt.join(worlds, "root").join(label.select("digest", "class"), "digest")
     outside = rows.where("class <> largest")
     groups = outside.groupBy("root").agg(F.ceil(F.sum("n") / share).cast("int").alias("groups"))
     inside = rows.join(groups, "root").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
