@@ -6,57 +6,80 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import gapless, materialise
+from tessella.llm._common import drop_table, gapless, materialise
 
-#: Groups to a block; the driver holds one byte total for each block.
-BLOCK_GROUPS, MAX_BLOCK_BITS = 4096, 18
+#: Groups to a block that is read whole; bits of the key that divide the blocks of one level, at most.
+BLOCK_GROUPS, LEVEL_BITS = 4096, 12
 
 
-class BlockedSizes:
-    """Prefix sums of an ordered list of positive sizes, of which only block totals are at hand.
+def level_bits(n_groups: int) -> list[int]:
+    """Bits of the key by which each level divides the one above, until a block has about BLOCK_GROUPS groups."""
+    left, out = max(0, int(np.ceil(np.log2(max(n_groups, 1) / BLOCK_GROUPS)))), []
+    while left > 0:
+        out.append(min(left, LEVEL_BITS))
+        left -= out[-1]
+    return out
 
-    fetch(blocks) returns {block: (sizes, keys)} of the blocks asked for; they are kept, so a search that goes over the same
-    ground again and again reads each block once.
-    """
 
-    def __init__(self, totals: np.ndarray, fetch):
-        self.starts = np.concatenate([[0], np.cumsum(totals)]).astype(np.int64)
-        self.total, self.fetch, self.seen = int(self.starts[-1]), fetch, {}
+class BlockedSizes:
+    """Prefix sums of an ordered list of positive sizes that lie in a tree of blocks, of which only the parts asked for are read.
 
-    def block(self, x: int) -> int:
-        return int(np.searchsorted(self.starts, x, side="right")) - 1
+    fetch(depth, blocks) returns, per block of that depth (a number, the root being 0 at depth 0), the sizes of its parts
+    in order: of its child blocks, or above depth `depth` of its groups, then with their keys. What was read is kept, so
+    a search that goes over the same ground again and again reads each block once.
+    """
 
-    def detail(self, b: int, hints=()) -> tuple[np.ndarray, list]:
-        if b not in self.seen:
-            ask = {b, *(h for h in hints if h not in self.seen)}
-            for k, (sizes, keys) in self.fetch(sorted(ask)).items():
-                self.seen[k] = (self.starts[k] + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), keys)
-        return self.seen[b]
+    def __init__(self, bits: list[int], fetch):
+        self.bits, self.fetch, self.seen = bits, fetch, {}
+        self.total = 0
+        self._read(0, {0: 0})
+        self.total = int(self.seen[0, 0][0][-1])
+
+    def _read(self, depth: int, blocks: dict[int, int]) -> None:
+        """Read the given blocks of a depth, whose first prefix sums are known."""
+        for b, (sizes, keys) in self.fetch(depth, sorted(blocks)).items():
+            self.seen[depth, b] = (blocks[b] + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), keys)
+
+    def _leaf(self, x: int) -> tuple[int, int] | tuple[int, int, int]:
+        """The block of the last depth that x < total falls into, or the first one on the way that is not read, with its first prefix sum."""
+        depth, b = 0, 0
+        while depth < len(self.bits):
+            sums = self.seen[depth, b][0]
+            k = int(np.searchsorted(sums, x, side="right")) - 1
+            depth, b = depth + 1, (b << self.bits[depth]) + k
+            if (depth, b) not in self.seen:
+                return depth, b, int(sums[k])
+        return depth, b
+
+    def prepare(self, xs) -> None:
+        """Read all blocks that the positions fall into, one depth at a time."""
+        xs = [x for x in xs if 0 <= x < self.total]
+        while missing := {m[:2]: m[2] for m in map(self._leaf, xs) if len(m) == 3}:
+            depth = min(d for d, _ in missing)
+            self._read(depth, {b: at for (d, b), at in missing.items() if d == depth})
+
+    def _sums(self, x: int, hints) -> np.ndarray:
+        self.prepare([x, *hints] if len(self._leaf(x)) == 3 else [])
+        return self.seen[self._leaf(x)][0]
 
     def floor(self, x: int, hints=()) -> int:
         """The largest prefix sum <= x."""
         if x >= self.total:
             return self.total
-        b = self.block(x)
-        if self.starts[b] == x:
-            return int(x)
-        sums = self.detail(b, hints)[0]
+        sums = self._sums(x, hints)
         return int(sums[np.searchsorted(sums, x, side="right") - 1])
 
     def ceil(self, x: int, hints=()) -> int:
         """The smallest prefix sum >= x."""
-        if x <= 0:
-            return 0
-        b = self.block(x)
-        if x >= self.total or self.starts[b] == x:
-            return min(int(x), self.total)
-        sums = self.detail(b, hints)[0]
+        if x <= 0 or x >= self.total:
+            return min(max(int(x), 0), self.total)
+        sums = self._sums(x, hints)
         return int(sums[np.searchsorted(sums, x, side="left")])
 
     def key_at(self, x: int):
         """Key of the group that starts at prefix sum x < total."""
-        sums, keys = self.detail(self.block(x))
-        return keys[int(np.searchsorted(sums, x, side="left"))]
+        sums = self._sums(x, ())
+        return self.seen[self._leaf(x)][1][int(np.searchsorted(sums, x, side="left"))]
 
 
 def minimax_cuts(sizes: BlockedSizes, n_shards: int, largest: int) -> tuple[int, list[int]]:
@@ -70,8 +93,7 @@ def minimax_cuts(sizes: BlockedSizes, n_shards: int, largest: int) -> tuple[int,
     even = -(-total // n_shards)
 
     def ahead(p: int, step: int) -> list[int]:
-        xs = [p + step * k for k in range(1, n_shards + 1)]
-        return [sizes.block(x) for x in xs if 0 <= x < total]
+        return [p + step * k for k in range(1, n_shards + 1)]
 
     def feasible(cap: int) -> bool:
         p = 0
@@ -109,39 +131,43 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     shard, in the order of a hash of doc_id), grown_shard (null). Repeated rows get slots of their own; other
     columns are not read; an empty table gives an empty result; trailing shards are empty if there are fewer groups.
 
-    The driver holds a byte total per block of about 4,096 groups (2**18 blocks at most), the few blocks that cuts
-    fall into, and a row count per cell of 50,000 rows.
+    The driver reads byte totals of at most 4,096 blocks at a time, level by level, for the few blocks that cuts fall into; a block
+    of the last level has about 4,096 groups, however many there are.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keys = materialise(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            F.unhex(F.sha2(text.cast("binary"), 256)).alias("gkey"),
-        ),
-        "shard-keys",
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("gkey"),
     )
+    keys = materialise(rows.withColumn("place", F.conv(F.hex(F.substring("gkey", 1, 7)), 16, 10).cast("long")), "shard-keys")
     n_rows = keys.count()
-    bits = min(MAX_BLOCK_BITS, max(0, int(np.ceil(np.log2(max(n_rows, 1) / BLOCK_GROUPS)))))
-    block = F.shiftright(F.conv(F.hex(F.substring("gkey", 1, 4)), 16, 10).cast("long"), 32 - bits)
-    groups = keys.groupBy("gkey").agg(F.sum("size").alias("bytes")).withColumn("block", block)
-    summary = groups.groupBy("block").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("largest")).toPandas()
-    totals = np.zeros(1 << bits, dtype=np.int64)
-    totals[summary["block"].to_numpy(dtype=np.int64)] = summary["bytes"].to_numpy(dtype=np.int64)
-
-    def fetch(blocks: list[int]) -> dict:
-        found = keys.withColumn("block", block).where(F.col("block").isin(blocks)).groupBy("block", "gkey").agg(F.sum("size").alias("bytes")).toPandas()
-        out = {b: (np.zeros(0, dtype=np.int64), []) for b in blocks}
-        for b, part in found.sort_values(["block", "gkey"], key=lambda c: c.map(bytes) if c.name == "gkey" else c).groupby("block"):
-            out[int(b)] = (part["bytes"].to_numpy(dtype=np.int64), [bytes(k) for k in part["gkey"]])
-        return out
+    bits = level_bits(n_rows)
+    groups = materialise(keys.groupBy("gkey", "place").agg(F.sum("size").alias("bytes")), "shard-groups")
+
+    def fetch(depth: int, blocks: list[int]) -> dict:
+        above = sum(bits[:depth])
+        mine = groups if not above else groups.withColumn("block", F.shiftright("place", 56 - above)).where(F.col("block").isin(blocks))
+        mine = mine if above else mine.withColumn("block", F.lit(0).cast("long"))
+        if depth == len(bits):
+            found = mine.select("block", "gkey", "bytes").toPandas()
+            found["gkey"] = found["gkey"].map(bytes)
+            parts = dict(iter(found.sort_values(["block", "gkey"]).groupby("block")))
+            return {b: (parts[b]["bytes"].to_numpy(dtype=np.int64), parts[b]["gkey"].tolist()) if b in parts else (np.zeros(0, dtype=np.int64), []) for b in blocks}
+        child = F.shiftright("place", 56 - above - bits[depth]).bitwiseAND((1 << bits[depth]) - 1)
+        found = mine.groupBy("block", child.alias("child")).agg(F.sum("bytes").alias("bytes")).toPandas()
+        out = {b: np.zeros(1 << bits[depth], dtype=np.int64) for b in blocks}
+        for b, part in found.groupby("block"):
+            out[int(b)][part["child"].to_numpy(dtype=np.int64)] = part["bytes"].to_numpy(dtype=np.int64)
+        return {b: (x, None) for b, x in out.items()}
 
     cut_keys = []
     if n_rows:
-        sizes = BlockedSizes(totals, fetch)
-        _, cuts = minimax_cuts(sizes, n_shards, int(summary["largest"].max()))
+        sizes = BlockedSizes(bits, fetch)
+        _, cuts = minimax_cuts(sizes, n_shards, groups.agg(F.max("bytes")).first()[0])
         cut_keys = [sizes.key_at(c) for c in cuts if c < sizes.total]
+    drop_table(groups)
     shard = F.lit(0)
     for k in cut_keys:
         shard = shard + (F.col("gkey") >= F.lit(bytearray(k))).cast("int")

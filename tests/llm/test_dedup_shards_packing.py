@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tessella.llm import _common, sharding
 from tessella.llm import exact_dedup as ed
 from tessella.llm.packing import bucket_bounds, pack
 from tessella.llm.sharding import BlockedSizes, assign_shards, minimax_cuts
@@ -78,18 +79,36 @@ def smallest_capacity(sizes, k):
 def test_cuts_reach_the_smallest_capacity(seed):
     rng = random.Random(seed)
     sizes = [rng.choice([16, 16, 40, rng.randint(16, 3000)]) for _ in range(rng.randint(1, 200))]
-    k, width = rng.randint(1, 40), rng.randint(1, 20)
-    blocks = [sizes[i : i + width] for i in range(0, len(sizes), width)]
-    index = BlockedSizes(np.array([sum(b) for b in blocks]), lambda q: {i: (np.array(blocks[i]), list(range(i * width, i * width + len(blocks[i])))) for i in q})
+    k, bits = rng.randint(1, 40), [rng.randint(1, 3) for _ in range(rng.randint(0, 3))]
+    places = sorted(rng.randrange(1 << sum(bits)) for _ in sizes)
+
+    def fetch(depth, blocks):
+        """The tree of blocks over places, of which each group has one."""
+        above, out = sum(bits[:depth]), {}
+        for b in blocks:
+            own = [i for i, p in enumerate(places) if p >> (sum(bits) - above) == b]
+            if depth == len(bits):
+                out[b] = (np.array([sizes[i] for i in own], dtype=np.int64), own)
+            else:
+                out[b] = (np.zeros(1 << bits[depth], dtype=np.int64), None)
+                for i in own:
+                    out[b][0][(places[i] >> (sum(bits) - above - bits[depth])) & ((1 << bits[depth]) - 1)] += sizes[i]
+        return out
+
+    index = BlockedSizes(bits, fetch)
     capacity, cuts = minimax_cuts(index, k, max(sizes))
     sums = [0, *itertools.accumulate(sizes)]
     parts = [b - a for a, b in itertools.pairwise([0, *cuts, sums[-1]])]
     assert capacity == smallest_capacity(sizes, k)
     assert max(parts) <= capacity and min(parts) >= 0 and set(cuts) <= set(sums)
+    assert all(index.key_at(c) == sums.index(c) for c in cuts if c < sums[-1])
 
 
-@pytest.mark.parametrize("frame", ["docs", "clashing"])
-def test_shards(frame, corpus, request):
+@pytest.mark.parametrize(("frame", "groups", "bits"), [("docs", 4096, 12), ("docs", 2, 1), ("clashing", 1, 3)])
+def test_shards(frame, groups, bits, corpus, request, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_GROUPS", groups)
+    monkeypatch.setattr(sharding, "LEVEL_BITS", bits)
+    monkeypatch.setattr(_common, "CELL_ROWS", 5)
     got = assign_shards(request.getfixturevalue(frame), 7).collect()
     text = {i: t or "" for i, t, *_ in corpus}
     assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in text.items()}
@@ -145,5 +164,12 @@ def test_pack_loses_nothing(frame, corpus, request):
     assert {r.bucket_len for r in got} == set(bounds)
 
 
+def test_text_ids(spark):
+    df = spark.createDataFrame([("b", "x y"), ("a", "x y"), (None, None), ("c", "z " * 100)], "doc_id string, text string")
+    assert {r.doc_id: r.slot for r in assign_shards(df, 1).collect()}.keys() == {"a", "b", "c", None}
+    assert {r.doc_id for r in pack(df, max_len=64).collect()} == {"a", "b", "c", None}
+    assert {r.doc_id: r.keep_id for r in ed.exact_dedup(df).collect()} == {"a": "b", "b": "b", "c": "c", None: None}
+
+
 def test_pack_of_an_empty_table(empty):
     assert pack(empty).collect() == []
