@@ -45,17 +45,27 @@ LAYOUTS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def field_paths(value, at: str = "") -> set[str]:
-    """Paths of all leaves of a parsed JSON value; list items share one path."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in field_paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in field_paths(v, f"{at}[]")} or {f"{at}[]"}
-    return {at}
+def field_paths(value) -> set[str]:
+    """Paths of all leaves of a parsed JSON value; list items share one path. The walk keeps its own stack, however deep the value."""
+    out, todo = set(), [("", value)]
+    while todo:
+        at, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{at}.{k}" if at else k, x) for k, x in v.items()]
+        elif isinstance(v, list) and v:
+            todo += [(f"{at}[]", x) for x in v]
+        else:
+            out.add(f"{at}[]" if isinstance(v, list) else at)
+    return out
 
 
 def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode(errors="surrogatepass")).hexdigest()[:16]
+
+
+def whole_characters(text: str) -> str:
+    """The text with every lone surrogate, which is no character and has no UTF-8 form, replaced by U+FFFD."""
+    return text if text.isascii() else re.sub("[\ud800-\udfff]", "\ufffd", text)
 
 
 class Canonicaliser:
@@ -75,7 +85,7 @@ class Canonicaliser:
     def turns(self, record: dict) -> tuple[str, str, list[tuple[str, str]]]:
         """(fingerprint, layout name, [(role, text)]); an unknown layout is named 'unknown' and has no turns."""
         key, layout = self.layout(record)
-        text = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
+        text = lambda v: whole_characters(v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False))
         if layout is None:
             return key, "unknown", []
         if layout.turns:
@@ -135,8 +145,10 @@ def format_records(records: DataFrame, id_col: str, record_col: str, turn_col: s
 
     Returns conv_id, turn (turn_col, or 0), part (place of the turn in its record), fingerprint, layout, piece
     and the span of the piece under the loss mask. Pieces of a conversation in the order of (turn, part, piece)
-    make up its formatted text. Null or unparsable records and unknown layouts give one row with a null
-    piece; null texts are empty; null roles are the empty role. Other columns are not read.
+    make up its formatted text. Null or unparsable records, those nested deeper than the parser goes (some thousand levels), and unknown
+    layouts give one row with a null piece; null texts are empty; null roles are the empty role; escapes of lone
+    surrogates become U+FFFD. Texts of any length are formatted whole; repeated rows give repeated pieces; ids are returned as text, null ids too;
+    other columns are not read; an empty table gives an empty result.
     """
     turn = F.col(turn_col).cast("long") if turn_col else F.lit(0).cast("long")
     rows = records.select(F.col(id_col).cast("string").alias("conv_id"), turn.alias("turn"), F.col(record_col).cast("string").alias("record"))
@@ -148,9 +160,9 @@ def format_records(records: DataFrame, id_col: str, record_col: str, turn_col: s
             for conv, turn, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 try:
                     record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                key, name, turns = canonical.turns(record) if isinstance(record, dict) else (None, "unknown", [])
+                    key, name, turns = canonical.turns(record) if isinstance(record, dict) else (None, "unknown", [])
+                except (ValueError, RecursionError):
+                    key, name, turns = None, "unknown", []
                 for part, (role, text) in enumerate(turns):
                     for k, v in zip(out, (conv, turn, part, key, name, *render(role, text)), strict=True):
                         out[k].append(v)
@@ -169,7 +181,9 @@ DIGEST = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, lo
 def read_back(pieces: DataFrame) -> DataFrame:
     """Digests of each conversation, read back from its formatted pieces.
 
-    Rows stream through in order and each conversation holds two running hashes, so its length needs no memory.
+    Rows stream through in order and each conversation holds two running hashes, so its length needs no memory. One task reads a
+    conversation's pieces, as its one hash asks for. Null pieces count as no turn; pieces that repeat, or whose order (turn, part) ties, follow
+    each other by their text; rows with a null conv_id are one conversation; an empty table gives an empty result.
     """
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part", "piece").select("conv_id", "piece", "loss_start", "loss_end")
 

@@ -47,12 +47,24 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def mixed_layouts():
+    """A turn (role, text) as a JSON record of one of four layouts, by its number; roles other than the three usual ones stay a plain row."""
+    json = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    pair = lambda role, text: F.array(F.struct(F.col("role").alias(role), F.col("text").alias(text)))
+    kind = F.when(F.col("role").isin("user", "assistant", "system"), F.pmod("turn", F.lit(4)))
+    return (
+        F.when(kind == 1, json("conv_id", pair("role", "content").alias("messages")))
+        .when(kind == 2, json("conv_id", pair("from", "value").alias("conversations")))
+        .when(kind == 3, json("conv_id", pair("role", "text").alias("turns")))
+        .otherwise(json("conv_id", "turn", "role", "text"))
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    record = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
-    out = read_back(format_records(rows.select("conv_id", "turn", record.alias("record")), "conv_id", "record", "turn"))
+    out = read_back(format_records(rows.select("conv_id", "turn", mixed_layouts().alias("record")), "conv_id", "record", "turn"))
     return out.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
