@@ -1,4 +1,10 @@
-"""Layout-aware HTML rendering to text: tree with implied tags, visibility rules, block spacing, lists, aligned tables."""
+"""Layout-aware HTML rendering to text: tree with implied tags, visibility rules, block spacing, lists, aligned tables.
+
+Hidden are elements that are never shown, those with a hidden attribute, those that an inline style or a style element's rule turns
+off (display: none, visibility: hidden), closed dialogs, and what a closed details element has beside its summary. Of style
+rules, selectors of one element by tag, classes and id are applied; those with combinators, attributes or states, and rules within
+at-rules, are not.
+"""
 
 from __future__ import annotations
 
@@ -44,8 +50,15 @@ TAG = re.compile(r"""</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*+>""")
 LOOSE_TAG = re.compile(r"</?[A-Za-z][^>]*>?")
 SPACE = re.compile(r"[ \t\n\f\r]+")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
-#: Tables within tables are laid out this deep; deeper ones come out as plain blocks.
-NESTED_TABLES = 8
+SHOWING = re.compile(r"(?:^|;)\s*(?:display|visibility)\s*:", re.IGNORECASE)
+CSS_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.DOTALL)
+CSS_RULE = re.compile(r"([^{}]*)([{}])")
+SELECTOR = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][A-Za-z_][\w-]*)*)")
+#: The padding of a table may have so many times its visible characters, by its depth in other tables. Where full alignment needs more,
+#: columns are aligned to these widths only, and longer cells push the rest of their line on; at 0, cells are two spaces apart.
+PADDING, ALIGNED = 4, (1 << 30, 100, 40, 16, 0)
+#: Columns within which cells that span rows push later rows' cells on.
+SPANNED_COLUMNS = 1000
 #: Elements nested deeper stand beside each other at this depth, as in browsers, so each tag looks at so many open ones at most.
 MAX_DEPTH = 512
 
@@ -90,7 +103,7 @@ def tokens(html: str):
         if name in RAW or name in RCDATA:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
             body = html[at : close.start() if close else n]
-            if name in RCDATA | {"xmp", "plaintext"} and body:
+            if name in RCDATA | {"xmp", "plaintext", "style"} and body:
                 yield "text", body, ""
             yield "end", name, ""
             at = close.end() if close else n
@@ -121,7 +134,7 @@ def build(html: str) -> Node:
         if stack[-1].tag == "colgroup" and (kind == "text" and value.strip(" \t\n\f\r") or kind == "start" and value not in ("col", "template")):
             stack.pop()
         if kind == "text":
-            text = unescape(value) if "&" in value and stack[-1].tag not in ("xmp", "plaintext") else value
+            text = unescape(value) if "&" in value and stack[-1].tag not in ("xmp", "plaintext", "style") else value
             if stack[-1].tag in TABLE_PARTS:
                 if text.strip(" \t\n\f\r"):
                     before_table(text)
@@ -181,17 +194,76 @@ def build(html: str) -> Node:
     return root
 
 
-def unseen(node: Node) -> bool:
+class Rules:
+    """Which elements the page's style elements hide: rules by their rarest part, the last of the most specific ones deciding."""
+
+    def __init__(self):
+        self.by_part: dict[str, list[tuple[tuple[int, int], str, frozenset[str], bool]]] = {}
+        self.count = 0
+
+    def add(self, css: str) -> None:
+        depth, skipped = 0, False
+        head = ""
+        css = CSS_NOISE.sub("", css)
+        for m in CSS_RULE.finditer(css):
+            text, brace = m[1], m[2]
+            if brace == "{":
+                if depth == 0:
+                    head = text.rpartition(";")[2] if text.lstrip().startswith("@") else text
+                    skipped = head.strip().startswith("@")
+                depth += 1
+            elif depth:
+                depth -= 1
+                if depth == 0 and not skipped and SHOWING.search(text):
+                    self._add(head, bool(HIDING.search(text)))
+
+    def _add(self, selectors: str, hides: bool) -> None:
+        for one in selectors.split(","):
+            m = SELECTOR.fullmatch(one.strip())
+            if m and m[0]:
+                parts = frozenset(re.findall(r"[.#][^.#]+", m[2]))
+                tag = "" if m[1] in (None, "*") else m[1].lower()
+                weight = 100 * sum(x[0] == "#" for x in parts) + 10 * sum(x[0] == "." for x in parts) + bool(tag)
+                self.count += 1
+                self.by_part.setdefault(min(parts) if parts else tag, []).append(((weight, self.count), tag, parts, hides))
+
+    def hide(self, node: Node) -> bool:
+        if not self.by_part:
+            return False
+        own = {f".{c}" for c in node.attrs.get("class", "").split()} | ({f"#{node.attrs['id']}"} if node.attrs.get("id") else set())
+        fit = [(order, hides) for part in (*own, node.tag, "") for order, tag, parts, hides in self.by_part.get(part, ()) if tag in ("", node.tag) and parts <= own]
+        return bool(fit) and max(fit)[1]
+
+
+def style_rules(root: Node) -> Rules:
+    rules, todo = Rules(), [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "style":
+            rules.add("".join(c for c in x.children if isinstance(c, str)))
+        todo.extend(c for c in reversed(x.children) if isinstance(c, Node))
+    return rules
+
+
+def unseen(node: Node, rules: Rules) -> bool:
     a = node.attrs
+    style = a.get("style") or ""
     return (
         node.tag in UNSEEN
         or "hidden" in a
-        or bool(a.get("style")) and bool(HIDING.search(a["style"]))
+        or (bool(HIDING.search(style)) if SHOWING.search(style) else rules.hide(node))
         or node.tag == "input" and a.get("type", "text").lower() not in ("submit", "button", "reset")
         or node.tag == "dialog" and "open" not in a
     )
 
 
+def children(node: Node) -> list[Node | str]:
+    """What of an element's children shows: of a closed details element only its summary."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+    return node.children
+
+
 class Writer:
     """Lines of text with collapsed white space, blank lines between spaced blocks, and list markers."""
 
@@ -244,56 +316,122 @@ class Writer:
         return "\n".join(lines)
 
 
-def rows_of(table: Node) -> tuple[list[list[Node]], list[Node]]:
+def rows_of(table: Node, rules: Rules) -> tuple[list[list[Node]], list[Node]]:
     """Rows of visible cells, and captions, of one table, without those of tables inside it."""
     rows, captions, todo = [], [], list(reversed(table.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str) or unseen(x):
+        if isinstance(x, str) or unseen(x, rules):
             continue
         if x.tag == "tr":
-            rows.append([c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not unseen(c)])
+            rows.append([c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not unseen(c, rules)])
         elif x.tag == "caption":
             captions.append(x)
         elif x.tag in ("tbody", "thead", "tfoot"):
             todo.extend(reversed(x.children))
-    return [r for r in rows if r], captions
-
-
-def span(cell: Node) -> int:
-    value = cell.attrs.get("colspan", "1").strip()
-    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() and len(value) < 5 else 1
+    return rows, captions
+
+
+def whole(value: str | None, default: int, low: int, high: int) -> int:
+    value = (value or "").strip()
+    return min(max(int(value), low), high) if re.fullmatch("-?[0-9]{1,9}", value) else default
+
+
+def grid(rows: list[list[Node]]) -> list[list[tuple[int, int, Node]]]:
+    """First column, number of columns and cell, row by row: cells that span rows keep their columns from the rows below."""
+    out, taken = [], []  # taken: (first column, end, first row that is free again), in order
+    for y, row in enumerate(rows):
+        taken = [t for t in taken if t[2] > y]
+        placed, new, at, k = [], [], 0, 0
+        for cell in row:
+            while k < len(taken) and taken[k][0] <= at:
+                at, k = max(at, taken[k][1]), k + 1
+            cols, down = whole(cell.attrs.get("colspan"), 1, 1, 1000), whole(cell.attrs.get("rowspan"), 1, 0, 65_534) or len(rows) - y
+            placed.append((at, cols, cell))
+            if down > 1 and at < SPANNED_COLUMNS:
+                if new and new[-1][1] == at and new[-1][2] == y + down:
+                    new[-1] = (new[-1][0], at + cols, y + down)
+                else:
+                    new.append((at, at + cols, y + down))
+            at += cols
+        taken = sorted(taken + new)
+        out.append(placed)
+    return out
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
-    """Cells padded to the widest of their column, two spaces between columns; cells of several lines stay side by side."""
-    rows, captions = rows_of(table)
-    laid = [[(render(c, depth + 1).split("\n"), span(c)) for c in row] for row in rows]
-    widths: dict[int, int] = {}
+def table_lines(table: Node, rules: Rules, depth: int) -> list[str]:
+    """Cells start where their column starts, two spaces behind the widest cell of the column before; cells of several lines stay side by side."""
+    rows, captions = rows_of(table, rules)
+    laid = [[(at, cols, render(cell, rules, depth + 1).split("\n")) for at, cols, cell in row] for row in grid(rows)]
+    out = [line for c in captions for line in render(c, rules, depth + 1).split("\n") if line]
+    lines: list[list[tuple[int, str]]] = []
+    widths: dict[int, list[int]] = {}
+    visible = 0
     for row in laid:
-        at = 0
-        for lines, cols in row:
-            if cols == 1:
-                widths[at] = max(widths.get(at, 0), *(len(x) for x in lines))
-            at += cols
-    out = [line for c in captions for line in render(c, depth + 1).split("\n") if line]
-    for row in laid:
-        for k in range(max(len(lines) for lines, _ in row)):
-            parts, at = [], 0
-            for lines, cols in row:
-                wide = sum(widths.get(i, 0) for i in range(at, at + cols)) + 2 * (cols - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(wide))
-                at += cols
-            out.append("  ".join(parts).rstrip(" "))
-    return out
+        first = len(lines)
+        lines += [[] for _ in range(max((len(text) for _, _, text in row), default=0))]
+        for at, cols, text in row:
+            own = widths.setdefault(at, [])
+            for k, x in enumerate(text):
+                if x:
+                    lines[first + k].append((at, x))
+                    visible += len(x) - x.count(" ")
+                    if cols == 1:
+                        own.append(len(x))
+    for most in ALIGNED:
+        start, at = {}, 0
+        for c in sorted(widths):
+            start[c] = at
+            at += max((w for w in widths[c] if w <= most), default=0) + 2 if most else 0
+        drawn, padding = [], 0
+        for line in lines:
+            parts, now = [], 0
+            for c, x in line:
+                gap = max(start[c] - now, 2 if now else 0)
+                padding += gap
+                parts += [" " * gap, x] if not most or padding <= PADDING * visible / (depth + 1) + 64 else [x]
+                now += gap + len(x)
+            drawn.append("".join(parts))
+        if not most or padding <= PADDING * visible / (depth + 1) + 64:
+            break
+    return out + drawn
+
+
+#: Counters of list items by the type attribute: a counter's text in base 26 letters or Roman numerals (fixed values).
+ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+
+
+def counter(n: int, kind: str) -> str:
+    text = ""
+    if kind in ("a", "A") and n > 0:
+        while n:
+            n, k = divmod(n - 1, 26)
+            text = chr(97 + k) + text
+    elif kind in ("i", "I") and 0 < n < 4000:
+        for value, sign in ROMAN:
+            text, n = text + sign * (n // value), n % value
+    else:
+        return str(n)
+    return text.upper() if kind.isupper() else text
+
+
+def list_counter(node: Node) -> list | None:
+    """Next number, step and type of an ordered list's items; None for other lists."""
+    if node.tag != "ol":
+        return None
+    a = node.attrs
+    down = "reversed" in a
+    items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if down else 1
+    return [whole(a.get("start"), items, -(10**9), 10**9), -1 if down else 1, a.get("type", "1").strip()]
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """Visible text of a tree. The walk keeps its own stack, so nesting of elements is not bounded by Python's."""
+def render(root: Node, rules: Rules | None = None, depth: int = 0) -> str:
+    """Visible text of a tree. The walk keeps its own stack; only tables within tables call it anew, of which MAX_DEPTH allows some 170."""
+    rules = style_rules(root) if rules is None else rules
     w = Writer()
-    counters: list[int | None] = []
+    counters: list[list | None] = []
     pre = 0
-    todo: list[tuple[Node | str, bool]] = [(c, True) for c in reversed(root.children)]
+    todo: list[tuple[Node | str, bool]] = [(c, True) for c in reversed(children(root))]
     while todo:
         x, enter = todo.pop()
         if isinstance(x, str):
@@ -304,7 +442,7 @@ def render(root: Node, depth: int = 0) -> str:
         if tag in ("ul", "ol", "menu") and counters and gap == 2:
             gap = 1
         if enter:
-            if unseen(x):
+            if unseen(x, rules):
                 continue
             if tag == "br":
                 w.end_line(keep=True)
@@ -317,9 +455,9 @@ def render(root: Node, depth: int = 0) -> str:
             if tag == "input":
                 w.text(x.attrs.get("value", ""))
                 continue
-            if tag == "table" and depth < NESTED_TABLES:
+            if tag == "table":
                 w.block(2)
-                for line in table_lines(x, depth):
+                for line in table_lines(x, rules, depth):
                     w._add(line)
                     w.end_line(keep=True)
                 w.block(2)
@@ -327,12 +465,13 @@ def render(root: Node, depth: int = 0) -> str:
             if gap:
                 w.block(gap)
             if tag in ("ul", "ol", "menu"):
-                begin = x.attrs.get("start", "1")
-                counters.append((int(begin) if begin.lstrip("-").isdigit() and len(begin) < 10 else 1) if tag == "ol" else None)
+                counters.append(list_counter(x))
             elif tag == "li":
                 mark = "- "
                 if counters and counters[-1] is not None:
-                    mark, counters[-1] = f"{counters[-1]}. ", counters[-1] + 1
+                    now, step, kind = counters[-1]
+                    now = whole(x.attrs.get("value"), now, -(10**9), 10**9)
+                    mark, counters[-1][0] = f"{counter(now, kind)}. ", now + step
                 w.indent.append(" " * len(mark))
                 w.marker = mark
             elif tag in ("blockquote", "dd"):
@@ -342,7 +481,7 @@ def render(root: Node, depth: int = 0) -> str:
             elif tag == "q":
                 w.text('"')
             todo.append((x, False))
-            todo.extend((c, True) for c in reversed(x.children))
+            todo.extend((c, True) for c in reversed(children(x)))
             continue
         if tag == "q":
             w.text('"')
@@ -364,7 +503,12 @@ def html_to_text(html: str | None) -> str:
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, text, n_chars, n_lines for every page: each row on its own, whole, whatever its size. Other columns are not read."""
+    """page_id, text, n_chars, n_lines for every page: each row on its own, whole, whatever its size.
+
+    Null and empty pages have the empty text, of no lines; repeated rows come back as often as they go in; ids may be of any type; other columns are
+    not read; an empty table gives an empty result. The padding of tables is bounded by their text, so a text's size is in
+    proportion to its page's.
+    """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches):
