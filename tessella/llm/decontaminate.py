@@ -2,11 +2,14 @@
 
 Distances are edits of words. An item of n words matches a text if some stretch of it is within k = floor(rate * n)
 edits. Windows are taken where they can match at all: cut an item into k + 1 blocks, and a stretch within k edits
-has one block unharmed, so every match has a block of its item at the block's distance from the window's start.
+has one block unharmed, so every match has a block of its item at the block's distance from the window's start. The number of keys
+follows from the recall that is measured on edited items; where no number reaches the target, windows skip the keys and meet all items of
+their size.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,14 +17,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessella.llm._common import as_strings, mix64, split_words, text_slices, word_hashes
+from tessella.llm._common import as_strings, materialise, mix64, split_words, text_slices, word_hashes
 
 TRIM = ".,;:!?()[]{}<>\"'#$%&*|=+-_/\\~`"
 #: Items and words of them that are broadcast at once; larger benchmarks are searched for in blocks.
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
-#: Random walks, and sampled coordinates in a key. The number of keys per walk follows from the target recall.
+#: Random walks, sampled coordinates in a key, and most keys of a walk.
 WALKS, COORDINATES, MAX_KEYS = 4, 2, 64
+#: Coordinates are sampled from so many steps a word: a walk over n words takes about 2 n, and what comes after its end tells nothing.
+SPAN = 1.8
 
 
 def normal_words(texts: pa.Array):
@@ -34,34 +40,41 @@ def normal_words(texts: pa.Array):
         yield at, len(part), kept[offsets], hashes[codes[there]]
 
 
-def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, walk: int) -> np.ndarray:
-    """CGK: at each step the word under the pointer is emitted, and a random bit of (walk, step, word) moves the pointer on.
+def embed(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, walk: int) -> np.ndarray:
+    """Sampled coordinates of CGK embeddings: at each step the word under the pointer is emitted, and a random bit of (walk, step,
+    word) moves the pointer on. Equal words after an edit come back into step by chance, so few edits leave most coordinates equal.
 
-    One row per window of words[start:end]; past its end zeros are emitted. Equal words after an edit come back into step
-    by chance, so few edits leave most coordinates equal.
+    One row per window words[start:end]; places are the steps to sample, per row; past a window's end zeros are emitted. Only sampled
+    steps are kept, and a window is walked no further than its own last one, so memory and time don't follow the longest window.
     """
-    out = np.zeros((len(starts), steps), dtype=np.uint64)
-    at = starts.copy()
-    for j in range(steps):
-        live = at < ends
-        now = np.where(live, words[np.minimum(at, len(words) - 1)], np.uint64(0)) if len(words) else out[:, j]
-        out[:, j] = now
-        at = at + (live & ((mix64(now + np.uint64(0x9E3779B97F4A7C15 * (walk * 4096 + j + 1) % 2**64)) >> np.uint64(40)) & np.uint64(1)).astype(bool))
+    out = np.zeros(places.shape, dtype=np.uint64)
+    if not places.size or not len(words):
+        return out
+    order = np.argsort(-places.max(axis=1), kind="stable")
+    last = places.max(axis=1)[order]
+    at, ends, places = starts[order].copy(), ends[order], places[order]
+    want = np.argsort(places, axis=None, kind="stable")
+    cuts = np.searchsorted(places.ravel()[want], np.arange(int(last[0]) + 2))
+    live_rows = np.searchsorted(-last, -np.arange(int(last[0]) + 1), side="right")
+    for j, k in enumerate(live_rows.tolist()):
+        live = at[:k] < ends[:k]
+        now = np.where(live, words[np.minimum(at[:k], len(words) - 1)], np.uint64(0))
+        row, column = np.divmod(want[cuts[j] : cuts[j + 1]], places.shape[1])
+        out[order[row], column] = now[row]
+        at[:k] += live & ((mix64(now + np.uint64(0x9E3779B97F4A7C15 * (walk * 4096 + j + 1) % 2**64)) >> np.uint64(40)) & np.uint64(1)).astype(bool)
     return out
 
 
 def lsh_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, n_keys: int) -> np.ndarray:
     """n_keys * WALKS keys per window: hashes of COORDINATES sampled coordinates of its embedding for items of that size."""
     keys = np.zeros((len(starts), WALKS * n_keys), dtype=np.uint64)
-    rng = np.random.default_rng(17)
-    places = rng.random((WALKS, MAX_KEYS, COORDINATES))
-    rows = np.arange(len(starts))
+    shares = np.random.default_rng(17).random((WALKS, MAX_KEYS, COORDINATES))[:, :n_keys]
     for walk in range(WALKS):
-        e = embed(words, starts, ends, 3 * int(sizes.max(initial=1)), walk)
+        e = embed(words, starts, ends, (shares[walk].reshape(1, -1) * (SPAN * sizes[:, None])).astype(np.int64), walk)
         for k in range(n_keys):
             key = np.full(len(starts), walk * MAX_KEYS + k + 1, dtype=np.uint64) + sizes.astype(np.uint64) * np.uint64(1_000_003)
             for c in range(COORDINATES):
-                key = mix64(key + e[rows, (places[walk, k, c] * 3 * sizes).astype(np.int64)] * np.uint64(2 * c + 3))
+                key = mix64(key + e[:, k * COORDINATES + c] * np.uint64(2 * c + 3))
             keys[:, walk * n_keys + k] = key
     return keys
 
@@ -91,9 +104,10 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 @dataclass
 class ItemIndex:
-    """What the search needs of a block of items: their words, anchors per gram size, and LSH keys."""
+    """What the search needs of a block of items: their words, anchors per gram size, and LSH keys. recall is what the keys reach on edited
+    items; below the target, exact is set and the keys are the sizes of the items, which their windows share."""
 
-    ids: np.ndarray
+    ids: list
     offsets: np.ndarray
     words: np.ndarray
     limits: np.ndarray
@@ -102,6 +116,10 @@ class ItemIndex:
     keys: np.ndarray
     key_items: np.ndarray
     recall: float
+    exact: bool = False
+
+    def keys_of(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return sizes[:, None].astype(np.uint64) if self.exact else lsh_keys(words, starts, ends, sizes, self.n_keys)
 
 
 def grams(words: np.ndarray, q: int) -> np.ndarray:
@@ -128,7 +146,7 @@ def edited(words: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def build_index(ids: np.ndarray, items: list[np.ndarray], rate: float, recall: float, trials: int = 400) -> ItemIndex:
+def build_index(ids: list, items: list[np.ndarray], rate: float, recall: float, trials: int = 400) -> ItemIndex:
     """The index of a block. The number of keys is the least (a power of two) with which the share of items with k random
     edits whose window shares a key with its item reaches the target recall."""
     sizes = np.array([len(x) for x in items], dtype=np.int64)
@@ -159,10 +177,12 @@ def build_index(ids: np.ndarray, items: list[np.ndarray], rate: float, recall: f
             if got >= recall or n_keys >= MAX_KEYS:
                 break
             n_keys *= 2
-    keys = lsh_keys(words, offsets[:-1], offsets[1:], sizes, n_keys)
-    flat_keys, key_items = keys.ravel(), np.repeat(np.arange(len(items)), keys.shape[1])
-    order = np.argsort(flat_keys, kind="stable")
-    return ItemIndex(ids, offsets, words, limits, anchors, n_keys, flat_keys[order], key_items[order], got)
+    none = np.zeros(0, dtype=np.uint64)
+    index = ItemIndex(ids, offsets, words, limits, anchors, n_keys, none, none, got, bool(len(items)) and got < recall)
+    keys = index.keys_of(words, offsets[:-1], offsets[1:], sizes)
+    order = np.argsort(keys, axis=None, kind="stable")
+    index.keys, index.key_items = keys.ravel()[order], np.repeat(np.arange(len(items)), keys.shape[1])[order]
+    return index
 
 
 def windows(words: np.ndarray, index: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +210,7 @@ def search(offsets: np.ndarray, words: np.ndarray, index: ItemIndex, chunk: int
         middle = np.clip(s + n // 2, 0, len(words) - 1)
         doc = np.searchsorted(offsets, middle, side="right") - 1
         low, high = np.maximum(s, offsets[doc]), np.minimum(s + n, offsets[doc + 1])
-        keys = lsh_keys(words, low, high, n, index.n_keys)
+        keys = index.keys_of(words, low, high, n)
         left, right = (np.searchsorted(index.keys, keys.ravel(), side=side) for side in ("left", "right"))
         hits = right - left
         window = np.repeat(np.arange(keys.size) // keys.shape[1], hits)
@@ -209,44 +229,69 @@ def search(offsets: np.ndarray, words: np.ndarray, index: ItemIndex, chunk: int
     return [(d, item, *found) for (d, item), found in sorted(best.items())]
 
 
-MATCH = "doc_id long, item_id long, edits int, first_word long, end_word long"
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, edits, first_word, end_word (counted from end_word by the item's length) of every leaked item in every document.
 
     Whole texts are searched; words are compared without case and outer punctuation. Items without words match nothing; null
-    and empty texts hold nothing; items and documents with a null id are searched like others; equal items are all reported; repeated rows are searched each on its own; other columns
-    are not read. A benchmark of more than BLOCK_ITEMS items or BLOCK_WORDS words is searched for in blocks of that size.
+    and empty texts hold nothing; items and documents with a null id are searched like others, and ids may be of any type; equal items
+    are all reported; repeated rows are searched each on its own; other columns are not read; an empty table gives an empty result.
+
+    A benchmark of more than BLOCK_ITEMS items or BLOCK_WORDS words is searched for in blocks of that size, one after the other: each block's
+    index is built by a task, broadcast (bounded by these two), used in one scan of the documents and given up.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    out = None
-    block: list[tuple[int, np.ndarray]] = []
-    size = 0
+    spark = docs.sparkSession
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
+    match = f"doc_id {dict(text.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, edits int, first_word long, end_word long"
 
-    def one_block(block):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(np.array([i for i, _ in block], dtype=object), [w for _, w in block], rate, recall))
+    def index_of(block: list[tuple[object, np.ndarray]]):
+        """The broadcast index of a block."""
 
+        def build(batches):
+            for batch in batches:
+                ids, words = pickle.loads(batch.column(0)[0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build_index(ids, words, rate, recall))], pa.binary())], names=["index"])
+
+        packed = pickle.dumps(([i for i, _ in block], [w for _, w in block]))
+        built = spark.createDataFrame([(bytearray(packed),)], "block binary").mapInArrow(build, "index binary").first()[0]
+        return spark.sparkContext.broadcast(pickle.loads(built))
+
+    def matches(index) -> DataFrame:
         def run(batches):
             for batch in batches:
+                doc: list[int] = []
                 rows: list[tuple[int, ...]] = []
-                ids = batch.column(0).to_pylist()
                 for at, _, offsets, words in normal_words(batch.column(1)):
-                    rows += [(ids[at + d], index.value.ids[i], *rest) for d, i, *rest in search(offsets, words, index.value)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in MATCH.split(", ")])
-
-        return text.mapInArrow(run, MATCH)
-
-    for row in items.orderBy("item_id").toLocalIterator():
+                    for d, i, *rest in search(offsets, words, index.value):
+                        doc.append(at + d)
+                        rows.append((index.value.ids[i], *rest))
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                kinds = [item_type, pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "item_id", "edits", "first_word", "end_word"])
+
+        return text.mapInArrow(run, match)
+
+    def written(block) -> DataFrame:
+        index = index_of(block)
+        out = materialise(matches(index), "leaks")
+        index.destroy()
+        return out
+
+    parts: list[DataFrame] = []
+    block: list[tuple[object, np.ndarray]] = []
+    size = 0
+    for row in items.orderBy("item_id", "text").toLocalIterator():
         for _, _, _, words in normal_words(pa.array([row["text"]])):
             if len(words):
                 block.append((row["item_id"], words))
                 size += len(words)
         if len(block) >= BLOCK_ITEMS or size >= BLOCK_WORDS:
-            out, block, size = one_block(block) if out is None else out.unionByName(one_block(block)), [], 0
-    if block or out is None:
-        out = one_block(block) if out is None else out.unionByName(one_block(block))
+            parts, block, size = [*parts, written(block)], [], 0
+    if not parts:
+        return matches(index_of(block))
+    parts += [written(block)] if block else []
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out

@@ -63,6 +63,44 @@ def test_leaks_match_brute_force(spark):
     assert sum(r.doc_id == 202 and r.item_id == 3 for r in got) == 2
 
 
+def test_long_items_beyond_the_keys_are_searched_exactly():
+    rng = np.random.default_rng(8)
+    items = [rng.integers(1, 2**62, 700).astype(np.uint64) for _ in range(5)]
+    index = dc.build_index(list("abcde"), items, 0.2, 0.99)
+    assert index.exact and index.recall < 0.99
+    for k in range(5):
+        own = dc.edited(items[k], int(index.limits[k]), rng)
+        text = np.concatenate([rng.integers(1, 2**62, 50).astype(np.uint64), own, rng.integers(1, 2**62, 50).astype(np.uint64)])
+        assert [i for _, i, *_ in dc.search(np.array([0, len(text)]), text, index)] == [k]
+
+
+def test_embedding_matches_a_walk_step_by_step():
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 50, 300).astype(np.uint64)
+    starts = rng.integers(0, 250, 20)
+    ends = starts + rng.integers(0, 50, 20)
+    places = rng.integers(0, 90, (20, 7))
+    for walk in (0, 3):
+        got = dc.embed(words, starts, ends, places, walk)
+        for r in range(20):
+            at, seen = int(starts[r]), []
+            for j in range(90):
+                now = words[at] if at < ends[r] else np.uint64(0)
+                seen.append(int(now))
+                step = (int(dc.mix64(np.array([now + np.uint64(0x9E3779B97F4A7C15 * (walk * 4096 + j + 1) % 2**64)]))[0]) >> 40) & 1
+                at += step if at < ends[r] else 0
+            assert got[r].tolist() == [seen[p] for p in places[r]]
+
+
+def test_benchmarks_in_blocks_and_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 3)
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    bench = spark.createDataFrame([(f"i{k}", words(k)) for k in range(8)] + [(None, words(9)), ("none", None)], "item_id string, text string")
+    docs = spark.createDataFrame([(f"d{k}", "before " + words(k) + " after") for k in range(10)] + [("e", ""), (None, words(2)), ("n", None)], "doc_id string, text string")
+    got = sorted((str(r.doc_id), str(r.item_id), r.edits) for r in dc.find_leaks(docs, bench).collect())
+    assert got == sorted([(f"d{k}", f"i{k}", 0) for k in range(8)] + [("d9", "None", 0), ("None", "i2", 0)])
+
+
 def test_recall_at_the_edit_limit():
     rng = np.random.default_rng(3)
     items = [rng.integers(1, 2**60, n).astype(np.uint64) for n in rng.integers(15, 60, 40)]
