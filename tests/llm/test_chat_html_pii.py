@@ -1,5 +1,6 @@
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -57,6 +58,15 @@ def test_records_null_broken_and_empty(spark):
     assert cf.read_back(cf.format_records(df.where("false"), "conv", "rec")).collect() == []
 
 
+def test_deep_records_and_lone_surrogates_go_through(spark):
+    deep = '{"role": "user", "text": ' + '{"a": ' * 200_000 + "1" + "}" * 200_000 + "}"
+    rows = [(1, deep), (2, r'{"role": "user", "text": "a \ud800 b \ud83d\ude00"}'), (3, r'{"\ud800": 1, "role": "x", "text": "t"}'), (4, '{"role": "user", "text": "' + "long " * 2_000_000 + '"}')]
+    got = {r.conv_id: r for r in cf.format_records(spark.createDataFrame(rows, "conv long, rec string"), "conv", "rec").collect()}
+    assert got["1"].piece is None and got["1"].layout == "unknown"
+    assert cf.parse(got["2"].piece) == [("user", "a \ufffd b \U0001f600")] and cf.parse(got["3"].piece) == [("x", "t")]
+    assert len(got["4"].piece) > 10_000_000
+
+
 def test_digests_of_rows_by_turn(spark):
     rng = random.Random(1)
     rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["x", None, "<|im_end|>", "é\n"])) for c in range(30) for t in range(rng.randrange(1, 9))]
@@ -107,6 +117,62 @@ def test_any_markup_renders(html):
     html_to_text(html)
 
 
+MORE = [
+    ("<table><tr><td rowspan=2>A<td>b1<tr><td>b2</table>", "A  b1\n   b2"),
+    ("<table><tr><td>a<td rowspan=0>R<td>c<tr><td>dd<td>e</table>", "a   R  c\ndd     e"),
+    ("<style>.x, p#y {display:none} li { visibility: hidden }\n@media print { b { display: none } }</style><b class='a x'>no</b><p id=y>no</p><p>yes<i class=x style='display:inline'> shown</i><ul><li>no</ul><b>b</b>", "yes shown\n\nb"),
+    ("<style>p.a {display:block} p {display:none}</style><p class=a>one<p>two", "one"),
+    ("<style>/* p{display:none} */ div > p {display:none}</style><p>one", "one"),
+    ("<details><summary>s</summary>no<p>no</details><details open><summary>t</summary>u</details>", "s\nt\nu"),
+    ("<ol type=a start=26><li>x<li>y<li value=3>z</ol>", "z. x\naa. y\nc. z"),
+    ("<ol reversed><li>x<li>y</ol><ol type=I><li>x<li value=4>y</ol>", "2. x\n1. y\n\nI. x\nIV. y"),
+    ("<table>" * 60 + "<tr><td>in" + "</table>" * 60, "in"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), MORE)
+def test_spans_rules_details_and_counters(html, text):
+    assert html_to_text(html) == text
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3)), min_size=1, max_size=4), min_size=1, max_size=5))
+def test_cells_start_at_their_column(rows):
+    """Spans expanded into a matrix, cell by cell: all cells that start in one column start at one place of their lines."""
+    matrix: dict[tuple[int, int], str] = {}
+    html, name, column = "<table>", 0, {}
+    for y, row in enumerate(rows):
+        html, x = html + "<tr>", 0
+        for cols, down in row:
+            while (y, x) in matrix:
+                x += 1
+            word = f"w{name}" + "x" * (name % 3)
+            for dy in range(down):
+                for dx in range(cols):
+                    matrix.setdefault((y + dy, x + dx), word)
+            html, name, column[word] = html + f"<td colspan={cols} rowspan={down}>{word}", name + 1, x
+            x += cols
+    text = html_to_text(html + "</table>")
+    places: dict[int, set[int]] = {}
+    for line in text.split("\n"):
+        for m in re.finditer(r"\S+", line):
+            places.setdefault(column[m[0]], set()).add(m.start())
+    assert re.findall(r"\S+", text) == list(column)
+    if sum(map(len, rows)) > 3:
+        wide = [w for w in column if matrix and sum(v == w for v in matrix.values()) > 1]
+        assert wide or all(len(p) == 1 for p in places.values())
+
+
+def test_padding_stays_in_proportion():
+    page = "<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>"
+    text = html_to_text(page)
+    assert len(text) < 10 * len(page) and text.count("b") == 2000
+    page = "<table><tr>" + "<td rowspan=9999>c" * 3000 + "<tr><td>d" * 3000 + "</table>"
+    assert len(html_to_text(page)) < 10 * len(page)
+    page = "<table><tr><td>" + "<br>".join("k" * 9 for _ in range(5000)) + "<td>z" * 3000 + "</table>"
+    assert len(html_to_text(page)) < 10 * len(page)
+
+
 STRAY = [
     ("<table><form><tr><td>x</td></tr></form></table>", "x"),
     ("<table><tr><form><td>x</td></form></tr></table>", "x"),
@@ -178,12 +244,57 @@ def test_base_spans_match_the_patterns(text):
 
 def test_trees_separate_and_thresholds_hold():
     x, y, _ = pii.training_set(3000, seed=99)
-    model, thresholds = pii.fit_model()
+    model, thresholds = pii.fit()
     p = model.probability(x)
     assert ((p > 0.5) == y).mean() > 0.85
     assert set(thresholds) == set(pii.KINDS)
 
 
+def test_spans_match_a_plain_reading(spark):
+    """Candidates, tree probabilities node by node, thresholds and the greedy choice, one text at a time."""
+    rng = random.Random(3)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = [lambda: f'token = "{secret()}"', lambda: f"commit {secret()}", lambda: number(16), lambda: "a.b@c.org", lambda: f"call ({number(3)}) {number(3)}-{number(4)}", lambda: f"ssn {number(3)}-{number(2)}-{number(4)}", lambda: f"order no. {number(3)}-{number(2)}-{number(4)}", lambda: "iban DE89370400440532013000", lambda: "jo at mail dot com"]
+    texts = ["words " + " and ".join(rng.choice(made)() for _ in range(rng.randrange(4))) + " end" for _ in range(300)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, thresholds = pii.fit(df)
+
+    def probability(kind, text, b, e):
+        x, raw = pii.features(kind, text, b, e), 0.0
+        for feat, cut, value in model.trees:
+            node = 0
+            while feat[node] >= 0 and node < 2**model.depth - 1:
+                node = 2 * node + 1 + (x[feat[node]] > cut[node])
+            raw += value[node]
+        return 1 / (1 + math.exp(-(model.platt[0] * raw + model.platt[1])))
+
+    got = {r.doc_id: r for r in pii.find_pii(df, (model, thresholds)).collect()}
+    for k, text in enumerate(texts):
+        base = [(kind, b, e) for kind, spans in brute(text or "").items() for b, e in spans]
+        kept = list(base)
+        judged = [(probability(*c[:1], text, *c[1:]), *c) for c in pii.candidates(text or "")]
+        for p, kind, b, e in sorted(judged, key=lambda c: (-c[0], c[2], -c[3], c[1])):
+            if p >= thresholds[kind] - 1e-12 and all(e <= y or z <= b for _, y, z in kept):
+                kept.append((kind, b, e))
+        kept.sort(key=lambda s: (pii.KINDS.index(s[0]), *s[1:]))
+        assert got[k].spans == ",".join(f"{a}:{b}:{e}" for a, b, e in kept) and got[k].n_spans == len(kept)
+    found = [k for k, t in enumerate(texts) if t and "token" in t and got[k].spans.count("secret") >= t.count("token")]
+    assert len(found) >= 0.9 * sum("token" in (t or "") for t in texts)
+
+
+def test_labels_of_corpus_candidates(spark):
+    base = pii.base_spans
+    label = lambda kind, text, b, e: pii.weak_label(kind, text, b, e, base(text))
+    assert label("card", "4111 1111 1111 1111", 0, 19) == 1 and label("card", "4111 1111 1111 1112", 0, 19) == 0
+    assert label("secret", "token = abc", 8, 11) == 1 and label("secret", "commit abc", 7, 10) == 0 and label("secret", "say abc", 4, 7) is None
+    assert label("ip", "1:2:3:4:5", 0, 9) == 0 and label("ip", "2001:db8::1", 0, 11) is None
+    df = spark.createDataFrame([(1, "4111 1111 1111 1112 "), (2, None), (3, 'key = "' + "0a" * 20 + '"')] * 5, "doc_id string, text string")
+    x, y, kinds = pii.corpus_candidates(df, per_kind=3)
+    assert len(x) == len(y) == 6 and sorted(zip(kinds, y.tolist(), strict=True)) == [("card", 0.0)] * 3 + [("secret", 1.0)] * 3
+    assert {r.doc_id for r in pii.find_pii(df).collect()} == {"1", "2", "3"}
+
+
 def test_pii_rows(spark):
     rows = [(1, None), (2, ""), (3, "mail a.b@c.org or (555) 123-4567 call"), (3, "x"), (4, 'token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6" end'), (5, "1" * 200_000), (6, "plain words at home. And more")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as spans", "'y' as n_email")
