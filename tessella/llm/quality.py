@@ -144,7 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Word vectors from every row and whole text of docs; the network from fit_rows labelled rows at most.
 
     labels has doc_id and label (0, 1 or null); rows of which crc32(doc_id) mod held_out[0] is held_out[1] teach nothing.
-    The vectors have a fixed size (hashed words), so what is summed and sent to the driver does not depend on the vocabulary.
+    The vectors have a fixed size (hashed words), so what is summed and sent to the driver does not depend on the vocabulary. A doc_id with several
+    texts counts once, with the one of the smallest pooled vector; null ids and ids without a document teach nothing; without labels of both
+    kinds every score is the same.
     """
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     width = ROWS // PARTS * WIDTH
@@ -175,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = pooled(batch.column(2), shared.value, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-    rows = labelled_rows(docs, labels, id_col, text_col, held_out, fit_rows).mapInArrow(pool, "doc_id long, label int, x binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    train_rows = labelled_rows(docs, labels, id_col, text_col, held_out, fit_rows)
+    rows = train_rows.mapInArrow(pool, f"doc_id {dict(train_rows.dtypes)['doc_id']}, label int, x binary").toPandas().sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     x = np.frombuffer(b"".join(rows["x"]), dtype=np.float64).reshape(-1, WIDTH + 1)
     return QualityModel(vectors, train(x, rows["label"].to_numpy(dtype=float)))
 
@@ -183,14 +186,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, score (probability of label 1), predicted (score >= threshold) for every row.
 
-    Null and empty texts are scored as texts without words; repeated rows get the same score; other columns are not read.
+    Null and empty texts are scored as texts without words; repeated rows get the same score; ids may be of any type; other columns are not
+    read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             p = shared.value.network.probability(pooled(batch.column(1), shared.value.vectors, batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return text.mapInArrow(run, "doc_id long, score double, predicted int")
+    return text.mapInArrow(run, f"doc_id {dict(text.dtypes)['doc_id']}, score double, predicted int")

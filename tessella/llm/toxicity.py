@@ -11,26 +11,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import as_strings, labelled_rows, mix64, split_words, text_slices, word_hashes
+from tessella.llm._common import as_strings, drop_table, labelled_rows, materialise, mix64, split_words, text_slices, word_hashes
 
-#: At most so many labelled rows are used to fit; the driver holds the features of their documents, about 3 kB each.
-FIT_ROWS = 12_000
+#: At most so many labelled rows, and rows without a label, are used to fit, those with the smallest hash of their id; the driver holds the
+#: features of their documents, about 3 kB each. Of the labelled ones, one in so many only calibrates.
+FIT_ROWS, FIT_UNLABELLED, CALIBRATE = 12_000, 3_000, 5
 #: Dimensions of hashed features; lengths of the word beginnings that are features beside whole words.
 DIMS, PREFIXES = 1 << 21, (4, 5, 6)
 TRIM = ".,;:!?()[]{}<>\"'#$%&*|=+-_/\\~`"
-#: Everyday insults.
-INSULTS = frozenset(
-    "idiot idiots moron morons scum loser losers worthless disgusting pathetic trash clown clowns stupid dumb imbecile imbeciles jerk jerks bastard bastards "
-    "bitch bitches asshole assholes retard retarded garbage vermin freak pig pigs slut whore filth filthy creep coward cowards "
-    "idiota idiotas imbecil estúpido estúpida basura asqueroso cabrón puta mierda "
-    "idiotes crétin imbécile connard connasse salaud salope ordure dégoûtant minable "
-    "arschloch dummkopf trottel abschaum wertlos ekelhaft hurensohn schlampe vollidiot".split()
-)
-INSULT_SET = pa.array(sorted(INSULTS), pa.large_string())
+#: Everyday words of abuse, by language and kind.
+LEXICONS = {
+    "english": "idiot idiots moron morons loser losers worthless pathetic clown clowns stupid dumb imbecile imbeciles jerk jerks freak creep coward cowards",
+    "spanish": "idiota idiotas imbecil imbécil estúpido estúpida estúpidos asqueroso asquerosa inútil payaso cobarde",
+    "french": "idiot idiote idiotes crétin crétine imbécile imbéciles minable dégoûtant dégoûtante abruti abrutie débile",
+    "german": "idiot idioten dummkopf trottel wertlos ekelhaft vollidiot blödmann versager feigling",
+    "profane": "bastard bastards bitch bitches asshole assholes retard retarded slut whore cabrón puta mierda connard connasse salaud salope arschloch hurensohn schlampe",
+    "degrading": "scum trash garbage vermin pig pigs filth filthy disgusting basura ordure abschaum ungeziefer dreck",
+    "threatening": "kill die hurt destroy hate matar muere odio tuer crève déteste töten stirb hasse",
+}
+WORDS = {k: frozenset(v.split()) for k, v in LEXICONS.items()}
+INSULTS = frozenset().union(*(v for k, v in WORDS.items() if k != "threatening"))
+SETS = {k: pa.array(sorted(v), pa.large_string()) for k, v in WORDS.items()}
 DIRECTED = re.compile(r"\b(?:you|your|you're|u|tu|eres|es|du bist|ihr seid|vous êtes|tu es)\b[^.!?\n]{0,24}")
 LEET = str.maketrans("013457@$", "oleastas")
-VOTERS = ("insult", "insults", "disguised", "directed", "learned_word", "learned_words", "learned_beginning", "dense", "shouting", "no_hit")
-N_PATTERNS = 1 << len(VOTERS)
+#: A word with its middle struck out.
+MASKED = r"^[a-zß-ÿ]+[*#$%@]{2,}[a-zß-ÿ]*$"
+VOTERS = (
+    "english", "spanish", "french", "german", "profane", "degrading", "threats", "insults", "repeated", "disguised", "masked", "directed",
+    "learned_word", "learned_words", "beginning_4", "beginning_5", "beginning_6", "dense", "early", "short", "shouting", "exclaiming",
+)
+#: Voters that look at whether there is abuse; the rest looks at how a text is written.
+HITS = VOTERS.index("shouting")
 
 
 def table_features(table: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -93,33 +104,47 @@ def words_of(texts: pa.Array):
 
 
 def votes(part: pa.Array, offsets, codes, feats, norm, table, lex: Lexicons) -> np.ndarray:
-    """The pattern of each text: bit k is set if voter k fires."""
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    insult = np.asarray(pc.is_in(norm, value_set=INSULT_SET))
+    """The pattern of each text: bit k is set if voter k fires.
+
+    A lexicon votes if one of its words occurs (threats: two different ones), insults if two different ones do, repeated if one does
+    twice; disguised and masked look for words with digits or signs for letters, directed for an insult soon behind a form of
+    address; learned words and word beginnings of four to six letters are those that labels have shown to be toxic; dense: more than
+    1 % of the words are such, early: one is among the first 30, short: one is in a text of fewer than 60; shouting: more
+    than half of the words in capitals, exclaiming: more than one in ten with '!'.
+    """
+    n, size = len(offsets) - 1, np.diff(offsets)
+    row = np.repeat(np.arange(n), size)
+    known = {k: np.asarray(pc.is_in(norm, value_set=v)) for k, v in SETS.items()}
+    insult = np.any([v for k, v in known.items() if k != "threatening"], axis=0)
     hidden = np.zeros(len(norm), dtype=bool)
     for i in np.flatnonzero(np.asarray(pc.match_substring_regex(norm, "[013457@$]")) & ~insult):
         hidden[i] = norm[int(i)].as_py().translate(LEET) in INSULTS
+    masked = np.asarray(pc.match_substring_regex(norm, MASKED))
     learned = np.isin(feats[:, 0], lex.word)
-    begins = np.isin(feats[:, 1:], lex.beginning).any(axis=1)
+    begins = [np.isin(feats[:, k + 1], lex.beginning) for k in range(len(PREFIXES))]
     raw_upper = np.asarray(pc.utf8_is_upper(table)) & (np.asarray(pc.utf8_length(table)) > 2)
-    size = np.maximum(np.diff(offsets), 1)
+    loud = np.asarray(pc.match_substring(table, "!"))
+
+    def tokens(flag):
+        return np.bincount(row[flag[codes]], minlength=n)
 
     def distinct(flag):
         at = flag[codes]
         return np.bincount(distinct_pairs(row[at], codes[at], len(norm) + 1)[0], minlength=n)
 
-    n_insult, n_learned, n_begin = distinct(insult), distinct(learned), distinct(begins)
-    tokens = np.bincount(row[(insult | learned | begins)[codes]], minlength=n)
+    abuse = np.any([insult, hidden, masked, learned, *begins], axis=0)
+    at = np.flatnonzero(abuse[codes])
+    early = np.bincount(row[at][at - offsets[row[at]] < 30], minlength=n)
+    n_insult, n_learned, n_abuse = distinct(insult), distinct(learned), tokens(abuse)
     directed = np.zeros(n, dtype=bool)
     for i in np.flatnonzero(n_insult):
         text = part[int(i)].as_py().lower()
         directed[i] = any(w.strip(TRIM) in INSULTS for m in DIRECTED.finditer(text) for w in m[0].split())
+    words = np.maximum(size, 1)
     columns = [
-        n_insult > 0, n_insult > 1, np.bincount(row[hidden[codes]], minlength=n) > 0, directed, n_learned > 0, n_learned > 1, n_begin > 1,
-        tokens / size > 0.01, np.bincount(row[raw_upper[codes]], minlength=n) / size > 0.5,
+        *(tokens(known[k]) > 0 for k in VOTERS[:6]), distinct(known["threatening"]) > 1, n_insult > 1, tokens(insult) > n_insult, tokens(hidden) > 0, tokens(masked) > 0, directed,
+        n_learned > 0, n_learned > 1, *(distinct(b) > 1 for b in begins), n_abuse / words > 0.01, early > 0, (n_abuse > 0) & (size < 60), tokens(raw_upper) / words > 0.5, tokens(loud) / words > 0.1,
     ]
-    columns.append(~np.any(columns[:8], axis=0))
     return sum(c.astype(np.int64) << k for k, c in enumerate(columns))
 
 
@@ -128,15 +153,18 @@ class LabelModel:
 
     Each voter depends on the class and on one other voter, the parent with which it shares most information given the class
     (the maximum spanning tree); the training label is one more voter, which abstains where there is none. Fitted
-    by expectation maximisation on counts of (pattern, label), of which there are at most 3 * 2**voters.
+    by expectation maximisation on counts of (pattern, label); patterns that occur are few, since most voters agree on most texts.
     """
 
     def __init__(self, patterns: np.ndarray, known: np.ndarray, counts: np.ndarray, rounds: int = 40):
         m = len(VOTERS)
         bits = (patterns[:, None] >> np.arange(m)) & 1
         w = counts.astype(float)
-        clean = bits[:, VOTERS.index("no_hit")] == 1
-        q = np.where(known >= 0, np.where(known == 1, 0.97, 0.03), np.where(clean, 0.03, 0.5 + 0.4 * (bits[:, :7].sum(axis=1) > 1)))
+        hits = bits[:, :HITS].sum(axis=1)
+        q = np.where(known >= 0, np.where(known == 1, 0.97, 0.03), np.array([0.03, 0.5, 0.8, 0.95])[np.minimum(hits, 3)])
+        # what voters of abuse are made for, as a few rows: on texts that are not toxic they hardly fire; on toxic ones they may miss
+        belief = np.full((2, m, 2), 0.5)
+        belief[0, :HITS] = 3.0, 0.1
         for _ in range(rounds):
             mass = np.stack([w * (1 - q), w * q])
             self.prior = (mass.sum(axis=1) + 1) / (mass.sum() + 2)
@@ -152,7 +180,7 @@ class LabelModel:
             for c in (0, 1):
                 for k, p in enumerate(self.parent):
                     table = pair[c, p, k] if p >= 0 else np.diag(pair[c, k, k])[None, :].repeat(2, axis=0)
-                    table = table + 0.5
+                    table = table + belief[c, k]
                     self.cond[c, k] = table / table.sum(axis=1, keepdims=True)
             new = self.posterior(patterns, known)
             if np.abs(new - q).max(initial=0) < 1e-6:
@@ -230,15 +258,19 @@ class ToxicityModel:
     bias: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (5, 0), fit_rows: int = FIT_ROWS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (5, 0), fit_rows: int = FIT_ROWS, unlabelled_rows: int = FIT_UNLABELLED) -> ToxicityModel:
     """Fits on docs; labels has doc_id and label (0, 1 or null). Rows of which crc32(doc_id) mod held_out[0] is held_out[1] teach nothing.
 
-    Voters see every row of docs, so their accuracies and correlations come from the whole corpus; the driver gets at
-    most 3 * 2**10 counts and the features of fit_rows documents. The classifier learns the label model's posteriors; its scores are then
-    calibrated on the labels of the fit rows. Without labels the insult lexicon alone decides.
+    Voters see every row of docs, so their accuracies and correlations come from the whole corpus; the driver gets one count per pattern
+    of votes that occurs, and the features of the fit rows. The classifier learns the label model's posteriors of labelled rows and of rows
+    without a label; one labelled row in CALIBRATE is kept from it and calibrates its scores. Without labels the voters
+    alone decide. A doc_id with several texts counts once, with the one of the smallest features; null ids and ids without a document
+    teach nothing; an empty table gives a model of the prior.
     """
     spark = docs.sparkSession
-    train = labelled_rows(docs, labels, id_col, text_col, held_out, fit_rows)
+    train = labelled_rows(docs, labels, id_col, text_col, held_out, fit_rows, unlabelled_rows)
+    id_type = dict(train.dtypes)["doc_id"]
+    train = materialise(train, "fit-rows")
 
     def feature_rows(batches):
         for batch in batches:
@@ -249,37 +281,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     out[at + i] = np.unique(own[own >= 0])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32).tobytes() for x in out], pa.binary())], names=["doc_id", "label", "features"])
 
-    got = train.mapInArrow(feature_rows, "doc_id long, label int, features binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = train.mapInArrow(feature_rows, f"doc_id {id_type}, label int, features binary").toPandas().sort_values(["doc_id", "features"]).drop_duplicates("doc_id")
     rows = [np.frombuffer(x, dtype=np.int32) for x in got["features"]]
     y = got["label"].to_numpy(dtype=float)
-    lex = spark.sparkContext.broadcast(learn_lexicons(rows, y))
+    lex = spark.sparkContext.broadcast(learn_lexicons([r for r, v in zip(rows, y, strict=True) if v >= 0], y[y >= 0]))
     taught = spark.sparkContext.broadcast(dict(zip(got["doc_id"].tolist(), got["label"].tolist(), strict=True)))
 
+    def patterns_of(texts):
+        return np.concatenate([np.zeros(0, dtype=np.int64), *(votes(part, *rest, lex.value) for _, part, *rest in words_of(texts))])
+
     def count_votes(batches):
         for batch in batches:
-            pattern = np.concatenate([np.zeros(0, dtype=np.int64), *(votes(part, *rest, lex.value) for _, part, *rest in words_of(batch.column(1)))])
             known = np.fromiter((taught.value.get(i, -1) for i in batch.column(0).to_pylist()), dtype=np.int64, count=batch.num_rows)
-            keys, n = np.unique(pattern * 4 + known + 1, return_counts=True)
+            keys, n = np.unique(patterns_of(batch.column(1)) * 4 + known + 1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys // 4), pa.array(keys % 4 - 1), pa.array(n.astype(np.int64))], names=["pattern", "known", "n"])
 
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = text.mapInArrow(count_votes, "pattern long, known long, n long").groupBy("pattern", "known").agg(F.sum("n").alias("n")).orderBy("pattern", "known").toPandas()
     model = LabelModel(*(seen[c].to_numpy(dtype=np.int64) for c in ("pattern", "known", "n")))
 
     def own_votes(batches):
         for batch in batches:
-            pattern = np.concatenate([np.zeros(0, dtype=np.int64), *(votes(part, *rest, lex.value) for _, part, *rest in words_of(batch.column(2)))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pattern)], names=["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(patterns_of(batch.column(2)))], names=["doc_id", "pattern"])
 
-    pattern = train.mapInArrow(own_votes, "doc_id long, pattern long").toPandas().drop_duplicates("doc_id").sort_values("doc_id")["pattern"].to_numpy(dtype=np.int64)
+    own = train.mapInArrow(own_votes, f"doc_id {id_type}, pattern long").toPandas()
+    drop_table(train)
+    pattern = got.merge(own.groupby("doc_id", as_index=False).min(), on="doc_id", how="left")["pattern"].to_numpy(dtype=np.int64)
     if not len(rows):
-        patterns = np.arange(N_PATTERNS)
-        rows, pattern, y = [np.zeros(0, dtype=np.int64)] * N_PATTERNS, patterns, np.full(N_PATTERNS, -1.0)
+        pattern = np.arange(1 << HITS)[:: max(1, (1 << HITS) // 4096)]
+        rows, y = [np.zeros(0, dtype=np.int64)] * len(pattern), np.full(len(pattern), -1.0)
+    bits = (pattern[:, None] >> np.arange(len(VOTERS))) & 1
     target = model.posterior(pattern, y.astype(np.int64))
-    weights, vote_weights, bias = fit_linear(rows, pattern, target, lex.value.features)
+    kept = (y >= 0) & (np.cumsum(y >= 0) % CALIBRATE == 0)
+    weights, vote_weights, bias = fit_linear([r for r, k in zip(rows, kept, strict=True) if not k], pattern[~kept], target[~kept], lex.value.features)
     place = [np.searchsorted(lex.value.features, np.intersect1d(d, lex.value.features)) for d in rows]
-    z = np.array([weights[k].sum() for k in place]) + ((pattern[:, None] >> np.arange(len(VOTERS))) & 1) @ vote_weights + bias
-    slope, offset = platt(z[y >= 0], y[y >= 0])
+    z = np.array([weights[k].sum() for k in place]) + bits @ vote_weights + bias
+    slope, offset = platt(z[kept], y[kept])
     return ToxicityModel(lex.value, weights * slope, vote_weights * slope, bias * slope + offset)
 
 
@@ -304,17 +341,17 @@ def probabilities(texts: pa.Array, m: ToxicityModel) -> np.ndarray:
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= threshold) for every row; empty and null texts are scored as texts without words.
 
-    Repeated rows get the same score; other columns are not read.
+    Repeated rows get the same score; ids may be of any type; other columns are not read; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             s = probabilities(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return text.mapInArrow(run, "doc_id long, score double, predicted int")
+    return text.mapInArrow(run, f"doc_id {dict(text.dtypes)['doc_id']}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

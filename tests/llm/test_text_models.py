@@ -78,7 +78,6 @@ def test_label_model_finds_accuracies_of_dependent_voters():
     twin = np.where(rng.random(len(y)) < 0.95, good, fire(0.8, 0.02))
     bits = np.zeros((len(y), len(toxicity.VOTERS)), dtype=int)
     bits[:, 0], bits[:, 1], bits[:, 4] = good, twin, other
-    bits[:, toxicity.VOTERS.index("no_hit")] = ~(good | twin | other)
     patterns, counts = np.unique(bits @ (1 << np.arange(bits.shape[1])), return_counts=True)
     model = toxicity.LabelModel(patterns, np.full(len(patterns), -1), counts)
     assert abs(model.prior[1] - 0.2) < 0.08
@@ -86,6 +85,82 @@ def test_label_model_finds_accuracies_of_dependent_voters():
     assert np.mean((q > 0.5) == y) > 0.93
 
 
+def test_votes_and_probabilities_match_a_plain_reading():
+    """Every voter and every feature of the linear model, word by word."""
+    import re
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    pool = ["idiot", "IDIOTA", "crétin,", "trottel!", "scum", "bitch", "kill", "die", "1d10t", "st*p*d", "f**k", "grobnik", "grobnar", "grobnaz", "grobless", "calm", "line", "WORD", "You", "are", "...", "wow!", "mor0n"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, n))) for n in (3, 8, 20, 90) for _ in range(60)] + [None, "", "you are an idiot"]
+    texts = [t if t is None or k % 3 else "calm line " * rng.randrange(40) + t for k, t in enumerate(texts)]
+    hashed = lambda words: toxicity.table_features(pa.array(words, pa.large_string()))[0]
+    word, begin = hashed(["grobnik"])[0][0], hashed(["grobnar"])[0][1:] + toxicity.DIMS
+    lex = toxicity.Lexicons(np.array([word]), np.sort(begin), np.unique(np.concatenate([hashed(["idiot", "calm"])[:, 0], begin])))
+    model = toxicity.ToxicityModel(lex, np.linspace(-1, 1, len(lex.features)), np.linspace(-0.5, 0.7, len(toxicity.VOTERS)), -0.3)
+
+    def plain(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        norm = [w.lower().strip(toxicity.TRIM) for w in words]
+        ids = [[-1 if x < 0 else int(x) + (toxicity.DIMS if k else 0) for k, x in enumerate(hashed([w])[0])] for w in words]
+        own = {k: [w in v for w in norm] for k, v in toxicity.WORDS.items()}
+        insult = [w in toxicity.INSULTS for w in norm]
+        hidden = [not i and bool(re.search("[013457@$]", w)) and w.translate(toxicity.LEET) in toxicity.INSULTS for w, i in zip(norm, insult)]
+        masked = [bool(re.search(toxicity.MASKED, w)) for w in norm]
+        learned = [i[0] == word for i in ids]
+        begins = [[i[k] in begin for i in ids] for k in (1, 2, 3)]
+        abuse = [any(x) for x in zip(insult, hidden, masked, learned, *begins)]
+        kinds = lambda flags: len({w for w, f in zip(words, flags) if f})
+        directed = any(w.strip(toxicity.TRIM) in toxicity.INSULTS for m in toxicity.DIRECTED.finditer((text or "").lower()) for w in m[0].split()) and any(insult)
+        n = max(len(words), 1)
+        bits = [any(own[k]) for k in toxicity.VOTERS[:6]]
+        bits += [kinds(own["threatening"]) > 1, kinds(insult) > 1, sum(insult) > kinds(insult), any(hidden), any(masked), directed, any(learned), kinds(learned) > 1]
+        bits += [kinds(b) > 1 for b in begins] + [sum(abuse) / n > 0.01, any(abuse[:30]), any(abuse) and len(words) < 60]
+        bits += [sum(w.isupper() and len(w) > 2 for w in words) / n > 0.5, sum("!" in w for w in words) / n > 0.1]
+        z = model.bias + sum(v for v, b in zip(model.vote_weights, bits, strict=True) if b)
+        z += sum(w for f, w in zip(lex.features, model.weights) if any(int(f) in i for i in ids))
+        return sum(int(b) << k for k, b in enumerate(bits)), 1 / (1 + np.exp(-z))
+
+    table = pa.array(texts, pa.string())
+    got = np.concatenate([toxicity.votes(part, *rest, lex) for _, part, *rest in toxicity.words_of(table)])
+    want = [plain(t) for t in texts]
+    assert got.tolist() == [v for v, _ in want]
+    assert np.allclose(toxicity.probabilities(table, model), [p for _, p in want])
+    assert all(any(v >> k & 1 for v, _ in want) for k in range(len(toxicity.VOTERS)) if toxicity.VOTERS[k] not in ("learned_words",))
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_text_ids_and_repeated_ids(spark, module):
+    docs = spark.createDataFrame([(f"d{k}", ("you idiot moron " if k % 3 == 0 else "a calm line of text ") * (k % 5 + 1)) for k in range(90)] * 2 + [("d1", "another text"), (None, "x")], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{k}", int(k % 3 == 0)) for k in range(90)] + [(None, 1), ("none", 0)], "doc_id string, label int")
+    scores = []
+    for parts in (1, 7):
+        got = module.score(docs, module.fit(docs.repartition(parts), labels)).collect()
+        assert len(got) == docs.count()
+        scores.append({(str(r.doc_id), round(r.score, 6)) for r in got})
+    assert scores[0] == scores[1]
+
+
+def test_pooled_vectors_and_network_match_plain_loops():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(quality.ROWS, quality.WIDTH))
+    texts = pa.array(["a b c b", None, "d", "a A!! a 12", "", "x " * 500])
+    got = quality.pooled(texts, vectors, len(texts))
+    for at, n, offsets, tokens in quality.streams(texts):
+        for i in range(n):
+            own = tokens[offsets[i] : offsets[i + 1]]
+            want = [*(sum(vectors[t] for t in own) / len(own)), np.log1p(len(own)) / 8] if len(own) else np.zeros(quality.WIDTH + 1)
+            assert np.allclose(got[at + i], want)
+    net = quality.train(rng.normal(size=(80, 3)), (rng.random(80) < 0.5).astype(float), hidden=4, epochs=3)
+    x = rng.normal(size=3)
+    hidden = [np.tanh(sum((x[i] - net.mean[i]) / net.scale[i] * net.w1[i, h] for i in range(3)) + net.b1[h]) for h in range(4)]
+    logit = sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
+    assert np.isclose(net.probability(x[None])[0], 1 / (1 + np.exp(-logit / net.temperature)))
+
+
 def test_network_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 6))
