@@ -27,7 +27,7 @@ def clean_terminal(text: Column) -> Column:
 
 def common_prefix_length(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda best, k: F.when((k <= n) & (best == k - 1) & (F.substring(a, k, F.lit(1)) == F.substring(b, k, F.lit(1))), k).otherwise(best))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda best, at: F.when((at <= n) & (best == at - 1) & (F.substring(a, at, F.lit(1)) == F.substring(b, at, F.lit(1))), at).otherwise(best))
 
 
 def stable_uuid(scope: Column, key: Column) -> Column:

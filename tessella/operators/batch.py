@@ -28,7 +28,7 @@ def rotation_maps(wide: DataFrame, batch: str, columns: list[str], method: str =
     """Per batch its offset and matrix: x -> (x - offset) @ matrix + mean of means is in the offsets' target. Covariances are of centred
     columns; one distributed pass gives the moments of all batches."""
     found = moments(wide, columns, batch)
-    centred = {b: type(m)(m.n, m.total * 0, m.scatter()) for b, m in found.items()}
+    centred = {b: m.about_zero() for b, m in found.items()}
     sigmas = {b: covariance.ESTIMATORS[method](m) + ridge * np.eye(m.p) for b, m in centred.items()}
     target = np.linalg.cholesky(CENTROIDS[centroid](list(sigmas.values())))
     middle = np.mean([m.mean for m in found.values()], axis=0)
@@ -70,18 +70,41 @@ def constrained_least_squares(a: np.ndarray, b: np.ndarray, floor: float) -> np.
     return best
 
 
+#: Rows of a batch that one task numbers.
+CELL_ROWS = 50_000
+
+
+def one_value_per_batch(values: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
+    """replicate, batch, x: in each replicate one uniformly drawn value of each batch.
+
+    Values are numbered in cells of about CELL_ROWS by a hash, and a draw looks up its place by the cells' counts, so no batch's values
+    come together. There are as many draws as replicates times batches.
+    """
+    n = values.count()
+    cells = max(1, -(-n // CELL_ROWS))
+    dealt = values.withColumn("__cell", F.pmod(F.xxhash64(*values.columns), F.lit(cells)).cast("int"))
+    numbered = dealt.select("batch", "x", "__cell").withColumn("__at", F.row_number().over(Window.partitionBy("batch", "__cell").orderBy("x")) - 1)
+    w = Window.partitionBy("batch")
+    upto = F.sum("__n").over(w.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0))
+    counts = numbered.groupBy("batch", "__cell").agg(F.count("*").alias("__n")).select("batch", "__cell", "__n", (upto - F.col("__n")).alias("__first"), F.sum("__n").over(w).alias("__all"))
+    draws = counts.select("batch", "__all").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    draws = draws.withColumn("__place", F.pmod(F.xxhash64(F.lit(seed), "batch", "replicate"), F.col("__all")))
+    found = draws.join(counts.drop("__all"), (draws["batch"] == counts["batch"]) & F.col("__place").between(F.col("__first"), F.col("__first") + F.col("__n") - 1))
+    found = found.select("replicate", draws["batch"], "__cell", (F.col("__place") - F.col("__first")).alias("__at"))
+    return found.join(numbered, ["batch", "__cell", "__at"]).select("replicate", "batch", "x")
+
+
 def univariate_weight(values: DataFrame, controls: DataFrame, resamples: int = 1000, floor: float = 1e-6, seed: int = 0) -> tuple[float, float]:
     """Weight of a batch's control and the mean control, from values (batch, x) and controls (batch, control), one per batch.
 
     Three variances (divisor n + 1) fix error, batch and sample variance by bounded least squares: of one value per batch (the
-    median over seeded resamples), of controls, and of values less their batch's mean.
+    median over seeded resamples), of controls, and of values less their batch's mean. All are aggregates; the driver gets numbers only.
     """
     c = controls.agg(F.count("*"), F.avg("control"), F.var_pop("control")).first()
-    w = Window.partitionBy("batch")
-    inner = values.withColumn("d", F.col("x") - F.avg("x").over(w)).agg(F.count("*"), F.var_pop("d")).first()
-    lists = [np.array(r["xs"]) for r in values.groupBy("batch").agg(F.array_sort(F.collect_list("x")).alias("xs")).orderBy("batch").collect()]
-    rng = np.random.default_rng(seed)
-    across = np.median([np.var(np.array([xs[rng.integers(len(xs))] for xs in lists])) * len(lists) / (len(lists) + 1) for _ in range(resamples)])
+    per = values.groupBy("batch").agg(F.count("*").alias("n"), F.var_pop("x").alias("v"))
+    inner = per.agg(F.sum("n"), F.sum(F.col("n") * F.col("v")) / F.sum("n")).first()
+    spread = one_value_per_batch(values, resamples, seed).groupBy("replicate").agg((F.var_pop("x") * F.count("*") / (F.count("*") + 1)).alias("v"))
+    across = spread.agg(F.median("v")).first()[0]
     shrunk = lambda var, n: var * n / (n + 1)
     a = np.array([[1.0, 1, 1], [1, 1, 0], [1, 0, 1]])
     error, theta, _ = constrained_least_squares(a, np.array([across, shrunk(c[2], c[0]), shrunk(inner[1], inner[0])]), floor)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,18 +17,56 @@ def observed(c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+#: Bins of one pass over a column in search of a quantile, and values that one task may sort at the end.
+BINS, SORTED = 4096, 100_000
+
+
+def kth_smallest(values: DataFrame, c: str, k: int, low: float, high: float) -> float:
+    """The k-th smallest (from 0) of a column without missing values, between its bounds: each pass counts equal bins of the range and goes
+    on with the one that holds it, so a task holds BINS counts, or SORTED values in the end. Ends with the values themselves, however unevenly they lie."""
+    below = 0
+    while low < high:
+        inside = values.where(F.col(c).between(low, high))
+        width = (high - low) / BINS
+        bin_ = F.least(F.floor((F.col(c) - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        counts = inside.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).orderBy("low").collect()
+        for row in counts:
+            if below + row["n"] > k:
+                break
+            below += row["n"]
+        low, high = row["low"], row["high"]
+        if low < high and row["n"] <= SORTED:
+            return float(values.where(F.col(c).between(low, high)).agg(F.element_at(F.array_sort(F.collect_list(c)), k - below + 1)).first()[0])
+    return float(low)
+
+
+def median(wide: DataFrame, c: str) -> float | None:
+    """The exact median over a column's observed cells."""
+    values = wide.select(observed(c).alias("x")).where("x is not null")
+    n, low, high = values.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    lower = kth_smallest(values, "x", (n - 1) // 2, low, high)
+    if n % 2:
+        return lower
+    upto, following = values.agg(F.count(F.when(F.col("x") <= F.lit(lower), 1)), F.min(F.when(F.col("x") > F.lit(lower), F.col("x")))).first()
+    return (lower + (lower if upto > n // 2 else following)) / 2
+
+
 def fill(wide: DataFrame, columns: list[str], method: str = "mean") -> DataFrame:
-    """Missing cells become the column's mean or median over its observed cells, or zero; observed cells stay as they are.
+    """Missing cells become the column's mean or exact median over its observed cells, or zero; observed cells stay as they are.
 
-    One aggregation gives one row of fills, which is joined to every row.
+    Means are one aggregation; a median takes some passes over its column, none of which brings the values together.
     """
     if method == "zero":
-        return wide.select(*[F.coalesce(observed(c), F.lit(0.0)).alias(c) if c in columns else F.col(f"`{c}`") for c in wide.columns])
-    if method not in ("mean", "median"):
+        fills = dict.fromkeys(columns, 0.0)
+    elif method == "mean":
+        fills = dict(zip(columns, wide.agg(*[F.avg(observed(c)) for c in columns]).first(), strict=True))
+    elif method == "median":
+        fills = {c: median(wide, c) for c in columns}
+    else:
         raise ValueError(f"no fill {method!r}")
-    f = F.avg if method == "mean" else F.median
-    fills = wide.agg(*[f(observed(c)).alias(f"__f{k}") for k, c in enumerate(columns)])
-    return wide.crossJoin(F.broadcast(fills)).select(*[F.coalesce(observed(c), F.col(f"__f{columns.index(c)}")).alias(c) if c in columns else F.col(f"`{c}`") for c in wide.columns])
+    return wide.select(*[F.coalesce(observed(c), F.lit(fills[c]).cast("double")).alias(c) if c in fills else F.col(f"`{c}`") for c in wide.columns])
 
 
 def check_dosages(long: DataFrame, value: str = "dosage") -> DataFrame:
@@ -45,22 +86,38 @@ def knn_dosage(long: DataFrame, sample: str = "sample", variant: str = "variant"
     dosages over the variants within width that both have; ties of distance go to the smaller sample id, ties of votes to the
     smaller dosage. variant is an integer position. Cells without any candidate stay null.
 
-    Only missing cells are expanded by candidates and window, so the cost follows their number, not the matrix's.
+    Variants are dealt in blocks with width more on either side; a task holds one byte per sample and variant of its block, and compares a
+    missing cell's window with all samples at once. So cells move at most twice, and no pairs of samples are ever rows.
     """
     v = F.col(dosage).cast("double")
     cells = long.select(F.col(sample).alias("s"), F.col(variant).cast("long").alias("j"), F.when(F.isnan(v) | (v == -1), None).otherwise(v).cast("int").alias("d"))
-    known = cells.where("d is not null")
-    missing = cells.where("d is null").select("s", "j")
-    candidates = missing.join(known.select(F.col("s").alias("t"), F.col("j"), F.col("d").alias("vote")), "j")
-    window = F.explode(F.sequence(F.col("j") - width, F.col("j") + width))
-    own = missing.withColumn("k", window).join(known.select("s", F.col("j").alias("k"), F.col("d").alias("a")), ["s", "k"])
-    other = known.select(F.col("s").alias("t"), F.col("j").alias("k"), F.col("d").alias("b"))
-    differing = candidates.join(own, ["s", "j"]).join(other, ["t", "k"]).groupBy("s", "j", "t").agg(F.sum((F.col("a") != F.col("b")).cast("int")).alias("distance"))
-    ranked = candidates.join(differing, ["s", "j", "t"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("s", "j").orderBy(F.coalesce("distance", F.lit(0)), "t")))
-    votes = ranked.where(F.col("rank") <= neighbours).groupBy("s", "j", "vote").count()
-    chosen = votes.groupBy("s", "j").agg(F.min(F.struct(-F.col("count"), F.col("vote"))).getField("vote").alias("filled"))
-    out = cells.join(chosen, ["s", "j"], "left")
-    return out.select(F.col("s").alias(sample), F.col("j").alias(variant), F.coalesce("d", "filled").alias(dosage))
+    block = max(32, 2 * width)
+    first, last = (F.floor((F.col("j") + k) / block).cast("long") for k in (-width, width))
+    dealt = cells.withColumn("block", F.explode(F.sequence(first, last)))
+    kind = dict(cells.dtypes)["s"]
+
+    def fill_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        names, row = np.unique(np.array(table.column("s").to_pylist(), dtype=object), return_inverse=True)
+        start = table.column("block")[0].as_py() * block
+        column = table.column("j").to_numpy() - start + width
+        x = np.full((len(names), block + 2 * width), -1, dtype=np.int8)
+        x[row, column] = table.column("d").fill_null(-1).to_numpy()
+        own = np.flatnonzero((column >= width) & (column < block + width))
+        out = x[row[own], column[own]].astype(np.int64)
+        for k in np.flatnonzero(out < 0):
+            r, c = row[own[k]], column[own[k]]
+            near = np.flatnonzero(x[:, c] >= 0)
+            if len(near):
+                window, mine = x[near, c - width : c + width + 1], x[r, c - width : c + width + 1]
+                order = ((window != mine) & (window >= 0) & (mine >= 0)).sum(axis=1) * len(names) + near
+                best = near[np.argpartition(order, min(neighbours, len(near)) - 1)[:neighbours]]
+                out[k] = np.argmax(np.bincount(x[best, c]))
+        filled = pa.array(out, pa.int32(), mask=out < 0)
+        yield pa.RecordBatch.from_arrays([table.column("s").take(pa.array(own)).combine_chunks(), table.column("j").take(pa.array(own)).combine_chunks(), filled], names=["s", "j", "d"])
+
+    out = dealt.groupBy("block").applyInArrow(fill_block, f"s {kind}, j long, d int")
+    return out.select(F.col("s").alias(sample), F.col("j").alias(variant), F.col("d").alias(dosage))
 
 
 def soft_impute(x: np.ndarray, shrinkage: float, iterations: int = 100, tolerance: float = 1e-3, max_rank: int | None = None) -> np.ndarray:

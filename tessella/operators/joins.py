@@ -48,16 +48,28 @@ def join_proteomics(
     return left.alias("l").join(right.alias("r"), on, "inner").select(*l_cols, *r_cols)
 
 
-def lookup_genes(ids: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """Gene names of UniProt accessions (mapping: uniprot_accession, gene_name), null names left out."""
-    known = mapping.where("gene_name is not null").select(F.col("uniprot_accession").alias("__key"), "gene_name")
-    return ids.join(known, F.col(f"`{column}`") == F.col("__key"), "inner").drop("__key")
+def _looked_up(ids: DataFrame, column: str, known: DataFrame, value: str, strict: bool) -> DataFrame:
+    """Join to known (__key, value); strict: reading an id that known lacks raises an error."""
+    if not strict:
+        return ids.join(known, F.col(f"`{column}`") == F.col("__key"), "inner").drop("__key")
+    found = ids.join(known, F.col(f"`{column}`") == F.col("__key"), "left")
+    unknown = F.raise_error(F.concat(F.lit(f"{column} is not in the mapping: "), F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("null"))))
+    return found.withColumn(value, F.when(F.col("__key").isNull(), unknown).otherwise(F.col(value))).drop("__key")
 
 
-def lookup_proteins(genes: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
-    """UniProt accessions of gene names, null accessions kept."""
-    known = mapping.select(F.col("gene_name").alias("__key"), "uniprot_accession")
-    return genes.join(known, F.col(f"`{column}`") == F.col("__key"), "inner").drop("__key")
+def lookup_genes(ids: DataFrame, column: str, mapping: DataFrame, strict: bool = False) -> DataFrame:
+    """Gene names of UniProt accessions (mapping: uniprot_accession, gene_name). An accession without a name, or that the mapping lacks, is left
+    out; strict: the first is left out, the second raises an error when read."""
+    known = mapping.select(F.col("uniprot_accession").alias("__key"), "gene_name")
+    if not strict:
+        known = known.where("gene_name is not null")
+    out = _looked_up(ids, column, known, "gene_name", strict)
+    return out.where("gene_name is not null") if strict else out
+
+
+def lookup_proteins(genes: DataFrame, column: str, mapping: DataFrame, strict: bool = False) -> DataFrame:
+    """UniProt accessions of gene names, null accessions kept; strict: a name that the mapping lacks raises an error when read."""
+    return _looked_up(genes, column, mapping.select(F.col("gene_name").alias("__key"), "uniprot_accession"), "uniprot_accession", strict)
 
 
 def unknown_ids(ids: DataFrame, column: str, mapping: DataFrame, key: str) -> DataFrame:
@@ -75,7 +87,7 @@ def match_matrices(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Returns matrix_id, i, j, a, b. Raises ValueError if both lists have several matrices and differ in number.
     """
-    n_a, n_b = (x.select("matrix_id").distinct().limit(100_000).count() for x in (a, b))
+    n_a, n_b = (x.agg(F.countDistinct("matrix_id")).first()[0] for x in (a, b))
     if n_a != n_b and 1 not in (n_a, n_b):
         raise ValueError(f"{n_a} matrices cannot be paired with {n_b}")
     on = ["i", "j"] + (["matrix_id"] if n_a == n_b and n_a > 1 else [])

@@ -53,12 +53,12 @@ def ppca(df: DataFrame, columns: list[str], factors: int, method: str | None = N
     zero = np.zeros(len(columns))
     if method is None:
         return _ppca(m.gram / (m.n - 1), zero, factors)
-    return _ppca(ESTIMATORS[method](Moments(m.n, m.total * 0, m.scatter())), m.mean, factors)
+    return _ppca(ESTIMATORS[method](m.about_zero()), m.mean, factors)
 
 
 def _augmented(m: Moments, p: int, pulls: list[tuple[slice, float]], factors: int, method: str, eps: float, sketch: int | None, seed: int) -> tuple[FactorModel, np.ndarray]:
     """Leading eigenvectors of the covariance augmented by each block of targets, pulled towards (positive) or pushed from (negative) it."""
-    centred = Moments(m.n, m.total * 0, m.scatter())
+    centred = m.about_zero()
     cov = ESTIMATORS[method](centred)
     b11 = cov[:p, :p]
     big = np.zeros_like(cov)

@@ -7,6 +7,8 @@ lists of values, and fields of tracks are lists of records of lists of values, w
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,7 +190,11 @@ def key_value_lists(df: DataFrame, column: str, lexical: tuple[str, ...] = ()) -
 
 
 def project(rows: DataFrame, fields: list[str] | None) -> DataFrame:
-    """Identity fields, locus, sample and dosage first; then the fields asked for that exist, in that order, or all others by name."""
+    """Identity fields, locus, sample and dosage first; then the fields asked for that exist, in that order, or all others by name. Fields
+    that are asked for and don't exist are left out with a warning."""
+    missing = [f for f in dict.fromkeys(fields or ()) if f not in rows.columns]
+    if missing:
+        warnings.warn(f"fields that the rows don't have: {missing}", stacklevel=2)
     first = [c for c in (*IDENTITY, "locus", "sample", "dosage") if c in rows.columns]
     rest = [f for f in dict.fromkeys(fields) if f in rows.columns and f not in first] if fields is not None else sorted(c for c in rows.columns if c not in first)
     return rows.select(*[F.col(f"`{c}`") for c in first + rest])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,15 @@ def submatrix(long: DataFrame, mask: list[int]) -> DataFrame:
         return long.where("false")
     place = F.create_map(*[F.lit(x) for k, old in enumerate(kept) for x in (old, k)])
     return long.where(F.col("i").isin(kept) & F.col("j").isin(kept)).select(F.element_at(place, F.col("i")).alias("i"), F.element_at(place, F.col("j")).alias("j"), "v")
+
+
+def group_statistics(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
+    """group, n, median, quantile (interpolated), var_pop, var_samp of a column per group. Exact quantiles count a group's distinct values in one task."""
+    v = F.col(f"`{value}`")
+    return df.groupBy(group).agg(F.count(v).alias("n"), F.median(v).alias("median"), F.percentile(v, q).alias("quantile"), F.var_pop(v).alias("var_pop"), F.var_samp(v).alias("var_samp"))
+
+
+def moving_statistics(df: DataFrame, group: str, order: str, value: str, width: int) -> DataFrame:
+    """df with growing_std (of all rows of the group up to each) and rolling_mean (of the last width rows)."""
+    w, v = Window.partitionBy(group).orderBy(order), F.col(f"`{value}`")
+    return df.select("*", F.sqrt(F.var_pop(v).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("growing_std"), F.avg(v).over(w.rowsBetween(1 - width, 0)).alias("rolling_mean"))

@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import randommatrix, scalars
 from tessella.operators import batch, covariance, hypothesis, imputation, joins, matrices, moments, nested, origin, querystring, reshape
+from tessella.plans import records, statistics  # noqa: F401  their queries are registered when they are imported
+from tessella.plans.registry import ORACLES, QUERIES, query, table
 from tessella.sources import proteomics, tables
 from tessella.streaming import events as ev
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 MEASURES = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def variant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested annotation documents made of the tables: a part is a variant, its suppliers carry it by return flag (A: one copy, R: two,
     N: missing), its brand is the gene."""
@@ -49,10 +33,9 @@ def variant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def abundances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, gene, intensity: a supplier's mean price of a brand, less the brand's mean."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    own = rows.groupBy(F.col("l_suppkey").cast("string").alias("SampleId"), F.col("p_brand").alias("gene")).agg(F.avg("l_extendedprice").alias("own"))
-    reference = rows.groupBy(F.col("p_brand").alias("gene")).agg(F.avg("l_extendedprice").alias("reference"))
-    return own.join(reference, "gene").select("SampleId", "gene", (F.col("own") - F.col("reference")).alias("intensity"))
+    own = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").cast("string").alias("SampleId"), F.col("p_brand").alias("gene")).agg(F.sum("l_extendedprice").alias("own"), F.count("*").alias("n"))
+    brand = Window.partitionBy("gene")
+    return own.select("SampleId", "gene", (F.col("own") / F.col("n") - F.sum("own").over(brand) / F.sum("n").over(brand)).alias("intensity"))
 
 
 ALT = "CASE WHEN p_size % 5 = 0 THEN '-' || CAST(p_size % 40 + 1 AS VARCHAR) WHEN p_size % 5 = 1 THEN '+AC' ELSE 'A' END"
@@ -143,7 +126,8 @@ def search_after(spark, sf_dir):
 
 @query("SELECT CAST(least(ceil(count(*) / 10000.0), 1024) AS INTEGER) AS n_slices, count(*) AS n_docs FROM lineitem")
 def slice_plan(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.least(F.ceil(F.count("*") / 10000), F.lit(1024)).cast("int").alias("n_slices"), F.count("*").alias("n_docs"))
+    n = table(spark, sf_dir, "lineitem").count()
+    return spark.createDataFrame([(querystring.plan_slices(n), n)], "n_slices int, n_docs long")
 
 
 @query("SELECT p_brand AS gene_name, unnest(['size', 'price']) AS sample, unnest([CAST(p_size AS DOUBLE), p_retailprice]) AS value, p_partkey FROM part")
@@ -213,7 +197,7 @@ for _kind in ("mean", "median", "zero"):
     QUERIES[f"fill_{_kind}"], ORACLES[f"fill_{_kind}"] = _fill, _fill_sql(_kind)
 
 
-DOSES = "SELECT o_custkey AS s, o_orderkey % 40 AS j, CAST(max(CASE WHEN o_orderkey % 23 = 0 THEN -1 ELSE CAST(floor(o_totalprice) AS BIGINT) % 3 END) AS INTEGER) AS d FROM orders WHERE o_custkey % 8 = 1 GROUP BY ALL"
+DOSES = "SELECT o_custkey AS s, o_orderkey % 40 AS j, CAST(max(CASE WHEN o_orderkey % 23 = 0 THEN -1 ELSE CAST(floor(o_totalprice) AS BIGINT) % 3 END) AS INTEGER) AS d FROM orders GROUP BY ALL"
 
 
 @query(f"""WITH c AS (SELECT s, j, NULLIF(d, -1) AS d FROM ({DOSES})), k AS (SELECT * FROM c WHERE d IS NOT NULL),
@@ -223,7 +207,7 @@ DOSES = "SELECT o_custkey AS s, o_orderkey % 40 AS j, CAST(max(CASE WHEN o_order
     w AS (SELECT s, j, v, row_number() OVER (PARTITION BY s, j ORDER BY n DESC, v) AS r FROM n)
     SELECT c.s AS sample, c.j AS variant, coalesce(c.d, w.v) AS dosage FROM c LEFT JOIN w ON w.s = c.s AND w.j = c.j AND w.r = 1""")
 def knn_dosage(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 8 = 1")
+    o = table(spark, sf_dir, "orders")
     dose = F.max(F.when(F.col("o_orderkey") % 23 == 0, -1).otherwise(F.floor("o_totalprice") % 3)).cast("int")
     long = o.groupBy(F.col("o_custkey").alias("sample"), (F.col("o_orderkey") % 40).alias("variant")).agg(dose.alias("dosage"))
     return imputation.knn_dosage(long)
@@ -266,14 +250,13 @@ def mean_adaptation(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_quantity", 6).alias("l_quantity"), F.round("l_tax", 6).alias("l_tax"))
 
 
-P_SQL = "SELECT p_partkey, (row_number() OVER (ORDER BY p_retailprice, p_partkey) * 1.0 / count(*) OVER ()) ** 2 AS p FROM part"
+P_SQL = "SELECT p_partkey, ((p_partkey * 7919 % m + p_partkey / (2 * m)) / m) ** 2 AS p FROM part, (SELECT max(p_partkey) * 1.0::DOUBLE AS m FROM part)"
 
 
 def _p_values(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
-    n = part.count()
-    ranked = part.withColumn("r", F.expr("row_number() over (order by p_retailprice, p_partkey)"))
-    return ranked.select("p_partkey", F.pow(F.col("r") / F.lit(float(n)), F.lit(2.0)).alias("p"))
+    most = float(part.agg(F.max("p_partkey")).first()[0])
+    return part.select("p_partkey", F.pow((F.col("p_partkey") * 7919 % F.lit(most) + F.col("p_partkey") / F.lit(2 * most)) / F.lit(most), F.lit(2.0)).alias("p"))
 
 
 @query(f"""WITH t AS ({P_SQL}), c AS (SELECT count(*) AS m, least(avg(CASE WHEN p > 0.5 THEN 1.0 ELSE 0.0 END) / 0.5, 1) AS pi FROM t),
@@ -422,10 +405,15 @@ def upsert_messages(spark, sf_dir):
     return ev.upsert_messages(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
 
 
-@query("""WITH p AS (SELECT conv_id, turn, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS old FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN left(text, 20) ELSE text END AS text FROM conversations))
+SNAPSHOTS = """SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN text ELSE string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) END AS text FROM conversations"""
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS old FROM ({SNAPSHOTS}))
     SELECT conv_id, turn, CASE WHEN starts_with(text, old) THEN 'append' ELSE 'replace' END AS change, CASE WHEN starts_with(text, old) THEN substring(text, length(old) + 1) ELSE text END AS delta FROM p WHERE NOT starts_with(text, old) OR length(text) > length(old)""")
 def delta_append_replace(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 2 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")))
+    """Snapshots that grow by a conversation's whole texts, every fourth one being replaced by its own text."""
+    grown = F.array_join(F.collect_list("text").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)), "\n")
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 4 == 3, F.col("text")).otherwise(grown))
     return ev.deltas(rows, ["conv_id"], "turn", "text").select("conv_id", "turn", "change", "delta")
 
 
@@ -473,16 +461,14 @@ def union_slices(spark, sf_dir):
 
 @query("SELECT p_brand, median(p_retailprice) AS median, round(quantile_cont(p_retailprice, 0.95), 6) AS q95, round(var_pop(p_retailprice), 4) AS var_pop, round(var_samp(p_retailprice), 4) AS var_samp FROM part GROUP BY 1")
 def group_statistics(spark, sf_dir):
-    v = F.col("p_retailprice")
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.median(v).alias("median"), F.round(F.percentile(v, 0.95), 6).alias("q95"), F.round(F.var_pop(v), 4).alias("var_pop"), F.round(F.var_samp(v), 4).alias("var_samp"))
+    out = reshape.group_statistics(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", 0.95)
+    return out.select("p_brand", "median", F.round("quantile", 6).alias("q95"), F.round("var_pop", 4).alias("var_pop"), F.round("var_samp", 4).alias("var_samp"))
 
 
 @query("SELECT event_id, round(sqrt(var_pop(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)), 6) AS growing_std, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 2 PRECEDING), 6) AS rolling_mean FROM events")
 def moving_statistics(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.sqrt(F.var_pop("value").over(w.rowsBetween(Window.unboundedPreceding, 0))), 6).alias("growing_std"), F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("rolling_mean"))
+    out = reshape.moving_statistics(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 3)
+    return out.select("event_id", F.round("growing_std", 6).alias("growing_std"), F.round("rolling_mean", 6).alias("rolling_mean"))
 
 
 @query("SELECT n_nationkey, {'n_name': n_name, 'n_regionkey': n_regionkey}.n_name AS n_name FROM nation")

@@ -68,6 +68,11 @@ def write_vcf(df: DataFrame, path: str, comments: list[str] = ()) -> None:
     df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(".")) for c in df.columns])).write.mode("append").option("compression", "gzip").text(path)
 
 
+def write_delimited(df: DataFrame, path: str, separator: str = "\t", missing: str = "") -> None:
+    """gzip-compressed text with a header in each part file: tab-separated, or comma-separated with separator ','."""
+    df.write.mode("overwrite").option("compression", "gzip").option("sep", separator).option("header", True).option("nullValue", missing).csv(path)
+
+
 def genotypes_long(vcf: DataFrame, samples: list[str]) -> DataFrame:
     """ID, sample, dosage: alternate alleles of each genotype, null where one is missing."""
     pairs = vcf.unpivot(["ID"], [F.col(f"`{s}`") for s in samples], "sample", "gt")

@@ -195,10 +195,14 @@ def stream_runs(events: DataFrame, finalise_ms: int = FINALISE_MS) -> DataFrame:
 
 
 def bounded_history(events: DataFrame, run: str, order: list[str], keep: int = 2000) -> DataFrame:
-    """events with sequence (from 1 per run, in order), the last keep of each run."""
-    w = Window.partitionBy(run)
-    numbered = events.withColumn("sequence", F.row_number().over(w.orderBy(*order)))
-    return numbered.withColumn("__last", F.count("*").over(w)).where(F.col("sequence") > F.col("__last") - keep).drop("__last")
+    """events with sequence (from 1 per run, in order), the last keep of each run.
+
+    Rows are numbered from the end, so that only keep rows of a run are ranked on; a run's length, a map-side combined count, turns the numbers round.
+    """
+    down = [F.col(c).desc() for c in order]
+    latest = events.withColumn("__back", F.row_number().over(Window.partitionBy(run).orderBy(*down))).where(F.col("__back") <= keep)
+    lengths = events.groupBy(F.col(run).alias("__run")).agg(F.count("*").alias("__n"))
+    return latest.join(lengths, F.col(run).eqNullSafe(F.col("__run"))).withColumn("sequence", (F.col("__n") - F.col("__back") + 1).cast("int")).drop("__run", "__n", "__back")
 
 
 def replay_after(history: DataFrame, cursor: int) -> DataFrame:
@@ -235,9 +239,25 @@ def monotone_checkpoints(events: DataFrame, run: str, order: str, checkpoint: st
     return events.withColumn("__best", best).where(F.col("__best").isNull() | (F.col(checkpoint) >= F.col("__best"))).drop("__best")
 
 
-def completions(changes: DataFrame) -> DataFrame:
-    """One completion per run and final message, also over a stream."""
-    return changes.where("change = 'completed'").dropDuplicates(["run_id", "message_id"])
+def latest_error(messages: DataFrame, conversation: str, order: str, role: str, kind: str) -> DataFrame:
+    """Per conversation the last row of kind error after the last user row, if any."""
+    return latest_after_user(messages, conversation, order, role, F.col(kind) == "error")
+
+
+def latest_stop(messages: DataFrame, conversation: str, order: str, role: str, kind: str) -> DataFrame:
+    """Per conversation the last row of kind stopped (a stop by hand) after the last user row, if any."""
+    return latest_after_user(messages, conversation, order, role, F.col(kind) == "stopped")
+
+
+def completions(changes: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:
+    """One completion per run and final message. Over a stream, time names its event time: completions are told apart within the
+    watermark, and older ones are forgotten, so the state does not grow for ever; a stream without it raises ValueError."""
+    done = changes.where("change = 'completed'")
+    if not changes.isStreaming:
+        return done.dropDuplicates(["run_id", "message_id"])
+    if time is None:
+        raise ValueError("completions of a stream need an event time")
+    return done.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id", "message_id"])
 
 
 PROGRESS = "struct<done:boolean,phases:array<struct<id:string,kind:string,state:string,label:string,detail:string,count:struct<done:bigint,total:bigint>,started_at:double,duration_s:double>>>"
