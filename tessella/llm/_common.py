@@ -33,11 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/../tessella-checkpoints"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, which cuts its lineage and survives lost executors."""
+def materialise(df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back, which cuts its lineage and survives lost executors. Small row groups bound
+    what a writing task buffers."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", 32 << 20).parquet(path)
+    df.write.options(**{"parquet.block.size": str(16 << 20)} | (options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -330,6 +330,15 @@ def _batch(columns, kinds, names):
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about so many shingles, or of one row."""
+    at = 0
+    while at < len(sizes):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
+
 def _summaries(text: DataFrame) -> DataFrame:
     """kind 0: doc_id, n and digest of each document, and of the first of equal sets in a batch the bitmap and the set itself;
     kind 1: a slice (part) of the frequency sketch of a partition."""
@@ -339,21 +348,18 @@ def _summaries(text: DataFrame) -> DataFrame:
         counts, id_arrow = np.zeros(COUNTERS, dtype=np.int64), None
         names, kinds = ["kind", "part", "doc_id", "n", "digest", "bits", "data"], [pa.int32(), pa.int32(), None, pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            n, digests, maps, sets, known = [], [np.zeros((0, 2), dtype=np.uint64)], [], [], set()
-            id_arrow = batch.column(0).type
-            for _, offsets, hashes in shingle_sets(batch.column(1)):
+            known, id_arrow = set(), batch.column(0).type
+            for at, offsets, hashes in shingle_sets(batch.column(1)):
                 size, digest = np.diff(offsets), set_digests(offsets, hashes)
                 counts += np.bincount((hashes >> np.uint64(45)).astype(np.int64), minlength=COUNTERS)
-                width = bitmap_class(size)
-                n.append(size)
-                digests.append(digest)
+                width, maps, sets = bitmap_class(size), [], []
                 for i, key in enumerate(map(bytes, digest)):
                     own = None if not size[i] or key in known else hashes[offsets[i] : offsets[i + 1]]
                     known.add(key)
                     maps.append(None if own is None else bitmap(own, int(width[i])))
                     sets.append(None if own is None else own.tobytes())
-            n = np.concatenate([np.zeros(0, dtype=np.int64), *n])
-            yield _batch([np.zeros(len(n), dtype=np.int32), np.zeros(len(n), dtype=np.int32), batch.column(0), n, as_binary(np.concatenate(digests)), maps, sets], kinds, names)
+                zeros = np.zeros(len(size), dtype=np.int32)
+                yield _batch([zeros, zeros, batch.column(0).slice(at, len(size)), size, as_binary(digest), maps, sets], kinds, names)
         if id_arrow is not None:
             low = np.minimum(counts, 65_535).astype(np.uint16).reshape(SLICES, -1)
             yield _batch([[1] * SLICES, list(range(SLICES)), pa.nulls(SLICES, id_arrow), [0] * SLICES, [None] * SLICES, [x.tobytes() for x in low], [None] * SLICES], kinds, names)
@@ -402,7 +408,7 @@ def _blocks(sets: DataFrame, level: np.ndarray, salts: np.ndarray, n_slots: int)
 
     def emit(batches):
         names, kinds = ["slot", "tokens", "digests", "sizes"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        for batch in batches:
+        for batch in (part for batch in batches for part in _slices(batch, batch.column(1).to_numpy())):
             level, salts = shared.value
             size = batch.column(1).to_numpy()
             digest = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64).reshape(-1, 2)
@@ -505,7 +511,7 @@ def _connected(links: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
     """The written summaries of all documents, and the frequency sketch of their shingles."""
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = materialise(_summaries(text), "summaries")
+    table = materialise(_summaries(text), "summaries", {"parquet.enable.dictionary": "false"})
     return table.where("kind = 0"), _sketch(table).astype(np.float64)
 
 
