@@ -86,6 +86,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert ev.completions(spark.table("changes")).count() == 6
 
 
+def test_completions_over_a_stream_need_a_time(spark, tmp_path):
+    rows = [("r", "m", "completed", k) for k in range(3)] + [("r", "n", "completed", 4), ("r", "m", "append", 5)]
+    spark.createDataFrame(rows, "run_id string, message_id string, change string, s long").withColumn("ts", F.timestamp_seconds("s")).write.parquet(str(tmp_path / "c"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "c")).schema).parquet(str(tmp_path / "c"))
+    with pytest.raises(ValueError):
+        ev.completions(stream)
+    q = ev.completions(stream, "ts").writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.message_id for r in spark.table("once").collect()) == ["m", "n"]
+
+
 def test_windows_over_a_stream(spark, tmp_path):
     spark.createDataFrame([(k, "a") for k in range(0, 7200, 600)], "s long, t string").selectExpr("timestamp_seconds(s) as ts", "t").write.parquet(str(tmp_path / "w"))
     df = spark.read.parquet(str(tmp_path / "w"))
@@ -105,6 +116,10 @@ def test_batch_folds(spark):
     df = spark.createDataFrame([("a", k, f"m{k % 2}", f"t{k}", str(k)) for k in range(6)], "run string, seq int, key string, text string, ck string")
     assert [r.sequence for r in ev.bounded_history(df, "run", ["seq"], 2).orderBy("seq").collect()] == [5, 6]
     assert {(r.key, r.position, r.text) for r in ev.upsert_messages(df, "key", "seq", "text").collect()} == {("m0", 0, "t4"), ("m1", 1, "t5")}
+    nulls = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "run string, seq int")
+    assert sorted((str(r.run), r.sequence) for r in ev.bounded_history(nulls, "run", ["seq"], 1).collect()) == [("None", 2), ("a", 1)]
+    said = spark.createDataFrame([("c", 1, "assistant", "error"), ("c", 2, "user", "plain"), ("c", 3, "assistant", "stopped"), ("c", 4, "assistant", "error"), ("c", 5, "assistant", "error")], "conv string, turn int, role string, kind string")
+    assert [r.turn for r in ev.latest_error(said, "conv", "turn", "role", "kind").collect()] == [5] and [r.turn for r in ev.latest_stop(said, "conv", "turn", "role", "kind").collect()] == [3]
     late = spark.createDataFrame([("a", 1, "05"), ("a", 2, "03"), ("a", 3, "05"), ("a", 4, "09")], "run string, seq int, ck string")
     assert [r.ck for r in ev.monotone_checkpoints(late, "run", "seq", "ck").orderBy("seq").collect()] == ["05", "05", "09"]
 

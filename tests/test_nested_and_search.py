@@ -3,6 +3,7 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessella.operators import joins, nested, querystring
@@ -165,3 +166,23 @@ def test_match_matrices(spark):
     assert joins.match_matrices(a, a.where("matrix_id = 1")).count() == 3 and joins.match_matrices(a, a).count() == 3
     with pytest.raises(ValueError):
         joins.match_matrices(a, a.where("matrix_id < 2"))
+
+
+def test_unknown_fields_warn_and_unknown_ids_raise(spark):
+    rows = spark.createDataFrame([(1, "x", 2.0)], "id int, name string, extra double")
+    with pytest.warns(UserWarning, match="nmae"):
+        assert nested.project(rows, ["nmae", "extra"]).columns == ["id", "extra"]
+    mapping = spark.createDataFrame([("P1", "A"), ("P2", None)], "uniprot_accession string, gene_name string")
+    ids = spark.createDataFrame([("P1",), ("P2",), ("P3",)], "acc string")
+    assert [r.gene_name for r in joins.lookup_genes(ids, "acc", mapping).collect()] == ["A"]
+    assert [r.gene_name for r in joins.lookup_genes(ids.where("acc <> 'P3'"), "acc", mapping, strict=True).collect()] == ["A"]
+    for look, names, column in ((joins.lookup_genes, ids, "acc"), (joins.lookup_proteins, spark.createDataFrame([("A",), ("Z",)], "gene string"), "gene")):
+        with pytest.raises(PySparkException, match="not in the mapping"):
+            look(names, column, mapping, strict=True).collect()
+
+
+def test_lists_of_matrices_of_any_length_are_matched(spark):
+    one = lambda n: spark.range(n).select(F.col("id").alias("matrix_id"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("id").cast("double").alias("v"))
+    with pytest.raises(ValueError):
+        joins.match_matrices(one(100_001), one(100_002))
+    assert joins.match_matrices(one(3), one(3)).where("a = b").count() == 3 and joins.match_matrices(one(1), one(3)).count() == 3

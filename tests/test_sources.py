@@ -73,6 +73,14 @@ def test_vcf_round_trip(spark, tmp_path):
     assert {r.dosage for r in long.collect()} <= {0, 1, 2} and long.count() == 150
 
 
+@pytest.mark.parametrize("separator", ["\t", ","])
+def test_delimited_round_trip(spark, tmp_path, separator):
+    df = spark.createDataFrame([(1, "a b", None), (2, "c", 1.5)], "k int, t string, x double")
+    tables.write_delimited(df, str(tmp_path / "d"), separator, "NA")
+    back = spark.read.option("sep", separator).option("header", True).option("nullValue", "NA").schema(df.schema).csv(str(tmp_path / "d"))
+    assert sorted(back.collect()) == sorted(df.collect()) and all(p.suffix == ".gz" for p in (tmp_path / "d").glob("part-*"))
+
+
 def test_chunks_retries_and_uploads(spark):
     df = spark.createDataFrame([(1, "abcde"), (2, ""), (3, "é" * 4)], "k int, t string")
     got = sorted((r.k, r.part, r.n_parts, r.start) for r in tables.chunk_plan(df, "k", "t", 2).collect())
