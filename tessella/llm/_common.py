@@ -51,6 +51,18 @@ def drop_table(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(df: DataFrame, *tags: str) -> None:
+    """Delete the tables in the shared folder that df reads, once df will not be read again; with tags, only tables written under those. Lazy
+    results of operators read such tables, which stay until then."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    shared = path(shared_dir(spark)).toUri().getPath()
+    for folder in {path(f).getParent().toString() for f in df.inputFiles()}:
+        at = path(folder)
+        if at.getParent().toUri().getPath() == shared and (not tags or at.getName().rpartition("-")[0] in tags):
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
     """Left join of rows to one row per key, with hot keys split over SALTS partitions.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import ascii_lower, join_groups, materialise, numbered, without_ids
+from tessella.llm._common import ascii_lower, join_groups, materialise, numbered, release, without_ids
 
 #: A chunk ends after a line break or a comma or full stop with a space, 512 characters on at the earliest, or at 4,096.
 CHUNK = r"(?s).{512,4096}?(?:\n|[.,] )|.{1,4096}"
@@ -61,4 +61,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup() drops: of each text one row stays, whether ids repeat or are null."""
     rows, row = numbered(docs)
-    return without_ids(rows, row, exact_dedup(rows, id_col, text_col, row).where("not kept").select("uid")).drop(row)
+    decided = exact_dedup(rows, id_col, text_col, row)
+    out = without_ids(rows, row, decided.where("not kept").select("uid")).drop(row)
+    release(decided, "recipes")
+    return out

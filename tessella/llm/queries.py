@@ -91,11 +91,42 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), redact=False).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op7_html_text, op8_packing, op9_decontaminate, op10_pii)}
+def sharding_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1_sharding: sizes, equal texts in one shard, slots gapless."""
+    out = assign_shards(table(spark, sf_dir, "documents"), n_shards=40)
+    whole = out.groupBy("shard").agg((F.max("slot") - F.min("slot") + 1 == F.count_distinct("slot")).alias("gapless"))
+    return out.join(F.broadcast(whole), "shard").select("doc_id", "size", "gapless")
+
+
+def packing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op8_packing: every word is in one sequence, and no batch is over its budget."""
+    out = pack(table(spark, sf_dir, "documents"))
+    batches = out.groupBy("bucket_len", "batch").agg((F.count("*") * F.col("bucket_len") <= F.greatest(F.lit(65_536), F.col("bucket_len"))).alias("fits"))
+    return out.join(batches, ["bucket_len", "batch"]).groupBy("doc_id").agg(F.sum("length").alias("words"), F.count("*").alias("pieces"), F.every("fits").alias("fits"))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op10_pii."""
+    return find_pii(table(spark, sf_dir, "documents"), redact=False).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+QUERIES = {f.__name__: f for f in (sharding_sizes, packing_words, pii_base_counts)} | {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op7_html_text, op8_packing, op9_decontaminate, op10_pii)}
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+
 ORACLES = {
+    "sharding_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, TRUE AS gapless FROM documents",
+    "packing_words": r"""SELECT doc_id, CAST(n AS BIGINT) AS words, CAST(greatest(1, ceil(n / 2048.0)) AS BIGINT) AS pieces, TRUE AS fits
+        FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)""",
+    "pii_base_counts": rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents)
+        SELECT doc_id, CAST(len(regexp_extract_all(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+        CAST(len(list_filter(regexp_extract_all(s, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR TRY_CAST(p AS INTEGER) > 255)) = 0)) AS BIGINT) AS n_ip,
+        CAST(len(list_filter(regexp_extract_all(s, '[0-9]([\x20-]?[0-9])+'), lambda x: length({DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({DIGITS}) + 1),
+            lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({DIGITS}), CAST(i AS INTEGER), 1) AS INTEGER) ELSE CAST(substr(reverse({DIGITS}), CAST(i AS INTEGER), 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(reverse({DIGITS}), CAST(i AS INTEGER), 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+        CAST(len(list_filter(regexp_extract_all(s, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length({DIGITS}) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM t""",
     "op2_jaccard_join": r"""
         WITH RECURSIVE t AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
