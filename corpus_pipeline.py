@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import toxicity
-from tessella.llm._common import bounded_batches, materialise, numbered, without_ids
+from tessella.llm._common import bounded_batches, materialise, numbered, release, without_ids
 from tessella.llm.decontaminate import find_leaks
 from tessella.llm.exact_dedup import keep_distinct
 from tessella.llm.jaccard_join import jaccard_classes
@@ -29,7 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each class of near copies, one row with the smallest doc_id (null only if all are); decided by row, as in drop_copies()."""
     bounded_batches(spark)
     rows, row = numbered(docs)
-    others = materialise(jaccard_classes(rows, row).where("doc_id <> component_id").select(F.col("doc_id").alias("uid"), "component_id"), "near-copies")
+    classes = jaccard_classes(rows, row)
+    others = materialise(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("uid"), "component_id"), "near-copies")
+    release(classes)
     members = others.union(others.select("component_id", "component_id").distinct())
     ids = rows.select(F.col(row).alias("uid"), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("rank"))
     kept = members.join(ids, "uid").groupBy("component_id").agg(F.min("rank").getField(row).alias("uid"))
@@ -54,10 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table, each stage's result written to the shared folder and read again."""
+    """All stages over the whole documents table, each stage's result written to the shared folder and read again. What a stage has
+    read and written besides is deleted then; the last stage's tables stay for the result, until release()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, name)
-    return docs
+            docs = materialise(kept, name)
+            release(kept)
+    return kept
