@@ -283,6 +283,12 @@ def test_spans_match_a_plain_reading(spark):
     assert len(found) >= 0.9 * sum("token" in (t or "") for t in texts)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["jo", "a.b", " at ", "(at)", " [at] ", "  at ", "\tat\n", "mail", ".com", " dot ", "(dot)", "org", " ", "x" * 70, "é", "12"]), max_size=14).map("".join))
+def test_spelled_emails_match_the_pattern(text):
+    assert pii.spelled_emails(text) == [m.span() for m in pii.SPELLED.finditer(text)]
+
+
 def test_labels_of_corpus_candidates(spark):
     base = pii.base_spans
     label = lambda kind, text, b, e: pii.weak_label(kind, text, b, e, base(text))
