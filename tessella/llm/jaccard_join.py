@@ -28,6 +28,8 @@ COUNTERS, SLICES = 1 << 19, 16
 SLOT_ENTRIES, PART_ENTRIES = 400_000, 8_000
 #: A shingle with more prefix entries than this, by the sketch, is dealt over pairs of salts, so that no task gets many more than twice as many of them.
 HOT_ENTRIES = 50_000
+#: Digests that a task remembers, so as to write equal sets once.
+KNOWN = 100_000
 #: Bits per shingle of a set's bitmap, log2 of its greatest width (wider sets are folded), members of a leaf, children of a node, node pairs examined at once.
 BITS, WIDEST, LEAF, FANOUT, FRONTIER = 2, 16, 16, 8, 1 << 14
 #: Shingles of the sets that one task compares: an even share of all, within these bounds.
@@ -340,15 +342,17 @@ def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = 1 << 18) -> It
 
 
 def _summaries(text: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n and digest of each document, and of the first of equal sets in a batch the bitmap and the set itself;
+    """kind 0: doc_id, n and digest of each document, and of the first of equal sets among KNOWN in a task the bitmap and the set itself;
     kind 1: a slice (part) of the frequency sketch of a partition."""
     id_type = dict(text.dtypes)["doc_id"]
 
     def run(batches):
-        counts, id_arrow = np.zeros(COUNTERS, dtype=np.int64), None
+        counts, id_arrow, known = np.zeros(COUNTERS, dtype=np.int64), None, set()
         names, kinds = ["kind", "part", "doc_id", "n", "digest", "bits", "data"], [pa.int32(), pa.int32(), None, pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
-            known, id_arrow = set(), batch.column(0).type
+            id_arrow = batch.column(0).type
+            if len(known) > KNOWN:
+                known.clear()
             for at, offsets, hashes in shingle_sets(batch.column(1)):
                 size, digest = np.diff(offsets), set_digests(offsets, hashes)
                 counts += np.bincount((hashes >> np.uint64(45)).astype(np.int64), minlength=COUNTERS)
@@ -582,18 +586,20 @@ def _verified(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """
     spark = sets.sparkSession
     first = sets.where("data is not null")
-    places = in_bitmap(first.select("digest", "n"), "digest", roots.select("digest")).dropDuplicates(["digest"]).join(roots, "digest")
-    places = materialise(places, "places")
-    total = places.agg(F.sum("n")).first()[0] or 0
+    members = in_bitmap(first.select("digest", "n"), "digest", roots.select("digest")).dropDuplicates(["digest"]).join(roots, "digest")
+    members = materialise(members, "members")
+    total = members.agg(F.sum("n")).first()[0] or 0
     share = min(TASK_SHINGLES, max(LEAST_TASK_SHINGLES, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    data = in_bitmap(first.select("digest", "data"), "digest", roots.select("digest"))
-    dealt = materialise(data.join(_chunked(places, share), "digest").dropDuplicates(["digest"]), "worlds")
-    drop_table(places)
-    label = materialise(dealt.groupBy("root", "chunk").applyInArrow(_compare, COMPARED), "classes")
-    large, split = label.where("chunks > 1"), dealt.where("chunks > 1").drop("chunks", "chunk")
+    places = materialise(_chunked(members, share), "places")
+    data = lambda at: in_bitmap(first.select("digest", "data"), "digest", at.select("digest")).join(at, "digest")
+    # dealt before repeated sets go, so that the sets move once; a set comes at most once from each part of the documents
+    label = data(places).repartition("root", "chunk").dropDuplicates(["root", "chunk", "digest"]).groupBy("root", "chunk").applyInArrow(_compare, COMPARED)
+    label = materialise(label, "classes")
+    large = label.where("chunks > 1")
     worlds, leaders = large.agg(F.countDistinct("root"), F.countDistinct("class")).first()
+    dealt = materialise(data(places.where("chunks > 1")).dropDuplicates(["digest"]), "worlds") if leaders > worlds else None
     while leaders > worlds:
-        standing = split.join(large.select(F.col("class").alias("digest")).distinct(), "digest", "left_semi")
+        standing = dealt.drop("chunks", "chunk").join(large.select(F.col("class").alias("digest")).distinct(), "digest", "left_semi")
         merged = _chunked(standing, share).groupBy("root", "chunk").applyInArrow(_compare, COMPARED).select(F.col("digest").alias("class"), F.col("class").alias("to"))
         after = materialise(label.join(merged, "class", "left").select("root", "digest", F.coalesce("to", "class").alias("class"), "chunks"), "classes")
         drop_table(label)
@@ -603,12 +609,12 @@ def _verified(sets: DataFrame, roots: DataFrame) -> DataFrame:
             break
     final = label.select("digest", "class")
     if leaders > worlds:
-        links = _across(dealt.where("chunks > 1"), large, share)
+        links = _across(dealt, large, share)
         roots = _connected(links)
         final = label.join(roots.select(F.col("member").alias("class"), F.col("root").alias("to")), "class", "left").select("digest", F.coalesce("to", "class").alias("class"))
         final = materialise(final, "classes")
         drop_table(label, links, roots)
-    drop_table(dealt)
+    drop_table(members, places, *([dealt] if dealt else []))
     return final.join(final.groupBy("class").agg(F.count("*").alias("class_size")), "class").select("digest", "class", "class_size")
 
 
