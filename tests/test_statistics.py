@@ -195,6 +195,14 @@ def test_trace_means_average_to_the_traces():
     assert np.allclose(np.mean(draws, axis=0), [np.mean(truth**k) for k in (1, 2, 3, 4)], rtol=0.03)
 
 
+def test_trace_means_of_very_many_rows():
+    """Estimates tend to the traces of the covariance itself, however large the counts get."""
+    truth = np.diag([1.0, 2.0, 3.0, 5.0])
+    for n in (10**5, 10**7, 10**10):
+        got = ht.trace_means([Moments(n, np.zeros(4), truth * (n - 1)), Moments(n, np.zeros(4), truth * (n - 1))])
+        assert np.allclose(list(got.values()), [np.mean(np.diag(truth) ** k) for k in (1, 2, 3, 4)], rtol=1e-3)
+
+
 @pytest.mark.parametrize("test", [lambda g: ht.srivastava_yanagihara(g), lambda g: ht.srivastava_2007(g), lambda g: ht.sy2010(*g), lambda g: ht.schott(*g)])
 def test_two_sample_tests_know_no_units_and_no_place(test):
     rng = np.random.default_rng(12)
