@@ -407,7 +407,7 @@ def salted(tokens: np.ndarray, digests: np.ndarray, sizes: np.ndarray, salts: np
 
 
 def _blocks(sets: DataFrame, level: np.ndarray, salts: np.ndarray, n_slots: int) -> DataFrame:
-    """Distinct groups of representatives that share a prefix shingle (k0, k1: their digest), as packed digests and sizes."""
+    """Distinct groups of representatives that share a prefix shingle (k0, k1: their digest; lead: the smallest member), as packed digests and sizes."""
     shared = sets.sparkSession.sparkContext.broadcast((level, salts))
 
     def emit(batches):
@@ -453,40 +453,52 @@ def _blocks(sets: DataFrame, level: np.ndarray, salts: np.ndarray, n_slots: int)
         many = np.flatnonzero(ends - starts > 1)
         many = many[np.unique(np.stack([keys[0][many], keys[1][many]]), axis=1, return_index=True)[1]] if len(many) else many
         rows = [slice(starts[b], ends[b]) for b in many]
-        columns = [keys[0][many], keys[1][many], ends[many] - starts[many], [digests[r].tobytes() for r in rows], [sizes[r].astype(np.uint32).tobytes() for r in rows]]
-        yield _batch(columns, [pa.int64()] * 3 + [pa.binary()] * 2, ["k0", "k1", "members", "digests", "sizes"])
+        lead = np.minimum.reduceat(digests[:, 0], starts).view(np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
+        columns = [keys[0][many], keys[1][many], lead[many], ends[many] - starts[many], [digests[r].tobytes() for r in rows], [sizes[r].astype(np.uint32).tobytes() for r in rows]]
+        yield _batch(columns, [pa.int64()] * 4 + [pa.binary()] * 2, ["k0", "k1", "lead", "members", "digests", "sizes"])
 
     packed = sets.select("digest", "n", "data").mapInArrow(emit, "slot int, tokens binary, digests binary, sizes binary")
-    found = packed.groupBy("slot").applyInArrow(group, "k0 long, k1 long, members long, digests binary, sizes binary")
+    found = packed.groupBy("slot").applyInArrow(group, "k0 long, k1 long, lead long, members long, digests binary, sizes binary")
     return found.dropDuplicates(["k0", "k1"])
 
 
 LINKS = "a binary, b binary, seen long, pruned long"
+#: Rows of a table that may be broadcast: some 25 MB of digests and numbers. Larger ones are joined by shuffling.
+BROADCAST_ROWS = 250_000
 
 
 def _links(blocks: DataFrame, maps: DataFrame) -> DataFrame:
-    """Links (a, b) of representatives by signature trees, and one row per partition with the node pairs seen and pruned."""
+    """Links (a, b) of representatives by signature trees, and one row per partition with the node pairs seen and pruned.
+
+    Groups with one smallest member go to one partition, since they have most members in common, unless they have more than PART_ENTRIES
+    entries together; then they are dealt over as many as that takes.
+    """
     total = blocks.agg(F.sum("members")).first()[0] or 0
     parts = max(1, -(-total // PART_ENTRIES))
+    large = blocks.groupBy("lead").agg(F.ceil(F.sum("members") / PART_ENTRIES).alias("spread")).where("spread > 1")
+    place = F.pmod(F.xxhash64("lead", F.coalesce(F.pmod(F.col("k0"), F.col("spread")), F.lit(0))), F.lit(parts))
 
     def members(batches):
         for batch in batches:
-            key, size = batch.column(0).to_numpy(), [np.frombuffer(s, dtype=np.uint32).astype(np.int64) for s in batch.column(2).to_pylist()]
-            digest = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, 2)
-            yield _batch([np.repeat(key, [len(s) for s in size]), as_binary(digest), np.concatenate([np.zeros(0, dtype=np.int64), *size])], [pa.int64(), pa.binary(), pa.int64()], ["block", "digest", "n"])
+            size = [np.frombuffer(s, dtype=np.uint32).astype(np.int64) for s in batch.column(3).to_pylist()]
+            digest = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, 2)
+            many = [len(s) for s in size]
+            part, key = (np.repeat(batch.column(k).to_numpy(), many) for k in (0, 1))
+            yield _batch([part, key, as_binary(digest), np.concatenate([np.zeros(0, dtype=np.int64), *size])], [pa.int64(), pa.int64(), pa.binary(), pa.int64()], ["part", "block", "digest", "n"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        codes = table.column("digest").chunk(0).dictionary_encode()
-        names, member = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-        _, first = np.unique(member, return_index=True)
-        shingle = np.unique(table.column("block").to_numpy(), return_inverse=True)[1]
-        found = candidate_links(table.column("n").to_numpy()[first], table.column("bits").take(pa.array(first)).to_pylist(), member.astype(np.int64), shingle)
+        table = pa.Table.from_batches(list(batches))
+        names, shared = table.column("digest").to_pylist(), table.column("blocks").to_pylist()
+        member = np.repeat(np.arange(len(names)), [len(x) for x in shared])
+        shingle = np.unique(np.fromiter((k for x in shared for k in x), dtype=np.int64, count=len(member)), return_inverse=True)[1]
+        found = candidate_links(table.column("n").to_numpy(), table.column("bits").to_pylist(), member, shingle)
         a, b = [names[x] for x, _ in found.links], [names[y] for _, y in found.links]
         yield _batch([[*a, None], [*b, None], [*[None] * len(a), found.seen], [*[None] * len(a), found.pruned]], [pa.binary(), pa.binary(), pa.int64(), pa.int64()], ["a", "b", "seen", "pruned"])
 
-    listed = blocks.select("k0", "digests", "sizes").mapInArrow(members, "block long, digest binary, n long").withColumn("part", F.pmod("block", F.lit(parts)))
-    return listed.join(maps, "digest").select("part", "block", "digest", "n", "bits").groupBy("part").applyInArrow(trees, LINKS)
+    listed = blocks.join(large, "lead", "left").select(place.alias("part"), "k0", "digests", "sizes").mapInArrow(members, "part long, block long, digest binary, n long")
+    # dealt by digest once, for the grouping and for the join
+    own = listed.repartition("digest").groupBy("digest", "part").agg(F.collect_list("block").alias("blocks"), F.max("n").alias("n"))
+    return own.join(maps, "digest").select("part", "digest", "n", "blocks", "bits").groupBy("part").applyInArrow(trees, LINKS)
 
 
 def _connected(links: DataFrame) -> DataFrame:
@@ -591,7 +603,8 @@ def _verified(sets: DataFrame, roots: DataFrame) -> DataFrame:
     total = members.agg(F.sum("n")).first()[0] or 0
     share = min(TASK_SHINGLES, max(LEAST_TASK_SHINGLES, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     places = materialise(_chunked(members, share), "places")
-    data = lambda at: in_bitmap(first.select("digest", "data"), "digest", at.select("digest")).join(at, "digest")
+    few = members.count() <= BROADCAST_ROWS
+    data = lambda at: in_bitmap(first.select("digest", "data"), "digest", at.select("digest")).join(F.broadcast(at) if few else at, "digest")
     # dealt before repeated sets go, so that the sets move once; a set comes at most once from each part of the documents
     label = data(places).repartition("root", "chunk").dropDuplicates(["root", "chunk", "digest"]).groupBy("root", "chunk").applyInArrow(_compare, COMPARED)
     label = materialise(label, "classes")
