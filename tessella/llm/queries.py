@@ -11,10 +11,13 @@ from tessella.llm.chat_format import format_records, read_back
 from tessella.llm.decontaminate import find_leaks
 from tessella.llm.exact_dedup import exact_dedup
 from tessella.llm.html_text import extract_text
+from tessella.llm.importance import resample
 from tessella.llm.jaccard_join import jaccard_classes
 from tessella.llm.packing import pack
 from tessella.llm.pii import find_pii
 from tessella.llm.sharding import assign_shards
+from tessella.llm.token_count import count_tokens
+from tessella.llm.turn_repair import damage, digests, key_of, repair
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +94,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), redact=False).drop("redacted")
 
 
+def op11_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    ids = rows.select("conv_id").distinct().withColumn("key", key_of(F.col("conv_id")))
+    fixed = repair(damage(rows), copies_col="copies")
+    out = ids.join(fixed.summary, "key", "left").join(digests(fixed.turns), "key", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def sharding_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op1_sharding: sizes, equal texts in one shard, slots gapless."""
     out = assign_shards(table(spark, sf_dir, "documents"), n_shards=40)
@@ -110,7 +132,7 @@ def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), redact=False).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
 
 
-QUERIES = {f.__name__: f for f in (sharding_sizes, packing_words, pii_base_counts)} | {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op7_html_text, op8_packing, op9_decontaminate, op10_pii)}
+QUERIES = {f.__name__: f for f in (sharding_sizes, packing_words, pii_base_counts)} | {f.__name__: f for f in (op1_sharding, op2_jaccard_join, op3_quality, op4_exact_dedup, op5_chat_format, op6_toxicity, op7_html_text, op8_packing, op9_decontaminate, op10_pii, op11_token_count, op12_importance, op13_turn_repair)}
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
