@@ -138,6 +138,48 @@ NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 
 DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 
+#: The table and the sum of CRC-32 in SQL; x is a text, tab.t the table.
+CRC_TABLE = """tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(x)), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """op13_turn_repair: the fold as a recursive query. A state is its cost in nine digits and its audit in one text, so least() takes the cheapest, then the first."""
+    far = "'999999999'"
+    edit = lambda v, cost, letter: f"CASE WHEN starts_with({v}, {far}) THEN {far} ELSE lpad(CAST(CAST(left({v}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({v}, 10) || {letter} END"
+    only = lambda test, value: f"CASE WHEN {test} THEN {value} ELSE {far} END"
+    user = lambda v: only("NOT must", edit(v, "CASE WHEN ini = 'u' THEN short ELSE 2 + short END", "CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END"))
+    helper = only("NOT must", edit("c2", "CASE WHEN ini = 'a' THEN short ELSE 2 + short END", "CASE WHEN ini = 'a' THEN 'L' ELSE 'S' END"))
+    closed = lambda f: f"(SELECT *, least(q3, {edit('c2', 2, chr(39) + 'J' + chr(39))}) AS c3 FROM (SELECT *, least(q2, {', '.join(edit(q, 2, chr(39) + 'I' + chr(39)) for q in ('q0', 'q1', 'q3'))}) AS c2 FROM {f}))"
+    return rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC} % 20 AS k
+              FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS x FROM conversations), tab),
+        r AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+              FROM d, range(2) c(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+        m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(left(role, 1)) OVER w || left(role, 1) AS pair,
+                     rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+              FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+        f AS (SELECT conv_id, i, turn, role, text, pair, left(role, 1) AS ini, bare = '' AS blank, bare <> '' AND nth > 1 AS twice, bare = '' OR nth > 1 AS must,
+                     CASE WHEN bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS short FROM n),
+        s AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (twice) AS duplicate, CAST(sum(short) AS BIGINT) AS truncated,
+                     count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+        v(conv_id, i, q0, q1, q2, q3) AS (
+            SELECT conv_id, CAST(0 AS BIGINT), '000000000', {far}, {far}, {far} FROM s
+            UNION ALL
+            SELECT c.conv_id, f.i, {edit("q0", 3, "'D'")}, least({edit("q1", 3, "'D'")}, {only("NOT must AND ini = 's'", edit("q0", "short", "'M'"))}),
+                   least({edit("c2", 3, "'D'")}, {user("q0")}, {user("q1")}, {user("c3")}), least({edit("c3", 3, "'D'")}, {helper})
+            FROM {closed("v")} c JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = c.i + 1),
+        b AS (SELECT c.conv_id, least(q0, c3) AS best FROM {closed("v")} c JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.n = c.i),
+        e AS (SELECT conv_id, unnest(list_append(regexp_extract_all(substr(best, 10), '[IJ]*[DKLMRS]'), regexp_extract(best, '[IJ]*$'))) AS p, generate_subscripts(list_append(regexp_extract_all(substr(best, 10), '[IJ]*[DKLMRS]'), ''), 1) AS i FROM b),
+        l AS (SELECT e.conv_id, e.i, k, substr(p, k, 1) AS x, role, text FROM e LEFT JOIN f ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.i = f.i, LATERAL (SELECT unnest(range(1, length(p) + 1)) AS k)),
+        o AS (SELECT conv_id, string_agg(CASE WHEN x IN ('I', 'R') THEN 'user' WHEN x IN ('J', 'S') THEN 'assistant' ELSE role END || ':' || CASE WHEN x IN ('I', 'J') THEN '' ELSE text END, chr(10) ORDER BY i, k) AS said FROM l WHERE x <> 'D' GROUP BY conv_id)
+        SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(coalesce(left(best, 9), '0') AS BIGINT) AS cost, coalesce(translate(substr(best, 10), 'JLMS', 'IKKR'), '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN o ON a.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 ORACLES = {
     "sharding_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, TRUE AS gapless FROM documents",
     "packing_words": r"""SELECT doc_id, CAST(n AS BIGINT) AS words, CAST(greatest(1, ceil(n / 2048.0)) AS BIGINT) AS pieces, TRUE AS fits
@@ -178,4 +220,19 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op12_importance": rf"""
+        WITH {CRC_TABLE},
+        w AS (SELECT doc_id, TRUE AS raw, regexp_extract_all({NORM}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents UNION ALL SELECT item_id, FALSE, regexp_extract_all({NORM}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+        u AS (SELECT doc_id, raw, unnest(ws) AS x FROM w),
+        k AS (SELECT x, {CRC} % 10000 AS b FROM (SELECT DISTINCT x FROM u), tab),
+        n AS (SELECT b, count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM u JOIN k USING (x) GROUP BY b),
+        z AS (SELECT CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM n),
+        g AS (SELECT x, CAST(floor(1000 * ln((n.t + 1.0::DOUBLE) * (z.s + 10000) / ((n.s + 1.0::DOUBLE) * (z.t + 10000)))) AS BIGINT) AS gain FROM k JOIN n USING (b), z),
+        m AS (SELECT doc_id, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM u JOIN g USING (x) WHERE raw GROUP BY doc_id),
+        p AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                     coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || CAST(doc_id AS VARCHAR)), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+              FROM w LEFT JOIN m USING (doc_id) WHERE raw),
+        o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM p WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM p LEFT JOIN o USING (doc_id)""",
+    "op13_turn_repair": _repair_sql(),
 }
