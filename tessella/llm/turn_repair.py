@@ -57,8 +57,13 @@ def _vector(*states: Column) -> Column:
     return F.struct(*[s.alias(f"q{k}") for k, s in enumerate(states)])
 
 
-def _start(state: int) -> Column:
-    return _vector(*[F.struct(F.lit(0 if k == state else FAR).cast("long").alias("cost"), F.lit("").alias("audit")) for k in STATES])
+def _start(state: Column) -> Column:
+    return _vector(*[F.struct(F.when(state == k, 0).otherwise(FAR).cast("long").alias("cost"), F.lit("").alias("audit")) for k in STATES])
+
+
+def _matrix(parts: str, step) -> Column:
+    """parts folded from each of the four states."""
+    return F.transform(F.array(*map(F.lit, STATES)), lambda k: F.aggregate(parts, _start(k), step))
 
 
 def _inserted(v: Column) -> Column:
@@ -180,17 +185,20 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     counts = marks.groupBy("key").agg(gaps.alias("gaps"), *[F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated", "extra")], (F.sum("illegal") + border).alias("illegal"))
     long = materialise(marks.where("place > 0").select("key").distinct(), "long-conversations")
 
-    folded = without_ids(parts.select("key", "chunk", "turns"), "key", long).withColumn("best", _closed(F.aggregate("turns", _start(0), _step)))
+    folded = without_ids(parts.select("key", "chunk", "turns"), "key", long).withColumn("best", _closed(F.aggregate("turns", _start(F.lit(0)), _step)))
     pieces = _pieces(F.col("best.audit"))
     short = folded.select("key", "chunk", F.col("best.cost").alias("cost"), F.concat(_shown(pieces, F.col("turns")), F.translate(_tail(F.col("best.audit")), "J", "I")).alias("audit"), F.concat(_said(pieces, F.col("turns")), _said_last(_tail(F.col("best.audit")))).alias("said"))
     short = materialise(short, "short-repairs")
 
-    shared = in_bitmap(parts.select("key", "chunk", "turns"), "key", long).join(long, "key", "left_semi")
-    matrices = shared.select("key", "chunk", F.array(*[F.aggregate("turns", _start(k), _step) for k in STATES]).alias("m")).join(marks.select("key", "chunk", "place"), ["key", "chunk"]).select("key", "place", "m")
     n = marks.agg(F.max("place")).first()[0] or 0
+    if not n:
+        summary = counts.join(short.select("key", "cost", "audit"), "key")
+        return Repaired(summary.withColumn("cost", F.col("cost") + F.col("extra")).drop("extra"), short.select("key", "chunk", F.lit(True).alias("whole"), "said"))
+    shared = in_bitmap(parts.select("key", "chunk", "turns"), "key", long).join(long, "key", "left_semi")
+    matrices = shared.select("key", "chunk", _matrix("turns", _step).alias("m")).join(marks.select("key", "chunk", "place"), ["key", "chunk"]).select("key", "place", "m")
     while n > 0:
         grouped = matrices.groupBy("key", F.floor(F.col("place") / FAN).alias("place")).agg(F.sort_array(F.collect_list(F.struct("place", "m"))).alias("ms"))
-        matrices = materialise(grouped.select("key", "place", F.array(*[F.aggregate("ms", _start(k), lambda v, b: _joined(v, b["m"])) for k in STATES]).alias("m")), "matrices")
+        matrices = materialise(grouped.select("key", "place", _matrix("ms", lambda v, b: _joined(v, b["m"])).alias("m")), "matrices")
         n //= FAN
     best = matrices.select("key", _closed(F.col("m")[0]).alias("best"))
     places = marks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk", "offset", "n"))).alias("places"))
