@@ -137,7 +137,7 @@ def _element(kind: T.DataType) -> tuple[int, T.DataType]:
     return depth, kind
 
 
-def _wild(term: str) -> str | None:
+def wild_pattern(term: str) -> str | None:
     """A regular expression for a term with wildcards, or None."""
     if not re.search(r"(?<!\\)[*?]", term):
         return None
@@ -170,7 +170,7 @@ def _test(node: Node, value: Column, kind: T.DataType) -> Column:
             return value.cast("double") == F.lit(float(unescape(text)))
         except ValueError:
             return F.lit(False)
-    wild = _wild(text) if node.kind == "term" else None
+    wild = wild_pattern(text) if node.kind == "term" else None
     if wild:
         return F.lower(value.cast("string")).rlike(wild.lower())
     return F.lower(value.cast("string")) == unescape(text).lower() if node.kind == "term" else _words(value, text)
@@ -203,7 +203,7 @@ class Compiler:
         if node.kind in ("compare", "range"):
             raise ValueError("a comparison needs a field")
         text = unescape(node.value[1:-1]) if node.kind == "phrase" else node.value
-        wild = _wild(text) if node.kind == "term" else None
+        wild = wild_pattern(text) if node.kind == "term" else None
         find = (lambda v, k: F.lower(v).rlike(r"(?U)(?<!\w)" + wild[1:-1].lower().replace(".*", r"\w*") + r"(?!\w)")) if wild else (lambda v, k: _words(v, unescape(text)))
         tests = [self.over(c, find) for c in self.text]
         if not tests:
