@@ -6,13 +6,13 @@ Kinds: user, message, token, delete, start, end, stopping, released, overlay.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 EVENT = (
     "run_id string, seq long, kind string, task_id string, message_id string, output string, is_final boolean, is_reasoning boolean, "
@@ -24,9 +24,54 @@ DONE = ("succeeded", "failed", "cancelled")
 FINALISE_MS = 10_000
 
 
+@dataclass
+class Message:
+    """What a run holds of a message besides its text: place in the order of first sight, turn for which it is final (0: none)."""
+
+    position: int
+    final: int = 0
+    streamed: bool = False
+    completed: bool = False
+    alive: bool = True
+
+
+class Messages:
+    """A run's messages in memory. A stream keeps them as keyed state instead, under the same four methods."""
+
+    def __init__(self):
+        self.held: dict[str, Message] = {}
+        self.texts: dict[str, list[str]] = {}
+
+    def get(self, name: str) -> Message | None:
+        return self.held.get(name)
+
+    def put(self, name: str, message: Message, text: str | None = None, more: str | None = None) -> None:
+        """Keep a message; its text is replaced by text, or more is added to it, or stays."""
+        self.held[name] = message
+        if text is not None:
+            self.texts[name] = [text]
+        elif more is not None:
+            self.texts[name].append(more)
+
+    def text(self, name: str) -> str:
+        return "".join(self.texts[name])
+
+    def drop(self, name: str, message: Message) -> None:
+        """Forget a message and its text, but for the fact that it has been completed."""
+        del self.texts[name]
+        if message.completed:
+            self.held[name] = replace(message, alive=False, final=0, streamed=False)
+        else:
+            del self.held[name]
+
+    def finals(self, turn: int) -> Iterable[tuple[int, str]]:
+        """Position and name of the final messages of a turn; only asked for when the latest one is deleted."""
+        return ((m.position, name) for name, m in self.held.items() if m.alive and m.final == turn)
+
+
 @dataclass
 class Run:
-    """State of one run; it is JSON between micro-batches."""
+    """State of one run without its messages: some scalars, whatever its length."""
 
     status: str = "submitting"
     task: str | None = None
@@ -36,35 +81,34 @@ class Run:
     latest_checkpoint: str | None = None
     answered: str | None = None
     waiting: bool = False
-    completed: list[str] = field(default_factory=list)
-    order: list[str] = field(default_factory=list)
-    output: dict[str, str] = field(default_factory=dict)
-    streamed: list[str] = field(default_factory=list)
-    final: dict[str, int] = field(default_factory=dict)
-    turn: int = 0
+    turn: int = 1
+    seen: int = 0
+    final: str | None = None
+    final_position: int = 0
+    deadline: int | None = None
+    messages: Messages = field(default_factory=Messages, repr=False, compare=False)
 
     def _stale(self, task: str | None) -> bool:
         return task is not None and self.task is not None and task != self.task
 
-    def _latest_final(self) -> str | None:
-        return next((m for m in reversed(self.order) if self.final.get(m) == self.turn), None)
-
     def _complete(self) -> list[tuple[str, str | None, str]]:
         """The run succeeds once its task has ended and a final message of the present turn is there; once per message."""
-        last = self._latest_final()
-        if not self.ended or last is None or self.cancel or self.status in DONE or last in self.completed:
+        last = self.final
+        if not self.ended or last is None or self.cancel or self.status in DONE:
+            return []
+        message = self.messages.get(last)
+        if message.completed:
             return []
         self.status = "succeeded"
-        self.completed.append(last)
-        return [("completed", last, self.output[last])]
+        self.messages.put(last, replace(message, completed=True))
+        return [("completed", last, self.messages.text(last))]
 
     def step(self, e: dict) -> list[tuple[str, str | None, str]]:
         """Takes one event in; returns the changes (kind, message, text) that follow from it."""
         kind, task, message = e["kind"], e.get("task_id"), e.get("message_id")
-        text = e.get("output") or ""
         if kind == "user":
             self.turn += 1
-            self.ended = False
+            self.ended, self.final = False, None
             if self.status == "succeeded":
                 self.status = "running"
             return []
@@ -94,55 +138,65 @@ class Run:
             self.task, self.status, self.waiting = task or self.task, "cancelled", False
             return [("cancelled", None, "")]
         if kind == "overlay":
-            c = e.get("checkpoint_id")
-            if c and self.latest_checkpoint and c < self.latest_checkpoint:
-                return []
-            if e.get("waiting") and c is not None and self.answered is not None and c <= self.answered:
-                return []
-            self.latest_checkpoint = c or self.latest_checkpoint
-            was, self.waiting = self.waiting, bool(e.get("waiting"))
-            return [("needs_input", None, c or "")] if self.waiting and not was else []
+            return self._overlay(e.get("checkpoint_id"), bool(e.get("waiting")))
         if message is None:
             return []
+        held = self.messages.get(message)
+        if held is not None and not held.alive:
+            held = replace(held, position=0)
         if kind == "delete":
-            if message not in self.output:
-                return []
-            del self.output[message]
-            self.order.remove(message)
-            self.final.pop(message, None)
-            if message in self.streamed:
-                self.streamed.remove(message)
-                return [("retract", message, "")]
-            return []
+            return self._delete(message, held)
         if kind == "token":
-            if message not in self.output:
-                return []
-            old = self.output[message]
-            self.output[message] = text if e.get("is_sequence") else old + text
-            return self._delta(message, old, bool(e.get("is_reasoning")), False)
-        if kind == "message":
-            new, old = message not in self.output, self.output.get(message, "")
-            if new:
-                self.order.append(message)
-            self.output[message] = text
-            if e.get("is_final"):
-                self.final[message] = self.turn
-            return self._delta(message, old, bool(e.get("is_reasoning")), new) + self._complete()
-        return []
-
-    def _delta(self, message: str, old: str, reasoning: bool, new: bool) -> list[tuple[str, str | None, str]]:
-        """What was added, if the new text goes on from the old, or the whole of it; nothing if nothing was added, but for the first
-        sight of reasoning."""
-        now = self.output[message]
-        if now.startswith(old):
-            if now == old and not (reasoning and new):
-                return []
-            change = ("append", message, now[len(old) :])
-        else:
-            change = ("replace", message, now)
-        if message not in self.streamed:
-            self.streamed.append(message)
-        return [change]
+            return self._token(message, held, e)
+        return self._message(message, held, e) if kind == "message" else []
+
+    def _overlay(self, checkpoint: str | None, waiting: bool) -> list[tuple[str, str | None, str]]:
+        if checkpoint and self.latest_checkpoint and checkpoint < self.latest_checkpoint:
+            return []
+        if waiting and checkpoint is not None and self.answered is not None and checkpoint <= self.answered:
+            return []
+        self.latest_checkpoint = checkpoint or self.latest_checkpoint
+        was, self.waiting = self.waiting, waiting
+        return [("needs_input", None, checkpoint or "")] if waiting and not was else []
+
+    def _delete(self, name: str, held: Message | None) -> list[tuple[str, str | None, str]]:
+        if held is None or not held.alive:
+            return []
+        self.messages.drop(name, held)
+        if self.final == name:
+            self.final_position, self.final = max(self.messages.finals(self.turn), default=(0, None))
+        return [("retract", name, "")] if held.streamed else []
+
+    def _token(self, name: str, held: Message | None, e: dict) -> list[tuple[str, str | None, str]]:
+        if held is None or not held.alive:
+            return []
+        text = e.get("output") or ""
+        if e.get("is_sequence"):
+            return self._snapshot(name, held, text, False)
+        if text:
+            self.messages.put(name, replace(held, streamed=True), more=text)
+        return [("append", name, text)] if text else []
+
+    def _message(self, name: str, held: Message | None, e: dict) -> list[tuple[str, str | None, str]]:
+        new = held is None or not held.alive
+        if new:
+            self.seen += 1
+            held = Message(self.seen, completed=held is not None and held.completed)
+        if e.get("is_final"):
+            held = replace(held, final=self.turn)
+            if self.final is None or held.position >= self.final_position:
+                self.final, self.final_position = name, held.position
+        return self._snapshot(name, held, e.get("output") or "", new, new and bool(e.get("is_reasoning"))) + self._complete()
+
+    def _snapshot(self, name: str, held: Message, now: str, new: bool, show: bool = False) -> list[tuple[str, str | None, str]]:
+        """A whole text: what was added, if it goes on from the old one, or all of it; nothing if nothing was added, but for the first
+        sight of reasoning (show)."""
+        old = "" if new else self.messages.text(name)
+        if now == old and not show:
+            self.messages.put(name, held, text=now if new else None)
+            return []
+        self.messages.put(name, replace(held, streamed=True), text=now)
+        return [("append", name, now[len(old) :]) if now.startswith(old) else ("replace", name, now)]
 
     def expire(self) -> list[tuple[str, str | None, str]]:
         """The task ended, and no final message came in time."""
@@ -174,24 +228,124 @@ def fold_runs(events: DataFrame) -> DataFrame:
     return events.select(*FIELDS).groupBy("run_id").applyInPandas(run, CHANGE)
 
 
-def stream_runs(events: DataFrame, finalise_ms: int = FINALISE_MS) -> DataFrame:
-    """The same as a stream: state per run, changes appended as events come in; a run whose task has ended and that gets no final
-    message within finalise_ms fails."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = Run(**json.loads(state.get[0])) if state.exists else Run()
-        if state.hasTimedOut:
-            rows = [(key[0], None, *change, held.status) for change in held.expire()]
+RUN_STATE = "status string, task string, ended boolean, cancel boolean, announced boolean, latest_checkpoint string, answered string, waiting boolean, turn int, seen int, final string, final_position int, deadline long"
+MESSAGE_STATE = "position int, final int, streamed boolean, completed boolean, alive boolean, pieces int"
+
+
+class KeyedMessages(Messages):
+    """A run's messages as map state: one entry a message, and one for each piece of its text, so a token writes its own characters only. Entries read in
+    a batch are kept until its end."""
+
+    def __init__(self, messages, pieces):
+        self.state, self.pieces = messages, pieces
+        self.read: dict[str, tuple[Message, int] | None] = {}
+
+    def _entry(self, name: str) -> tuple[Message, int] | None:
+        if name not in self.read:
+            found = self.state.getValue((name,)) if self.state.containsKey((name,)) else None
+            self.read[name] = None if found is None else (Message(*found[:5]), found[5])
+        return self.read[name]
+
+    def get(self, name: str) -> Message | None:
+        entry = self._entry(name)
+        return entry and entry[0]
+
+    def put(self, name: str, message: Message, text: str | None = None, more: str | None = None) -> None:
+        before = self._entry(name)
+        n = before[1] if before else 0
+        if text is not None:
+            self._forget(name, range(1, n))
+            self.pieces.updateValue((name, 0), (text,))
+            n = 1
+        elif more is not None:
+            self.pieces.updateValue((name, n), (more,))
+            n += 1
+        if before != (message, n):
+            self.read[name] = (message, n)
+            self.state.updateValue((name,), (message.position, message.final, message.streamed, message.completed, message.alive, n))
+
+    def text(self, name: str) -> str:
+        return "".join(self.pieces.getValue((name, k))[0] for k in range(self._entry(name)[1]))
+
+    def drop(self, name: str, message: Message) -> None:
+        self._forget(name, range(self._entry(name)[1]))
+        self.read[name] = None
+        if message.completed:
+            gone = replace(message, alive=False, final=0, streamed=False)
+            self.read[name] = (gone, 0)
+            self.state.updateValue((name,), (gone.position, 0, False, True, False, 0))
         else:
-            parts = list(batches)
-            rows = _fold(key[0], held, _rows(pd.concat(parts))) if parts else []
-        state.update((json.dumps(asdict(held)),))
-        if held.ended and held.status not in DONE:
-            state.setTimeoutDuration(finalise_ms)
-        yield _frame(rows)
-
-    return events.select(*FIELDS).groupBy("run_id").applyInPandasWithState(run, CHANGE, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+            self.state.removeKey((name,))
+
+    def finals(self, turn: int) -> Iterable[tuple[int, str]]:
+        return ((v[0], k[0]) for k, v in self.state.iterator() if v[4] and v[1] == turn)
+
+    def _forget(self, name: str, numbers: Iterable[int]) -> None:
+        for k in numbers:
+            self.pieces.removeKey((name, k))
+
+
+class RunProcessor(StatefulProcessor):
+    """The reducer over keyed state: the run's scalars as one value, its messages and the pieces of their texts as maps, its deadline as a timer."""
+
+    def __init__(self, finalise_ms: int | None, ttl_ms: int | None):
+        self.finalise_ms, self.ttl_ms = finalise_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", RUN_STATE, self.ttl_ms)
+        self.messages = handle.getMapState("messages", "name string", MESSAGE_STATE, self.ttl_ms)
+        self.pieces = handle.getMapState("pieces", "name string, piece int", "text string", self.ttl_ms)
+
+    def _held(self) -> Run:
+        scalars = tuple(self.run.get()) if self.run.exists() else ()
+        return Run(*scalars, messages=KeyedMessages(self.messages, self.pieces))
+
+    def _keep(self, run: Run, now_ms: int) -> None:
+        if run.deadline is not None:
+            self.handle.deleteTimer(run.deadline)
+            run.deadline = None
+        if self.finalise_ms is not None and run.ended and run.status not in DONE:
+            run.deadline = now_ms + self.finalise_ms
+            self.handle.registerTimer(run.deadline)
+        self.run.update(tuple(getattr(run, c.split()[0]) for c in RUN_STATE.split(", ")))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        run, parts = self._held(), list(rows)
+        changes = _fold(key[0], run, _rows(pd.concat(parts))) if parts else []
+        self._keep(run, timerValues.getCurrentProcessingTimeInMs())
+        yield _frame(changes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        run = self._held()
+        if run.deadline != expiredTimerInfo.getExpiryTimeInMs():
+            yield _frame([])
+            return
+        changes = [(key[0], None, *change, run.status) for change in run.expire()]
+        run.deadline = None
+        self.run.update(tuple(getattr(run, c.split()[0]) for c in RUN_STATE.split(", ")))
+        yield _frame(changes)
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keyed state needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def stream_runs(events: DataFrame, finalise_ms: int | None = FINALISE_MS, ttl_ms: int | None = None) -> DataFrame:
+    """The same as a stream: changes appended as events come in; a run whose task has ended and that gets no final message within finalise_ms fails.
+
+    Deadlines are checked by further batches, so the stream goes on without new events until it is stopped; finalise_ms = None leaves
+    them out, for streams that take in what is there (trigger availableNow) and end.
+
+    State is keyed (RunProcessor), so what a batch writes follows its new events and not the length of the runs. The session's state store
+    has to be RocksDB (STATE_STORE). With ttl_ms, values not written for so long are forgotten, and runs that go on after that begin anew.
+    """
+    if events.sparkSession.conf.get(STATE_STORE[0], "").rpartition(".")[2] != STATE_STORE[1].rpartition(".")[2]:
+        raise ValueError(f"set {STATE_STORE[0]} to {STATE_STORE[1]}")
+    return events.select(*FIELDS).groupBy("run_id").transformWithStateInPandas(RunProcessor(finalise_ms, ttl_ms), CHANGE, "append", "none" if finalise_ms is None and ttl_ms is None else "processingTime")
 
 
 def bounded_history(events: DataFrame, run: str, order: list[str], keep: int = 2000) -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -62,7 +64,6 @@ def test_terminal_states_absorb(kinds, tasks):
         before = run.status
         run.step(event("r", k, kind, task_id=task, message_id="m", output="x", is_final=k % 2 == 0, checkpoint_id=str(k), waiting=True))
         assert before != "cancelled" or run.status == "cancelled"
-        assert ev.Run(**json.loads(json.dumps(ev.asdict(run)))) == run
 
 
 def log():
@@ -72,18 +73,72 @@ def log():
     return rows
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = log()
-    for k in range(5):
-        part = [r for r in rows if r["seq"] == k + 1]
-        spark.createDataFrame([tuple(r[f] for f in ev.FIELDS) for r in part], ev.EVENT).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    everything = spark.read.schema(ev.EVENT).json(str(tmp_path / "in"))
-    batch = sorted(map(tuple, ev.fold_runs(everything).collect()))
-    stream = ev.stream_runs(spark.readStream.schema(ev.EVENT).json(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("changes").collect())) == batch and len(batch) == 6 * 5
-    assert ev.completions(spark.table("changes")).count() == 6
+@pytest.fixture
+def rocksdb(spark):
+    spark.conf.set(*ev.STATE_STORE)
+    yield spark
+    spark.conf.unset(ev.STATE_STORE[0])
+
+
+def write_events(spark, rows, folder):
+    spark.createDataFrame([tuple(r[f] for f in ev.FIELDS) for r in rows], ev.EVENT).coalesce(1).write.mode("append").json(str(folder))
+
+
+def run_stream(spark, folder, name, **options):
+    """All that is there now, in micro-batches of one file; goes on from the checkpoint of the run before."""
+    stream = ev.stream_runs(spark.readStream.schema(ev.EVENT).option("maxFilesPerTrigger", 1).json(str(folder / "in")), **options)
+    q = stream.writeStream.format("parquet").option("path", str(folder / name)).option("checkpointLocation", str(folder / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    return q
+
+
+def test_a_stream_that_is_restarted_equals_the_batch(rocksdb, tmp_path):
+    rng = random.Random(4)
+    kinds = ["user", "start", "end", "stopping", "released", "message", "message", "token", "token", "delete", "overlay"]
+    rows = log() + [event(f"q{r}", k, rng.choice(kinds), task_id=rng.choice([None, "t"]), message_id=rng.choice("mno"), output=rng.choice(["", "a", "ab", "abc", "x"]), is_final=rng.random() < 0.4, is_sequence=rng.random() < 0.3, is_reasoning=rng.random() < 0.2, checkpoint_id=str(rng.randrange(5)), waiting=rng.random() < 0.5) for r in range(5) for k in range(40)]
+    rows.sort(key=lambda r: r["seq"])
+    for at in range(0, len(rows), 60):
+        write_events(rocksdb, rows[at : at + 60], tmp_path / "in")
+        run_stream(rocksdb, tmp_path, "out", finalise_ms=None)
+    batch = ev.fold_runs(rocksdb.read.schema(ev.EVENT).json(str(tmp_path / "in")))
+    got = rocksdb.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
+    assert ev.completions(got.where("run_id like 'r%'")).count() == 6
+
+
+def test_a_token_writes_its_own_characters(rocksdb, tmp_path):
+    write_events(rocksdb, [event("r", 1, "message", message_id="m", output="x" * 300_000)], tmp_path / "in")
+    first = run_stream(rocksdb, tmp_path, "out", finalise_ms=None).recentProgress[-1]
+    write_events(rocksdb, [event("r", k, "token", message_id="m", output="y") for k in range(2, 30)], tmp_path / "in")
+    second = run_stream(rocksdb, tmp_path, "out", finalise_ms=None).recentProgress[-1]
+    written = [p["stateOperators"][0]["customMetrics"]["rocksdbTotalBytesWritten"] for p in (first, second)]
+    assert written[0] > 300_000 and written[1] < 20_000
+    write_events(rocksdb, [event("r", 40, "message", message_id="m", output="x" * 300_000 + "y" * 28 + "!")], tmp_path / "in")
+    run_stream(rocksdb, tmp_path, "out", finalise_ms=None)
+    assert rocksdb.read.parquet(str(tmp_path / "out")).where("seq = 40").first().text == "!"
+
+
+def test_a_deadline_fails_a_run_of_a_stream(rocksdb, tmp_path):
+    rows = [event("r", 1, "start"), event("r", 2, "end"), event("s", 1, "start"), event("s", 2, "message", message_id="m", output="a", is_final=True), event("s", 3, "end")]
+    write_events(rocksdb, rows, tmp_path / "in")
+    q = ev.stream_runs(rocksdb.readStream.schema(ev.EVENT).json(str(tmp_path / "in")), 200).writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "ck")).start()
+    end = time.time() + 90
+    while time.time() < end and rocksdb.table("late").where("change = 'failed'").isEmpty():
+        time.sleep(1)
+    q.stop()
+    assert [(r.run_id, r.seq, r.status) for r in rocksdb.table("late").where("change = 'failed'").collect()] == [("r", None, "failed")]
+
+
+def test_keyed_state_needs_its_store(spark, tmp_path):
+    write_events(spark, log(), tmp_path / "in")
+    with pytest.raises(ValueError, match="RocksDB"):
+        ev.stream_runs(spark.readStream.schema(ev.EVENT).json(str(tmp_path / "in")))
+
+
+def test_a_deleted_final_message_gives_way_to_the_one_before():
+    rows = [("message", "a", True), ("message", "b", True), ("message", "c", False), ("delete", "b", False), ("end", None, False), ("delete", "a", False), ("message", "a", True)]
+    run, out = changes([event("r", 1, "start")] + [event("r", k + 2, kind, message_id=m, output=m, is_final=f) for k, (kind, m, f) in enumerate(rows)])
+    assert [c[:2] for c in out if c[0] in ("completed", "retract")] == [("retract", "b"), ("completed", "a"), ("retract", "a")]
 
 
 def test_completions_over_a_stream_need_a_time(spark, tmp_path):
