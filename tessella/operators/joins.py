@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.skew import split_join
 from tessella.sources.proteomics import SomascanDataset, TandemMassTagDataset
 
 ColumnFn = Callable[[Column], Column]
@@ -20,12 +21,14 @@ def join_proteomics(
     protein_sample: str | None = None,
     map_variant_sample: ColumnFn | None = None,
     map_protein_sample: ColumnFn | None = None,
+    split_hot: bool | None = None,
 ) -> DataFrame:
     """Inner join of variant carriers to protein abundances on sample and gene; null keys match null keys.
 
     TMT data is melted and joined on gene_name and sample, SomaScan data on Target and SampleId; a plain DataFrame needs both names.
     The protein side's sample and gene columns go if they are named otherwise than the variant side's; other names on both
-    sides get _x and _y. Identifiers may be mapped by Column functions first. Neither input is changed.
+    sides get _x and _y. Identifiers may be mapped by Column functions first. Neither input is changed. Hot keys of the variant side, null keys
+    among them, are measured and split if it is large (split_hot: always or never).
     """
     if isinstance(proteins, TandemMassTagDataset):
         right, gene, sample = proteins.melt(), protein_gene or "gene_name", protein_sample or "sample"
@@ -42,10 +45,14 @@ def join_proteomics(
         right = right.withColumn(sample, map_protein_sample(F.col(f"`{sample}`")))
     drop = {sample, gene}  # equal to the variant side's columns after the join
     both = {c for c in left.columns if c in right.columns and c not in ("sample", variant_gene) and c not in drop}
-    l_cols = [F.col(f"l.`{c}`").alias(f"{c}_x" if c in both else c) for c in left.columns]
-    r_cols = [F.col(f"r.`{c}`").alias(f"{c}_y" if c in both else c) for c in right.columns if c not in drop]
-    on = F.col("l.sample").eqNullSafe(F.col(f"r.`{sample}`")) & F.col(f"l.`{variant_gene}`").eqNullSafe(F.col(f"r.`{gene}`"))
-    return left.alias("l").join(right.alias("r"), on, "inner").select(*l_cols, *r_cols)
+    # numbered names, since both sides may have columns of the same name
+    x = left.select(*[F.col(f"`{c}`").alias(f"__l{k}") for k, c in enumerate(left.columns)])
+    y = right.select(*[F.col(f"`{c}`").alias(f"__r{k}") for k, c in enumerate(right.columns)])
+    l_cols = [F.col(f"__l{k}").alias(f"{c}_x" if c in both else c) for k, c in enumerate(left.columns)]
+    r_cols = [F.col(f"__r{k}").alias(f"{c}_y" if c in both else c) for k, c in enumerate(right.columns) if c not in drop]
+    at = lambda df, c, side: f"__{side}{[x.lower() for x in df.columns].index(c.lower())}"
+    on = [(at(left, "sample", "l"), at(right, sample, "r")), (at(left, variant_gene, "l"), at(right, gene, "r"))]
+    return split_join(x, y, on, measure=split_hot).select(*l_cols, *r_cols)
 
 
 def _looked_up(ids: DataFrame, column: str, known: DataFrame, value: str, strict: bool) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -17,6 +17,7 @@ from tessella.operators import hypothesis, matrices
 from tessella.operators.covariance import ESTIMATORS
 from tessella.operators.moments import Moments, moments, of_matrix
 from tessella.operators.replicates import broadcast_samples, replicate, replicate_vectors
+from tessella.operators.skew import split_join, with_group_means
 
 LEAST = 30
 
@@ -206,8 +207,7 @@ def call_parent(phenotypes: list[str], means: np.ndarray, effect: np.ndarray) ->
 
 def group_means(df: DataFrame, group: str, columns: list[str], suffix: str = "_mean") -> DataFrame:
     """df with the group's mean of each column."""
-    w = Window.partitionBy(group)
-    return df.select("*", *[F.avg(F.col(f"`{c}`")).over(w).alias(f"{c}{suffix}") for c in columns])
+    return with_group_means(df, group, columns, suffix)
 
 
 def centre_by_group(df: DataFrame, group: str, columns: list[str], mode: str = "median", suffix: str = "_centred") -> DataFrame:
@@ -218,7 +218,7 @@ def centre_by_group(df: DataFrame, group: str, columns: list[str], mode: str = "
         raise ValueError(f"no centring {mode!r}")
     f = F.avg if mode == "mean" else F.median
     centres = df.groupBy(F.col(group).alias("__g")).agg(*[f(F.col(f"`{c}`")).alias(f"__c{k}") for k, c in enumerate(columns)])
-    out = df.join(centres, F.col(group).eqNullSafe(F.col("__g")), "left")
+    out = split_join(df, centres, [(group, "__g")], "left")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"`{c}`") - F.col(f"__c{k}")).alias(f"{c}{suffix}") for k, c in enumerate(columns)])
 
 
