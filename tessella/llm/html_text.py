@@ -52,7 +52,7 @@ SPACE = re.compile(r"[ \t\n\f\r]+")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
 SHOWING = re.compile(r"(?:^|;)\s*(?:display|visibility)\s*:", re.IGNORECASE)
 CSS_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.DOTALL)
-CSS_RULE = re.compile(r"([^{}]*)([{}])")
+BRACE = re.compile("[{}]")
 SELECTOR = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][A-Za-z_][\w-]*)*)")
 #: The padding of a table may have so many times its visible characters, by its depth in other tables. Where full alignment needs more,
 #: columns are aligned to these widths only, and longer cells push the rest of their line on; at 0, cells are two spaces apart.
@@ -195,19 +195,21 @@ def build(html: str) -> Node:
 
 
 class Rules:
-    """Which elements the page's style elements hide: rules by their rarest part, the last of the most specific ones deciding."""
+    """Which elements the page's style elements hide: rules by their rarest part, the last of the most specific ones deciding. Of rules with one
+    selector the last is kept, and elements with one tag, class and id are decided once."""
 
     def __init__(self):
-        self.by_part: dict[str, list[tuple[tuple[int, int], str, frozenset[str], bool]]] = {}
+        self.by_part: dict[str, dict[tuple[str, frozenset[str]], tuple[tuple[int, int], bool]]] = {}
+        self.decided: dict[tuple[str, str, str], bool] = {}
         self.count = 0
 
     def add(self, css: str) -> None:
-        depth, skipped = 0, False
-        head = ""
+        """Takes the rules of a style element in, from brace to brace; text without braces is no rule."""
+        depth, skipped, head, at = 0, False, "", 0
         css = CSS_NOISE.sub("", css)
-        for m in CSS_RULE.finditer(css):
-            text, brace = m[1], m[2]
-            if brace == "{":
+        for m in BRACE.finditer(css):
+            text, at = css[at : m.start()], m.end()
+            if m[0] == "{":
                 if depth == 0:
                     head = text.rpartition(";")[2] if text.lstrip().startswith("@") else text
                     skipped = head.strip().startswith("@")
@@ -225,14 +227,17 @@ class Rules:
                 tag = "" if m[1] in (None, "*") else m[1].lower()
                 weight = 100 * sum(x[0] == "#" for x in parts) + 10 * sum(x[0] == "." for x in parts) + bool(tag)
                 self.count += 1
-                self.by_part.setdefault(min(parts) if parts else tag, []).append(((weight, self.count), tag, parts, hides))
+                self.by_part.setdefault(min(parts) if parts else tag, {})[tag, parts] = ((weight, self.count), hides)
 
     def hide(self, node: Node) -> bool:
         if not self.by_part:
             return False
-        own = {f".{c}" for c in node.attrs.get("class", "").split()} | ({f"#{node.attrs['id']}"} if node.attrs.get("id") else set())
-        fit = [(order, hides) for part in (*own, node.tag, "") for order, tag, parts, hides in self.by_part.get(part, ()) if tag in ("", node.tag) and parts <= own]
-        return bool(fit) and max(fit)[1]
+        key = node.tag, node.attrs.get("class", ""), node.attrs.get("id", "")
+        if key not in self.decided:
+            own = {f".{c}" for c in key[1].split()} | ({f"#{key[2]}"} if key[2] else set())
+            fit = [rule for part in (*own, node.tag, "") for (tag, parts), rule in self.by_part.get(part, {}).items() if tag in ("", node.tag) and parts <= own]
+            self.decided[key] = bool(fit) and max(fit)[1]
+        return self.decided[key]
 
 
 def style_rules(root: Node) -> Rules:

@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -332,3 +333,34 @@ def test_compressed_addresses_are_found(spark):
     rows = [(1, "the server address is 2001:db8::1 now"), (2, "host = fe80::1ff:fe23:4567:890a, then"), (3, "login ip: 2001:db8:85a3::8a2e:370:7334 ok"), (4, "call a::b(c) here")]
     got = {r.doc_id: r.redacted for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "the server address is [IP] now", 2: "host = [IP], then", 3: "login ip: [IP] ok", 4: rows[3][1]}
+
+
+def test_style_text_is_read_in_one_pass():
+    """A megabyte of style text without braces, thousands of equal rules and thousands of elements take seconds at most, not hours."""
+    begin = time.perf_counter()
+    assert html_to_text("<p>a</p><style>" + "x y; " * 200_000).strip() == "a"
+    rules = "".join(f"div{{color:red;display:{'none' if k % 2 else 'block'}}}" for k in range(4000))
+    page = f"<style>{rules}.b{{display:none}}</style>" + "<div class='a'>x</div>" * 4000 + "<p class='b'>y</p><p>z</p>"
+    assert html_to_text(page).split() == ["z"]
+    assert time.perf_counter() - begin < 20
+
+
+def test_the_prefilter_lets_every_candidate_through():
+    rng = random.Random(12)
+    parts = ["john.smith", "at", "(at)", "[at]", "\t", "\n", " ", "\xa0", "example", "dot", ".", "com", "abcd:", "ef:", "ab", "::", ":", "-", "Token_secretvalue", "x" * 80, "DE", "fe"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        found = pii.candidates(text)
+        assert pii.ANY.search(text) or not found, text
+    assert pii.ANY.search("john.smith\tat\texample dot com") and pii.candidates("john.smith\tat\texample dot com")
+    assert [c[0] for c in pii.candidates("abcd:" * 7 + "abcd")] == ["ip"]
+
+
+def test_spelled_addresses_are_taken_whole():
+    local, host = "a" * 80, "b" * 90
+    text = f"write to {local} (at) {host} dot example dot information now"
+    (kind, b, e), *_ = pii.candidates(text)
+    assert kind == "email" and text[b:e] == f"{local} (at) {host} dot example dot information"
+    begin = time.perf_counter()
+    pii.candidates("a" * 500_000 + " at " + "b" * 500_000 + " (at) " * 50_000)
+    assert time.perf_counter() - begin < 10
