@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import genotypes, joins, skew
+from tessella.operators import genotypes, gradients, joins, skew
 from tessella.plans.registry import query, table
 
 DOSAGES = "SELECT l_partkey AS v, l_suppkey AS s, max(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 0 END) AS g FROM lineitem GROUP BY ALL"
@@ -41,3 +41,15 @@ def split_group_means(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
     out = skew.with_group_means(line, "l_returnflag", ["l_quantity"], measure=True)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_quantity_mean", 6).alias("l_quantity_mean"))
+
+
+@query("""WITH t AS (SELECT l_discount * 10 AS x, l_tax * 10 AS z, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
+    s AS (SELECT count(*) AS n, sum(x * x) AS a, sum(x * z) AS b, sum(z * z) AS d, avg(x * (0.5 - y)) AS gx, avg(z * (0.5 - y)) AS gz, avg(0.5 - y) AS g FROM t),
+    k AS (SELECT *, 2 * n / ((a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b)) AS step FROM s),
+    w AS (SELECT *, sign(-gx) * greatest(abs(step * gx) - step * 0.01, 0) AS wx, sign(-gz) * greatest(abs(step * gz) - step * 0.01, 0) AS wz FROM k)
+    SELECT round(wx * greatest(1 - step * 0.02 / sqrt(wx * wx + wz * wz), 0), 6) AS x, round(wz * greatest(1 - step * 0.02 / sqrt(wx * wx + wz * wz), 0), 6) AS z, round(-0.5 * g, 6) AS bias FROM w""")
+def logistic_step(spark, sf_dir):
+    """The first proximal step of the reduced-rank logistic model over all lines."""
+    line = table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("x"), (F.col("l_tax") * 10).alias("z"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
+    w, b = gradients.reduced_rank_logistic_rows(line, ["x", "z"], ["y"], l1=0.01, nuclear=0.02, rounds=1)
+    return spark.createDataFrame([(round(float(w[0, 0]), 6), round(float(w[1, 0]), 6), round(float(b[0]), 6))], "x double, z double, bias double")
