@@ -391,31 +391,44 @@ def _rank(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
     return (level[(hashes >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(52)) | (mix64(hashes) >> np.uint64(12))
 
 
-def salted(tokens: np.ndarray, digests: np.ndarray, sizes: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def salted(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix entries with those of hot shingles dealt over pairs of salts: an entry with salt s of k goes under the k keys
     of (shingle, s, t), t any salt, so any two entries of a shingle still meet under one key, and a key has two in k of them."""
     hot = np.flatnonzero(salts > 1)
     if not len(hot):
-        return tokens, digests, sizes
+        return tokens, ids, sizes
     k = salts[hot]
-    own = np.repeat((digests[hot, 1] % k.astype(np.uint64)).astype(np.int64), k)
+    own = np.repeat((mix64(ids[hot] + np.uint64(0x5A17)) % k.astype(np.uint64)).astype(np.int64), k)
     other = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
     row = np.repeat(hot, k)
     key = mix64(tokens[row] + mix64((np.minimum(own, other) * 65_536 + np.maximum(own, other) + 1).astype(np.uint64)))
     cold = salts <= 1
-    return np.concatenate([tokens[cold], key]), np.concatenate([digests[cold], digests[row]]), np.concatenate([sizes[cold], sizes[row]])
+    return np.concatenate([tokens[cold], key]), np.concatenate([ids[cold], ids[row]]), np.concatenate([sizes[cold], sizes[row]])
+
+
+#: Steps of size_class() to a factor of 4 : 3.
+STEPS = 3
+
+
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    """Sizes on a logarithmic scale in one byte; sizes within 4 : 3 are at most STEPS apart, and one more for rounding."""
+    return np.minimum(np.log(np.maximum(sizes, 1)) * (STEPS / math.log(DENOMINATOR / NUMERATOR)), 255).astype(np.uint8)
 
 
 def _blocks(sets: DataFrame, level: np.ndarray, salts: np.ndarray, n_slots: int) -> DataFrame:
-    """Distinct groups of representatives that share a prefix shingle (k0, k1: their digest; lead: the smallest member), as packed digests and sizes."""
+    """Distinct groups of representatives that share a prefix shingle (k0, k1: their digest; lead: the smallest member), as packed ids.
+
+    An id is the first half of a digest. Two sets with one id are taken for one here and told apart again in _links(), where both get the
+    groups of either; so only a link between two such sets can be lost, as by a collision of shingle hashes.
+    """
     shared = sets.sparkSession.sparkContext.broadcast((level, salts))
 
     def emit(batches):
-        names, kinds = ["slot", "tokens", "digests", "sizes"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        names, kinds = ["slot", "tokens", "ids", "sizes"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for batch in (part for batch in batches for part in _slices(batch, batch.column(1).to_numpy())):
             level, salts = shared.value
             size = batch.column(1).to_numpy()
-            digest = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64).reshape(-1, 2)
+            own = np.ascontiguousarray(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64).reshape(-1, 2)[:, 0])
             tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64)
             doc = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((_rank(tokens, level), doc))
@@ -423,42 +436,41 @@ def _blocks(sets: DataFrame, level: np.ndarray, salts: np.ndarray, n_slots: int)
             place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
             inside = place < (size - -(-NUMERATOR * size // DENOMINATOR) + 1)[doc]
             doc, tokens = doc[inside], tokens[inside]
-            tokens, digests, sizes = salted(tokens, digest[doc], size[doc].astype(np.uint32), salts[(tokens >> np.uint64(45)).astype(np.int64)])
+            tokens, ids, sizes = salted(tokens, own[doc], size_class(size)[doc], salts[(tokens >> np.uint64(45)).astype(np.int64)])
             slot = (mix64(tokens + np.uint64(77)) % np.uint64(n_slots)).astype(np.int64)
             order = np.argsort(slot, kind="stable")
             cuts = np.searchsorted(slot[order], np.arange(n_slots + 1))
             full = np.flatnonzero(np.diff(cuts))
             pack = lambda x: [x[order[cuts[k] : cuts[k + 1]]].tobytes() for k in full]  # noqa: E731, B023
-            yield _batch([full.astype(np.int32), pack(tokens), pack(digests), pack(sizes)], kinds, names)
+            yield _batch([full.astype(np.int32), pack(tokens), pack(ids), pack(sizes)], kinds, names)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for batch in batches for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
         tokens = np.frombuffer(b"".join(x[0] for x in got), dtype=np.uint64)
-        digests = np.frombuffer(b"".join(x[1] for x in got), dtype=np.uint64).reshape(-1, 2)
-        sizes = np.frombuffer(b"".join(x[2] for x in got), dtype=np.uint32)
+        ids = np.frombuffer(b"".join(x[1] for x in got), dtype=np.uint64)
+        sizes = np.frombuffer(b"".join(x[2] for x in got), dtype=np.uint8)
         del got
-        order = np.lexsort((digests[:, 1], digests[:, 0], sizes, tokens))
-        tokens, digests, sizes = tokens[order], digests[order], sizes[order].astype(np.int64)
+        order = np.lexsort((ids, sizes, tokens))
+        tokens, ids, sizes = tokens[order], ids[order], sizes[order].astype(np.int64)
         new = np.ones(len(tokens), dtype=bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (digests[1:] != digests[:-1]).any(axis=1)
-        tokens, digests, sizes = tokens[new], digests[new], sizes[new]
+        new[1:] = (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])
+        tokens, ids, sizes = tokens[new], ids[new], sizes[new]
         cut = np.ones(len(tokens), dtype=bool)  # a gap of sizes over 4 : 3 parts a group
-        cut[1:] = (tokens[1:] != tokens[:-1]) | (NUMERATOR * sizes[1:] > DENOMINATOR * sizes[:-1])
+        cut[1:] = (tokens[1:] != tokens[:-1]) | (np.diff(sizes) > STEPS + 1)
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(tokens))
         keys = []
         for salt in (0, 0xB10C):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(digests[:, 0] + mix64(digests[:, 1] + np.uint64(salt))), dtype=np.uint64)])
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(ids + mix64(ids + np.uint64(salt))), dtype=np.uint64)])
             keys.append((sums[ends] - sums[starts]).view(np.int64) if len(starts) else np.zeros(0, dtype=np.int64))
         many = np.flatnonzero(ends - starts > 1)
         many = many[np.unique(np.stack([keys[0][many], keys[1][many]]), axis=1, return_index=True)[1]] if len(many) else many
-        rows = [slice(starts[b], ends[b]) for b in many]
-        lead = np.minimum.reduceat(digests[:, 0], starts).view(np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
-        columns = [keys[0][many], keys[1][many], lead[many], ends[many] - starts[many], [digests[r].tobytes() for r in rows], [sizes[r].astype(np.uint32).tobytes() for r in rows]]
-        yield _batch(columns, [pa.int64()] * 4 + [pa.binary()] * 2, ["k0", "k1", "lead", "members", "digests", "sizes"])
+        lead = np.minimum.reduceat(ids, starts).view(np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
+        columns = [keys[0][many], keys[1][many], lead[many], ends[many] - starts[many], [ids[starts[b] : ends[b]].tobytes() for b in many]]
+        yield _batch(columns, [pa.int64()] * 4 + [pa.binary()], ["k0", "k1", "lead", "members", "ids"])
 
-    packed = sets.select("digest", "n", "data").mapInArrow(emit, "slot int, tokens binary, digests binary, sizes binary")
-    found = packed.groupBy("slot").applyInArrow(group, "k0 long, k1 long, lead long, members long, digests binary, sizes binary")
+    packed = sets.select("digest", "n", "data").mapInArrow(emit, "slot int, tokens binary, ids binary, sizes binary")
+    found = packed.groupBy("slot").applyInArrow(group, "k0 long, k1 long, lead long, members long, ids binary")
     return found.dropDuplicates(["k0", "k1"])
 
 
@@ -480,11 +492,10 @@ def _links(blocks: DataFrame, maps: DataFrame) -> DataFrame:
 
     def members(batches):
         for batch in batches:
-            size = [np.frombuffer(s, dtype=np.uint32).astype(np.int64) for s in batch.column(3).to_pylist()]
-            digest = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, 2)
-            many = [len(s) for s in size]
-            part, key = (np.repeat(batch.column(k).to_numpy(), many) for k in (0, 1))
-            yield _batch([part, key, as_binary(digest), np.concatenate([np.zeros(0, dtype=np.int64), *size])], [pa.int64(), pa.int64(), pa.binary(), pa.int64()], ["part", "block", "digest", "n"])
+            ids = batch.column(2).to_pylist()
+            part, key = (np.repeat(batch.column(k).to_numpy(), [len(x) // 8 for x in ids]) for k in (0, 1))
+            own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(part), [None, pa.py_buffer(b"".join(ids))]).cast(pa.binary())
+            yield _batch([part, key, own], [pa.int64(), pa.int64(), pa.binary()], ["part", "block", "id"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -495,10 +506,11 @@ def _links(blocks: DataFrame, maps: DataFrame) -> DataFrame:
         a, b = [names[x] for x, _ in found.links], [names[y] for _, y in found.links]
         yield _batch([[*a, None], [*b, None], [*[None] * len(a), found.seen], [*[None] * len(a), found.pruned]], [pa.binary(), pa.binary(), pa.int64(), pa.int64()], ["a", "b", "seen", "pruned"])
 
-    listed = blocks.join(large, "lead", "left").select(place.alias("part"), "k0", "digests", "sizes").mapInArrow(members, "part long, block long, digest binary, n long")
-    # dealt by digest once, for the grouping and for the join
-    own = listed.repartition("digest").groupBy("digest", "part").agg(F.collect_list("block").alias("blocks"), F.max("n").alias("n"))
-    return own.join(maps, "digest").select("part", "digest", "n", "blocks", "bits").groupBy("part").applyInArrow(trees, LINKS)
+    listed = blocks.join(large, "lead", "left").select(place.alias("part"), "k0", "ids").mapInArrow(members, "part long, block long, id binary")
+    # dealt by id once, for the grouping and for the join
+    own = listed.repartition("id").groupBy("id", "part").agg(F.collect_list("block").alias("blocks"))
+    maps = maps.withColumn("id", F.substring("digest", 1, 8)).repartition("id").dropDuplicates(["id", "digest"])
+    return own.join(maps, "id").select("part", "digest", "n", "blocks", "bits").groupBy("part").applyInArrow(trees, LINKS)
 
 
 def _connected(links: DataFrame) -> DataFrame:
@@ -539,7 +551,7 @@ def signature_links(sets: DataFrame, counts: np.ndarray) -> DataFrame:
     salts = np.maximum(1, np.ceil((counts - counts.mean()) / HOT_ENTRIES)).astype(np.int64)
     n_slots = max(8, math.ceil(counts.sum() / (4 * SLOT_ENTRIES)))
     blocks = materialise(_blocks(sets.where("data is not null"), level, salts, n_slots), "blocks")
-    maps = sets.where("data is not null").select("digest", "bits").dropDuplicates(["digest"])
+    maps = sets.where("data is not null").select("digest", "n", "bits")
     links = materialise(_links(blocks, maps), "links")
     drop_table(blocks)
     return links

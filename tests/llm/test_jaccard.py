@@ -86,15 +86,15 @@ def test_worlds_shingles_and_partitions_of_any_size(spark, monkeypatch, share, h
 
 def test_salted_entries_still_meet():
     rng = np.random.default_rng(0)
-    tokens, digests = rng.integers(1, 9, 4000).astype(np.uint64), rng.integers(1, 2**62, (4000, 2)).astype(np.uint64)
+    tokens, ids = rng.integers(1, 9, 4000).astype(np.uint64), rng.integers(1, 2**62, 4000).astype(np.uint64)
     salts = np.where(tokens < 4, 5, 1)
-    t, d, s = jj.salted(tokens, digests, np.full(4000, 7, dtype=np.uint32), salts)
+    t, d, s = jj.salted(tokens, ids, np.full(4000, 7, dtype=np.uint8), salts)
     assert len(t) == len(d) == len(s) == (salts**2 * (salts > 1) // 5 + (salts == 1)).sum()
     keys = {}
-    for key, own in zip(t.tolist(), map(bytes, d), strict=True):
+    for key, own in zip(t.tolist(), d.tolist(), strict=True):
         keys.setdefault(own, set()).add(key)
     for token in (2, 7):
-        same = [keys[bytes(x)] for x in d[np.isin(d[:, 0], digests[tokens == token, 0])][:60]]
+        same = [keys[x] for x in d[np.isin(d, ids[tokens == token])][:60].tolist()]
         assert all(a & b for a in same for b in same)
     hot = [key for key, n in zip(*np.unique(t, return_counts=True), strict=True) if n > 300]
     assert all(k in (4, 5, 6, 7, 8) for k in hot)  # no key of a salted shingle has more than two fifths of its entries
@@ -154,3 +154,32 @@ def test_tree_join_loses_no_linking_pair(data):
     joined.add(np.array([a for a, _ in found.links], dtype=int), np.array([b for _, b in found.links], dtype=int))
     for a in range(len(sets)):
         assert joined.find(a) == joined.find(int(label[a])) == found.find(a)
+
+
+def test_sizes_that_may_link_are_never_parted():
+    sizes = np.unique(np.concatenate([np.arange(1, 5000), 2 ** np.arange(1, 31), 3 * 2 ** np.arange(1, 29)]))
+    classes = jj.size_class(sizes).astype(int)
+    assert (np.diff(classes) >= 0).all()
+    for n, c in zip(sizes.tolist(), classes.tolist(), strict=True):
+        near = classes[(sizes >= n) & (3 * sizes <= 4 * n)]
+        assert near.max() - c <= jj.STEPS + 1
+
+
+def test_sets_with_one_short_id_are_told_apart(spark, monkeypatch):
+    """With ids of few bits, unrelated sets share them; every link is still found, since each set of an id gets the groups of all of them."""
+    plain = jj.set_digests
+
+    def short(offsets, hashes):
+        out = plain(offsets, hashes)
+        out[:, 0] &= np.uint64(1023)
+        return out
+
+    monkeypatch.setattr(jj, "set_digests", short)
+    rng = random.Random(9)
+    rows = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(40)]
+        rows += [" ".join(words), " ".join([*words[:-1], "other"])]
+    rows = list(enumerate(rows))
+    got = jj.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == classes(rows)
