@@ -26,16 +26,17 @@ Sums = Callable[[np.ndarray, list[np.ndarray], int, int], list[np.ndarray]]
 
 
 class Blocks:
-    """Numeric columns of df in blocks of rows; rows with a missing value in any column are left out. Use as a context: blocks are released at its end."""
+    """Numeric columns of df in blocks of rows; rows with a missing value in any column are left out, or with missing they stay, NaN where they miss
+    one. Use as a context: blocks are released at its end."""
 
-    def __init__(self, df: DataFrame, columns: list[str]):
+    def __init__(self, df: DataFrame, columns: list[str], missing: bool = False):
         p = self.p = len(columns)
         rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(columns)])
 
         def pack(batches):
             for batch in batches:
                 x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) if batch.num_rows else np.zeros((0, p))
-                x = x[~np.isnan(x).any(axis=1)]
+                x = x if missing else x[~np.isnan(x).any(axis=1)]
                 parts = [np.ascontiguousarray(x[at : at + BLOCK_ROWS]).tobytes() for at in range(0, len(x), BLOCK_ROWS)]
                 yield pa.RecordBatch.from_arrays([pa.array([len(b) // (8 * p) for b in parts], pa.int64()), pa.array(parts, pa.binary())], names=["n", "rows"])
 
