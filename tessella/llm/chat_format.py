@@ -18,7 +18,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 class Layout:
     """Where a record keeps its turns.
 
-    needs: field paths that a record must have, [] marking the items of a list. turns: path of the list of
+    needs: field paths at which a record must hold a value of any shape, [] marking the items of a list. turns: path of the list of
     turns, with the names of its role and text fields; or fixed: (role, paths) pairs, of which the texts are
     joined by a line break and empty ones left out; or a row that is itself one turn, when both are empty.
     """
@@ -59,6 +59,11 @@ def field_paths(value) -> set[str]:
     return out
 
 
+def holds(paths: set[str], need: str) -> bool:
+    """Whether a record with these leaves holds a value of any shape at the path."""
+    return any(p == need or p.startswith((f"{need}.", f"{need}[]")) for p in paths)
+
+
 def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode(errors="surrogatepass")).hexdigest()[:16]
 
@@ -68,6 +73,14 @@ def whole_characters(text: str) -> str:
     return text if text.isascii() else re.sub("[\ud800-\udfff]", "\ufffd", text)
 
 
+def content_text(value) -> str:
+    """The text of a message's content: a string itself, null the empty text, a list the texts of its parts in order, joined by line breaks. A part is a string
+    or an object with a string "text"; any other value stays as its JSON text, so nothing that a record says is lost."""
+    if isinstance(value, list):
+        return "\n".join(content_text(v["text"] if isinstance(v, dict) and isinstance(v.get("text"), str) else v) for v in value)
+    return whole_characters(value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False))
+
+
 class Canonicaliser:
     """Turns of records of any known layout; the choice of layout is made once for each fingerprint."""
 
@@ -78,14 +91,14 @@ class Canonicaliser:
         paths = field_paths(record)
         key = fingerprint(paths)
         if key not in self.chosen:
-            fit = [x for x in self.layouts if x.needs <= paths]
+            fit = [x for x in self.layouts if all(holds(paths, need) for need in x.needs)]
             self.chosen[key] = max(fit, key=lambda x: len(x.needs), default=None)
         return key, self.chosen[key]
 
     def turns(self, record: dict) -> tuple[str, str, list[tuple[str, str]]]:
         """(fingerprint, layout name, [(role, text)]); an unknown layout is named 'unknown' and has no turns."""
         key, layout = self.layout(record)
-        text = lambda v: whole_characters(v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False))
+        text = content_text
         if layout is None:
             return key, "unknown", []
         if layout.turns:
@@ -137,14 +150,14 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-PIECE = "conv_id string, turn long, part int, fingerprint string, layout string, piece string, loss_start int, loss_end int"
+PIECE = "conv_id string, turn long, part int, fingerprint string, layout string, piece string, loss_start int, loss_end int, unformatted string"
 
 
 def format_records(records: DataFrame, id_col: str, record_col: str, turn_col: str | None = None) -> DataFrame:
     """One formatted piece per turn of JSON records of mixed layouts.
 
-    Returns conv_id, turn (turn_col, or 0), part (place of the turn in its record), fingerprint, layout, piece
-    and the span of the piece under the loss mask. Pieces of a conversation in the order of (turn, part, piece)
+    Returns conv_id, turn (turn_col, or 0), part (place of the turn in its record), fingerprint, layout, piece, the span of the piece under the loss mask, and
+    unformatted: the whole record where it gives no piece. The content of a message may be a list of parts, each message's in its own way. Pieces of a conversation in the order of (turn, part, piece)
     make up its formatted text. Null or unparsable records, those nested deeper than the parser goes (some thousand levels), and unknown
     layouts give one row with a null piece; null texts are empty; null roles are the empty role; escapes of lone
     surrogates become U+FFFD. Texts of any length are formatted whole; repeated rows give repeated pieces; ids are returned as text, null ids too;
@@ -164,12 +177,12 @@ def format_records(records: DataFrame, id_col: str, record_col: str, turn_col: s
                 except (ValueError, RecursionError):
                     key, name, turns = None, "unknown", []
                 for part, (role, text) in enumerate(turns):
-                    for k, v in zip(out, (conv, turn, part, key, name, *render(role, text)), strict=True):
+                    for k, v in zip(out, (conv, turn, part, key, name, *render(role, text), None), strict=True):
                         out[k].append(v)
                 if not turns:
-                    for k, v in zip(out, (conv, turn, 0, key, name, None, None, None), strict=True):
+                    for k, v in zip(out, (conv, turn, 0, key, name, None, None, None, raw), strict=True):
                         out[k].append(v)
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return rows.mapInArrow(run, PIECE)

@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -49,6 +50,30 @@ def test_layouts(record, layout, turns):
     assert key == cf.fingerprint(cf.field_paths(json.loads(json.dumps(record))))
 
 
+PART = {"type": "text", "text": "p"}
+
+
+@pytest.mark.parametrize(
+    ("content", "text"),
+    [([PART, "q"], "p\nq"), ([PART, {"type": "image", "url": "u"}], 'p\n{"type": "image", "url": "u"}'), ([], ""), ([None, 3], "\n3"), ({"text": "x"}, '{"text": "x"}'), ([["a"], PART], "a\np")],
+)
+def test_content_parts_are_read_message_by_message(content, text):
+    plain = {"role": "user", "content": "plain"}
+    for messages in ([{"role": "user", "content": content}], [{"role": "user", "content": content}, plain]):
+        assert cf.Canonicaliser().turns({"messages": messages})[1:] == ("messages", [("user", text), *[("user", "plain")] * (len(messages) - 1)])
+
+
+def test_unknown_records_stay_whole_beside_the_pieces(spark):
+    """Extra columns, even with the names of the result, are not read."""
+    rows = [("a", '{"other": "kept"}', 5, "x"), ("b", "{broken", 6, None), ("c", '{"messages": [{"role": "user", "content": "t"}]}', None, "y"), ("d", None, 7, "z")]
+    df = spark.createDataFrame(rows, "conv_id string, record string, turn int, piece string")
+    got = {r.conv_id: r for r in cf.format_records(df, "conv_id", "record").collect()}
+    assert {k: r.unformatted for k, r in got.items()} == {"a": '{"other": "kept"}', "b": "{broken", "c": None, "d": None}
+    assert got["c"].piece == "<|im_start|>user\nt<|im_end|>\n" and got["c"].turn == 0 and got["a"].piece is None
+    clash = cf.format_records(df, "conv_id", "record").withColumn("n_turns", F.lit("clash"))
+    assert {r.conv_id: r.n_turns for r in cf.read_back(clash).collect()} == {"a": 0, "b": 0, "c": 1, "d": 0}
+
+
 def test_records_null_broken_and_empty(spark):
     rows = [("a", json.dumps(r)) for r, *_ in RECORDS[:2]] + [("b", None), ("c", "{broken"), ("d", "[1]"), ("e", json.dumps({"x": 1}))]
     df = spark.createDataFrame(rows, "conv string, rec string")
