@@ -89,8 +89,12 @@ def one_value_per_batch(values: DataFrame, resamples: int, seed: int = 0) -> Dat
     counts = numbered.groupBy("batch", "__cell").agg(F.count("*").alias("__n")).select("batch", "__cell", "__n", (upto - F.col("__n")).alias("__first"), F.sum("__n").over(w).alias("__all"))
     draws = counts.select("batch", "__all").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     draws = draws.withColumn("__place", F.pmod(F.xxhash64(F.lit(seed), "batch", "replicate"), F.col("__all")))
-    found = draws.join(counts.drop("__all"), (draws["batch"] == counts["batch"]) & F.col("__place").between(F.col("__first"), F.col("__first") + F.col("__n") - 1))
-    found = found.select("replicate", draws["batch"], "__cell", (F.col("__place") - F.col("__first")).alias("__at"))
+    # The cell of a draw is the last one that begins at or before its place: draws and cells of a batch in one order, no pairs of them.
+    both = draws.select("batch", "replicate", "__place", F.lit(None).cast("int").alias("__c"), F.lit(None).cast("long").alias("__f"))
+    both = both.unionByName(counts.select("batch", F.lit(-1).alias("replicate"), F.col("__first").alias("__place"), F.col("__cell").alias("__c"), F.col("__first").alias("__f")))
+    upto = w.orderBy("__place", "replicate").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.select("batch", "replicate", "__place", F.last("__c", ignorenulls=True).over(upto).alias("__cell"), F.last("__f", ignorenulls=True).over(upto).alias("__begin"))
+    found = placed.where("replicate >= 0").select("replicate", "batch", "__cell", (F.col("__place") - F.col("__begin")).alias("__at"))
     return found.join(numbered, ["batch", "__cell", "__at"]).select("replicate", "batch", "x")
 
 

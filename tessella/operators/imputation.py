@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,9 @@ def observed(c: str) -> Column:
 #: Bins of one pass over a column in search of a quantile, and values that one task may sort at the end.
 BINS, SORTED = 4096, 100_000
 
+#: Pairs of samples that a task compares at a time.
+PAIRS = 1 << 22
+
 
 def kth_smallest(values: DataFrame, c: str, k: int, low: float, high: float) -> float:
     """The k-th smallest (from 0) of a column without missing values, between its bounds: each pass counts equal bins of the range and goes
@@ -79,6 +83,28 @@ def fully_missing(long: DataFrame, by: str, value: str = "dosage") -> DataFrame:
     return long.groupBy(by).agg(F.count(F.when(~F.isnan(F.col(value).cast("double")), F.col(value))).alias("n")).where("n = 0").select(by)
 
 
+def _votes(x: np.ndarray, rows: np.ndarray, c: int, width: int, neighbours: int) -> np.ndarray:
+    """The dosage that the nearest samples give each of the rows at position c of x (samples x positions, -1: missing), or -1 where nobody has one. Differences are
+    counted by products of indicator matrices, PAIRS of samples at a time."""
+    near = np.flatnonzero(x[:, c] >= 0)
+    out = np.full(len(rows), -1, dtype=np.int64)
+    if not len(near):
+        return out
+    window, theirs = x[:, c - width : c + width + 1], x[near, c]
+    values = np.unique(window[window >= 0])
+    known = lambda at: (window[at] >= 0).astype(np.float32)
+    marked = lambda at: np.hstack([(window[at] == v).astype(np.float32) for v in values])
+    both, equal, k = known(near).T, marked(near).T, min(neighbours, len(near))
+    step = max(1, PAIRS // len(near))
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        differing = np.rint(known(some) @ both - marked(some) @ equal).astype(np.int64)
+        best = np.argpartition(differing * len(near) + np.arange(len(near)), k - 1, axis=1)[:, :k]
+        counts = (theirs[best][:, :, None] == values).sum(axis=1)
+        out[at : at + step] = values[np.argmax(counts, axis=1)]
+    return out
+
+
 def knn_dosage(long: DataFrame, sample: str = "sample", variant: str = "variant", dosage: str = "dosage", width: int = 5, neighbours: int = 5) -> DataFrame:
     """sample, variant, dosage with missing cells (null, NaN, -1) filled by the vote of the nearest samples.
 
@@ -98,21 +124,22 @@ def knn_dosage(long: DataFrame, sample: str = "sample", variant: str = "variant"
 
     def fill_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
-        names, row = np.unique(np.array(table.column("s").to_pylist(), dtype=object), return_inverse=True)
+        coded = table.column("s").combine_chunks().dictionary_encode(null_encoding="encode")
+        n = len(coded.dictionary)
+        rank = np.empty(n, dtype=np.int64)
+        rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(n)
+        row = rank[coded.indices.to_numpy()]
         start = table.column("block")[0].as_py() * block
         column = table.column("j").to_numpy() - start + width
-        x = np.full((len(names), block + 2 * width), -1, dtype=np.int8)
+        x = np.full((n, block + 2 * width), -1, dtype=np.int8)
         x[row, column] = table.column("d").fill_null(-1).to_numpy()
         own = np.flatnonzero((column >= width) & (column < block + width))
         out = x[row[own], column[own]].astype(np.int64)
-        for k in np.flatnonzero(out < 0):
-            r, c = row[own[k]], column[own[k]]
-            near = np.flatnonzero(x[:, c] >= 0)
-            if len(near):
-                window, mine = x[near, c - width : c + width + 1], x[r, c - width : c + width + 1]
-                order = ((window != mine) & (window >= 0) & (mine >= 0)).sum(axis=1) * len(names) + near
-                best = near[np.argpartition(order, min(neighbours, len(near)) - 1)[:neighbours]]
-                out[k] = np.argmax(np.bincount(x[best, c]))
+        gaps = np.flatnonzero(out < 0)
+        gaps = gaps[np.argsort(column[own[gaps]], kind="stable")]
+        for same in np.split(gaps, np.flatnonzero(np.diff(column[own[gaps]])) + 1):
+            if len(same):
+                out[same] = _votes(x, row[own[same]], int(column[own[same[0]]]), width, neighbours)
         filled = pa.array(out, pa.int32(), mask=out < 0)
         yield pa.RecordBatch.from_arrays([table.column("s").take(pa.array(own)).combine_chunks(), table.column("j").take(pa.array(own)).combine_chunks(), filled], names=["s", "j", "d"])
 

@@ -156,11 +156,11 @@ def inverse_softplus(spark, sf_dir):
     return e.select("event_id", F.round(scalars.inverse_softplus(F.col("value") + 0.1), 6).alias("raw"))
 
 
-@query("SELECT CAST(i AS INTEGER) // 2 AS i, CAST(j AS INTEGER) // 2 AS j, v FROM (SELECT s_nationkey AS i, s_suppkey % 6 AS j, sum(s_acctbal) AS v FROM supplier WHERE s_nationkey < 6 GROUP BY 1, 2) WHERE i % 2 = 0 AND j % 2 = 0")
+@query("SELECT CAST(i AS INTEGER) // 2 AS i, CAST(j AS INTEGER) // 2 AS j, v FROM (SELECT s_nationkey AS i, s_suppkey % 25 AS j, round(sum(s_acctbal), 4) AS v FROM supplier GROUP BY 1, 2) WHERE i % 2 = 0 AND j % 2 = 0")
 def submatrix(spark, sf_dir):
     """Even rows and columns of a matrix, renumbered."""
-    s = table(spark, sf_dir, "supplier").where("s_nationkey < 6").groupBy(F.col("s_nationkey").alias("i"), (F.col("s_suppkey") % 6).cast("int").alias("j")).agg(F.sum("s_acctbal").alias("v"))
-    return reshape.submatrix(s, [1, 0, 1, 0, 1, 0])
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("i"), (F.col("s_suppkey") % 25).cast("int").alias("j")).agg(F.round(F.sum("s_acctbal"), 4).alias("v"))
+    return reshape.submatrix(s, [1 - k % 2 for k in range(25)])
 
 
 LATEST = """WITH k AS (SELECT *, CASE turn % 3 WHEN 1 THEN 'error' WHEN 2 THEN 'stopped' ELSE 'plain' END AS kind FROM conversations), u AS (SELECT conv_id, max(turn) AS u FROM conversations WHERE role = 'user' GROUP BY 1)

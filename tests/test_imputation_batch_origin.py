@@ -180,3 +180,36 @@ def test_centring_and_calls(spark):
     x = np.random.default_rng(0).normal(size=(30, 2))
     z = np.random.default_rng(1).normal(size=(30, 1))
     assert np.allclose(origin.covariate_residuals(x + 3 * z, z).T @ z, 0, atol=1e-8)
+
+
+def test_draws_of_many_cells_are_even_over_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(batch, "CELL_ROWS", 7)
+    rows = [("a", float(k)) for k in range(60)] + [("b", 100.0)] + [("c", 200.0 + k % 2) for k in range(40)]
+    got = batch.one_value_per_batch(spark.createDataFrame(rows, "batch string, x double"), 3000).toPandas()
+    assert got.groupby("batch")["replicate"].nunique().to_dict() == {"a": 3000, "b": 3000, "c": 3000} and len(got) == 9000
+    assert set(got.loc[got.batch == "b", "x"]) == {100.0}
+    seen = got.loc[got.batch == "a", "x"].value_counts()
+    assert len(seen) == 60 and seen.min() > 20 and seen.max() < 90
+    assert abs((got.loc[got.batch == "c", "x"] == 200.0).mean() - 0.5) < 0.04
+
+
+def test_votes_equal_those_of_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(imputation, "PAIRS", 11)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 3, size=(17, 40)).astype(int)
+    x[rng.random(x.shape) < 0.2] = -1
+    x[:, 9] = -1
+    names = [f"s{k}" for k in rng.permutation(17)]
+    long = spark.createDataFrame([(names[i], j, int(x[i, j])) for i in range(17) for j in range(40)], "sample string, variant int, dosage int")
+    got = {(r["sample"], r["variant"]): r["dosage"] for r in imputation.knn_dosage(long, width=3, neighbours=4).collect()}
+    order = sorted(range(17), key=lambda i: names[i])
+    for i in range(17):
+        for j in range(40):
+            want = int(x[i, j])
+            if want < 0:
+                around = range(max(0, j - 3), min(40, j + 4))
+                gap = lambda t, i=i, around=around: sum(x[i, k] >= 0 and x[t, k] >= 0 and x[i, k] != x[t, k] for k in around)
+                best = sorted((t for t in order if x[t, j] >= 0), key=gap)[:4]
+                said = [int(x[t, j]) for t in best]
+                want = min(set(said), key=lambda v: (-said.count(v), v)) if said else None
+            assert got[names[i], j] == want
