@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import covariance, matrices
+from tessella.operators.hamiltonian import batch_posterior
 from tessella.operators.moments import moments
 
 
@@ -73,6 +76,9 @@ def constrained_least_squares(a: np.ndarray, b: np.ndarray, floor: float) -> np.
 #: Rows of a batch that one task numbers.
 CELL_ROWS = 50_000
 
+#: Split R-hat above which chains count as not mixed.
+R_HAT = 1.05
+
 
 def one_value_per_batch(values: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
     """replicate, batch, x: in each replicate one uniformly drawn value of each batch.
@@ -121,13 +127,30 @@ def univariate_adaptation(values: DataFrame, controls: DataFrame, **options) ->
     return values.join(controls, "batch").withColumn("x", F.col("x") - F.lit(weight) * (F.col("control") - F.lit(centre))).drop("control")
 
 
-def bayesian_adaptation(values: DataFrame, controls: DataFrame, samples: int = 2000, burn_in: int = 500, seed: int = 0) -> DataFrame:
-    """Univariate adaptation with the weight averaged over Gibbs draws of the batch and error variances given the controls' spread.
+def bayesian_adaptation(values: DataFrame, controls: DataFrame, samples: int = 2000, burn_in: int = 500, seed: int = 0, sampler: str = "gibbs") -> DataFrame:
+    """Univariate adaptation with the weight averaged over draws of the batch and error variances given the controls' spread.
 
-    controls: batch, control, replicate (several per batch). The sampler runs on one number per batch and replicate.
+    controls: batch, control, replicate (several per batch). Both samplers run on three numbers per batch: "gibbs" on the driver, "nuts" as four chains in
+    tasks, each of samples draws, with a warning where their split R-hat is above R_HAT.
     """
+    if sampler not in ("gibbs", "nuts"):
+        raise ValueError(f"no sampler {sampler!r}")
     table = controls.groupBy("batch").agg(F.avg("control").alias("m"), F.count("*").alias("n"), F.var_pop("control").alias("v")).orderBy("batch").toPandas()
     m, n, v = (table[c].to_numpy(dtype=float) for c in "mnv")
+    weights = _gibbs_weights(m, n, v, samples, burn_in, seed) if sampler == "gibbs" else _chain_weights(values.sparkSession, m, n, v, samples, burn_in, seed)
+    spark = values.sparkSession
+    shift = spark.createDataFrame([(b, float(w * (x - m.mean()))) for b, w, x in zip(table["batch"].tolist(), weights, m, strict=True)], f"batch {dict(controls.dtypes)['batch']}, shift double")
+    return values.join(shift, "batch").withColumn("x", F.col("x") - F.col("shift")).drop("shift")
+
+
+def _chain_weights(spark: SparkSession, m: np.ndarray, n: np.ndarray, v: np.ndarray, samples: int, burn_in: int, seed: int) -> np.ndarray:
+    weights, r_hat = batch_posterior(spark, m, n, v, samples=samples, warmup=burn_in, seed=seed)
+    if r_hat.max() > R_HAT:
+        warnings.warn(f"the chains have not mixed: split R-hat {r_hat.max():.3f}", stacklevel=3)
+    return weights
+
+
+def _gibbs_weights(m: np.ndarray, n: np.ndarray, v: np.ndarray, samples: int, burn_in: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     mu, theta, error = m.mean(), max(m.var(), 1e-6), max(v.mean(), 1e-6)
     weights = np.zeros(len(m))
@@ -139,6 +162,4 @@ def bayesian_adaptation(values: DataFrame, controls: DataFrame, samples: int = 2
         error = 1 / rng.gamma(1 + n.sum() / 2, 1 / (1e-3 + np.sum(n * v + n * (m - b) ** 2) / 2))
         if k >= burn_in:
             weights += theta / (theta + error / n) / samples
-    spark = values.sparkSession
-    shift = spark.createDataFrame([(b, float(w * (x - m.mean()))) for b, w, x in zip(table["batch"].tolist(), weights, m, strict=True)], f"batch {dict(controls.dtypes)['batch']}, shift double")
-    return values.join(shift, "batch").withColumn("x", F.col("x") - F.col("shift")).drop("shift")
+    return weights
