@@ -105,12 +105,13 @@ def normalise(docs: DataFrame, primary_keys: dict[str, str] | None = None) -> Da
         values = F.flatten(broadcast_or_index(_ref("", field), at))
         plain.append((F.get(values, F.lit(0)).cast("long" if field in LONGS else "string") if field in IDENTITY else values).alias(field))
     for track in (t for t in found if t):
-        structs.append(records({f: broadcast_or_index(_ref(track, f), at) for f in found[track]}, keys.get(track)).alias(track))
+        # named apart from the document's columns: a track's alias would hide its sub-tracks from the expressions after it
+        structs.append(records({f: broadcast_or_index(_ref(track, f), at) for f in found[track]}, keys.get(track)).alias(f"__{track}"))
     flat = rows.select(*plain, *structs)
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     columns = [F.col(f"`{f}`") for f in found.get("", [])]
     for track in (t for t in found if t):
-        columns += [field_lists(F.col(f"`{track}`"), f).alias(f"{track}.{f}") for f in found[track]]
+        columns += [field_lists(F.col(f"`__{track}`"), f).alias(f"{track}.{f}") for f in found[track]]
     return flat.select(*columns, F.concat_ws(":", *(part(c) for c in ("chrom", "pos", "inputRef", "alt"))).alias("locus"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import randommatrix, scalars
 from tessella.operators import batch, covariance, hypothesis, imputation, joins, matrices, moments, nested, origin, querystring, reshape
-from tessella.plans import completion, genetics, records, searching, statistics  # noqa: F401  their queries are registered when they are imported
+from tessella.plans import completion, documents, formats, genetics, records, searching, statistics  # noqa: F401  their queries are registered when they are imported
 from tessella.plans.registry import ORACLES, QUERIES, query, table
 from tessella.sources import proteomics, tables
 from tessella.streaming import events as ev

@@ -217,3 +217,29 @@ def resampled_values(spark, sf_dir):
     draws = batch.one_value_per_batch(v, 200)
     known = draws.join(v.distinct(), ["batch", "x"], "left_semi").groupBy("batch").agg(F.count("*").cast("int").alias("draws"))
     return v.groupBy("batch").agg(F.count("*").alias("n")).join(known, "batch").withColumn("from_the_batch", F.col("draws") == 200).select("batch", "n", "draws", "from_the_batch")
+
+
+MINOR = {"i00": "s11 * s22 - s12 * s12", "i01": "s02 * s12 - s01 * s22", "i02": "s01 * s12 - s02 * s11", "i11": "s00 * s22 - s02 * s02", "i12": "s01 * s02 - s00 * s12", "i22": "s00 * s11 - s01 * s01"}
+UPPER_ROWS = "unnest([0,0,0,1,1,2]) AS i, unnest([0,1,2,1,2,2]) AS j"
+
+
+@query(f"""WITH s AS (SELECT {_entries("sum({x} * {y}) / count(*)")} FROM ({ROWS})), p AS (SELECT {", ".join(f"({m}) / {DET} AS {k}" for k, m in MINOR.items())} FROM s)
+    SELECT {UPPER_ROWS}, round(unnest([{", ".join(MINOR)}]), 6) AS v FROM p""")
+def empirical_precision(spark, sf_dir):
+    inv = covariance.empirical_precision(moments.moments(scaled(spark, sf_dir), NAMES)[None])
+    return rows(spark, [(i, j, inv[i, j]) for i in range(3) for j in range(i, 3)], "i int, j int, v double")
+
+
+#: Noise of each column by its mean square, and one factor of the columns' means.
+FACTOR_SQL = f"""m AS (SELECT {", ".join(f"avg({c}) AS w{k}, avg({c} * {c}) AS d{k}" for k, c in enumerate(NAMES))} FROM ({ROWS})),
+    s AS (SELECT {", ".join(f"w{i} * w{j}{f' + d{i}' if i == j else ''} AS s{i}{j}" for i in range(3) for j in range(i, 3))} FROM m)"""
+
+
+@query(f"""WITH {FACTOR_SQL}, p AS (SELECT ln({DET}) AS logdet, {", ".join(f"({m}) / {DET} AS {k}" for k, m in MINOR.items())} FROM s)
+    SELECT {UPPER_ROWS}, round(unnest([{", ".join(MINOR)}]), 6) AS v, round(logdet, 6) AS logdet FROM p""")
+def factor_inverse(spark, sf_dir):
+    """Inverse and log determinant of a factor and noise through the small system, against cofactors of the whole matrix."""
+    m = moments.moments(scaled(spark, sf_dir), NAMES)[None]
+    w, noise = np.asarray(m.mean).reshape(1, -1), np.diag(covariance.empirical(m)).copy()
+    inv, logdet = covariance.woodbury_inverse(w, noise), covariance.woodbury_logdet(w, noise)
+    return rows(spark, [(i, j, inv[i, j], logdet) for i in range(3) for j in range(i, 3)], "i int, j int, v double, logdet double")

@@ -42,3 +42,38 @@ def test_files_without_samples(spark, tmp_path):
         adat.read_head(str(tmp_path / "broken.adat"))
     with pytest.raises(ValueError, match="compressed"):
         adat.read_head("x.adat.gz")
+
+
+def test_folder_of_files_written_and_read_back(spark, tmp_path):
+    samples = spark.createDataFrame([(k, f"PL{k % 3}", None if k == 4 else f"S\t{k}") for k in range(40)], "row_id long, PlateId string, SampleId string").repartition(5)
+    analytes = spark.createDataFrame([(7, "T7", "P7"), (3, "T3", None)], "column_id int, Target string, UniProt string")
+    rfu = [(k, c, k + c / 2) for k in range(0, 40, 2) for c in (3, 7)] + [(1, 3, None), (5, 7, 9.5), (5, 7, 1.5), (99, 3, 1.0), (2, 8, 1.0), (3, None, 1.0)]
+    data = proteomics.SomascanDataset(samples, analytes, spark.createDataFrame(rfu, "row_id long, column_id int, RFU double"))
+    folder = str(tmp_path / "study")
+    adat.write_adat(data, folder)
+    assert len(adat.list_files(folder)) >= 1
+    for split in (50, 1 << 20):
+        got = adat.read_adat_ranges(spark, folder, split)
+        assert got.samples.select("row_id").distinct().count() == 40
+        rows = {(r.SampleId, r.PlateId, r.Target): r.RFU for r in got.melt().collect()}
+        want = {("" if k == 4 else f"S {k}", f"PL{k % 3}", f"T{c}"): (k + c / 2 if k % 2 == 0 else 9.5 if (k, c) == (5, 7) else None) for k in range(40) for c in (3, 7)}
+        assert rows == want
+    assert {r.UniProt for r in got.analytes.collect()} == {"", "P7"}
+
+
+def test_folder_with_another_head_is_refused(spark, tmp_path):
+    (tmp_path / "a.adat").write_text(HEAD + "p\ts\t\t1\t2\n")
+    (tmp_path / "b.adat").write_text(HEAD.replace("T2", "T9") + "p\ts\t\t1\t2\n")
+    (tmp_path / "_SUCCESS").write_text("")
+    with pytest.raises(Exception, match="other sample fields"):
+        adat.read_adat_ranges(spark, str(tmp_path)).melt().count()
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no files"):
+        adat.read_adat_ranges(spark, str(tmp_path / "none"))
+
+
+def test_empty_dataset_is_written(spark, tmp_path):
+    data = proteomics.SomascanDataset(spark.createDataFrame([], "row_id long, SampleId string"), spark.createDataFrame([(0, "T")], "column_id int, Target string"), spark.createDataFrame([], "row_id long, column_id int, RFU double"))
+    adat.write_adat(data, str(tmp_path / "e"))
+    got = adat.read_adat_ranges(spark, str(tmp_path / "e"))
+    assert got.samples.count() == 0 and got.analytes.count() == 1
