@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pandas.util import hash_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,10 +79,19 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs written once with a further column of row numbers, and that column's name: rows that repeat, or share an id, can be told apart."""
+    """docs with a further column that tells rows apart, also ones that repeat or share an id, and that column's name.
+
+    Rows of a Parquet table are named by file and place in the file, which every reading finds again. Anything else is written once, with numbers.
+    """
     name = "__row"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
+    # a bare table only: above a join or an explode, one place of a file may stand for several rows
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in {c.lower() for c in docs.columns}:
+        try:
+            return docs.select("*", F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.hex("_metadata.row_index")).alias(name)), name
+        except AnalysisException:  # a format without places
+            pass
     return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 

@@ -173,3 +173,19 @@ def test_text_ids(spark):
 
 def test_pack_of_an_empty_table(empty):
     assert pack(empty).collect() == []
+
+
+def test_rows_are_told_apart_without_a_copy_of_their_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessella.llm._common import numbered
+
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "a", 5), (1, "a", 5), (None, None, 6), (2, "", 7)] * 3, "doc_id long, text string, __row int").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    rows, row = numbered(docs)
+    assert row == "__row_" and set(rows.inputFiles()) == set(docs.inputFiles())
+    first, again = ({r[row] for r in df.collect()} for df in (rows, numbered(spark.read.parquet(path))[0].repartition(2)))
+    assert len(first) == 12 and first == again
+    twice, row = numbered(docs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")))
+    assert twice.select(row).distinct().count() == 24
