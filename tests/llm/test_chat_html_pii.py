@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
@@ -327,6 +328,45 @@ def test_labels_of_corpus_candidates(spark):
     assert {r.doc_id for r in pii.find_pii(df).collect()} == {"1", "2", "3"}
 
 
+def test_every_labelled_candidate_teaches(spark):
+    """The first leaf and the first cut follow from the labels of all candidates, read one by one, and nothing depends on how rows are dealt."""
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"{'order' if k % 10 else 'ssn'} no. {number(3)}-{number(2)}-{number(4)} then" for k in range(6000)] + ["commit " + "0a" * 20] * 3000 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {r[0] for r in df.where("text is not null and pmod(xxhash64(text), 4) = 0").select("text").collect()}
+    x, y, n = [], [], []
+    for text in (t for t in texts if t and t not in held):
+        for kind, b, e in pii.candidates(text):
+            if (label := pii.weak_label(kind, text, b, e, pii.base_spans(text))) is not None:
+                x.append(pii.features(kind, text, b, e))
+                y.append(label)
+                n.append(1)
+    kinds = [kind for t in texts if t for kind, b, e in pii.candidates(t) if pii.weak_label(kind, t, b, e, pii.base_spans(t)) is not None]
+    assert kinds.count("national_id") == 6000
+    made = pii.made_up()
+    for row, label, kind, out in zip(*made, np.random.default_rng(3).random(len(made[1])) < 0.25, strict=True):
+        if not out:
+            x.append(row)
+            y.append(label)
+            n.append(1 + kinds.count(kind) // 2000 if kind in ("national_id", "secret") else 1)
+    x, y, n = np.array(x), np.array(y), np.array(n)
+    model, thresholds = pii.fit(df.repartition(7))
+    feat, cut, value = model.trees[0]
+    right = x[:, feat[0]] > cut[0]
+    for node, rows in ((0, n > 0), (1, ~right), (2, right)):
+        assert abs(value[node] - 0.3 * (n * (y - 0.5))[rows].sum() / (n[rows].sum() / 4 + 1)) < 1e-3
+    again, same = pii.fit(df.coalesce(1))
+    assert thresholds == same and model.platt == again.platt
+    assert all(np.array_equal(a, b) for t, u in zip(model.trees, again.trees, strict=True) for a, b in zip(t, u, strict=True))
+
+
+def test_cells_send_rows_the_same_way():
+    x, _, _ = pii.training_set(2000, seed=5)
+    model, _ = pii.fit()
+    assert np.array_equal(model.raw(x), model.raw(pii.from_codes(pii.to_codes(x))))
+
+
 def test_pii_rows(spark):
     rows = [(1, None), (2, ""), (3, "mail a.b@c.org or (555) 123-4567 call"), (3, "x"), (4, 'token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6" end'), (5, "1" * 200_000), (6, "plain words at home. And more")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as spans", "'y' as n_email")
