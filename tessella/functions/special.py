@@ -96,6 +96,5 @@ def bisect(f, low: float, high: float, steps: int = 200) -> float:
 
 
 def inverse_softplus(x):
-    """log(exp(x) - 1) with x clipped to [1e-15, 500]."""
-    x = np.clip(x, 1e-15, 500)
+    """log(exp(x) - 1) of any x above zero, however small or large."""
     return x + np.log(-np.expm1(-x))
