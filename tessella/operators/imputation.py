@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ BINS, SORTED = 4096, 100_000
 #: Pairs of samples that a task compares at a time.
 PAIRS = 1 << 22
 
+#: Variants of a block of neighbours' windows, and bytes of windows that a task makes at a time.
+BLOCK, WINDOW_BYTES = 1 << 16, 1 << 24
+
+#: Candidates that votes meet at first and at most at a time, and different windows of candidates that are counted (more are met each time they come).
+FIRST_MET, MET, REMEMBERED = 256, 4096, 1_000_000
+
 
 def kth_smallest(values: DataFrame, c: str, k: int, low: float, high: float) -> float:
     """The k-th smallest (from 0) of a column without missing values, between its bounds: each pass counts equal bins of the range and goes
@@ -83,28 +90,140 @@ def fully_missing(long: DataFrame, by: str, value: str = "dosage") -> DataFrame:
     return long.groupBy(by).agg(F.count(F.when(~F.isnan(F.col(value).cast("double")), F.col(value))).alias("n")).where("n = 0").select(by)
 
 
-def _votes(x: np.ndarray, rows: np.ndarray, c: int, width: int, neighbours: int) -> np.ndarray:
-    """The dosage that the nearest samples give each of the rows at position c of x (samples x positions, -1: missing), or -1 where nobody has one. Differences are
-    counted by products of indicator matrices, PAIRS of samples at a time."""
-    near = np.flatnonzero(x[:, c] >= 0)
-    out = np.full(len(rows), -1, dtype=np.int64)
-    if not len(near):
-        return out
-    window, theirs = x[:, c - width : c + width + 1], x[near, c]
-    values = np.unique(window[window >= 0])
-    known = lambda at: (window[at] >= 0).astype(np.float32)
-    marked = lambda at: np.hstack([(window[at] == v).astype(np.float32) for v in values])
-    both, equal, k = known(near).T, marked(near).T, min(neighbours, len(near))
-    step = max(1, PAIRS // len(near))
-    for at in range(0, len(rows), step):
-        some = rows[at : at + step]
-        differing = np.rint(known(some) @ both - marked(some) @ equal).astype(np.int64)
-        best = np.argpartition(differing * len(near) + np.arange(len(near)), k - 1, axis=1)[:, :k]
-        counts = (theirs[best][:, :, None] == values).sum(axis=1)
-        out[at : at + step] = values[np.argmax(counts, axis=1)]
+def _windows(s: np.ndarray, j: np.ndarray, d: np.ndarray, width: int) -> np.ndarray:
+    """Dosages of each row's sample over the variants j - width to j + width (-1: missing), of rows in order of sample and variant."""
+    out = np.full((len(j), 2 * width + 1), -1, dtype=np.int8)
+    out[:, width] = d
+    for ahead in range(1, len(j)):
+        near = np.flatnonzero((s[ahead:] == s[:-ahead]) & (j[ahead:] - j[:-ahead] <= width))
+        if not len(near):
+            break
+        near = near[j[near + ahead] > j[near]]
+        step = j[near + ahead] - j[near]
+        out[near, width + step] = d[near + ahead]
+        out[near + ahead, width - step] = d[near]
     return out
 
 
+def _first_of_each(groups: np.ndarray, k: int) -> np.ndarray:
+    """The places of the first k rows of each group, in ascending order."""
+    order = np.argsort(groups, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) != 0]) if len(order) else order
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return np.sort(order[place < k])
+
+
+def _packed(windows: np.ndarray) -> pa.Array:
+    """One binary value per row of bytes."""
+    ends = np.arange(len(windows) + 1, dtype=np.int32) * windows.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(windows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(windows))])
+
+
+def _unpacked(column: pa.Array, size: int) -> np.ndarray:
+    """Rows of size bytes from binary values of that length each."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.int8)[ends[0] : ends[-1]].reshape(len(column), size)
+
+
+def _codes(rows: np.ndarray) -> np.ndarray:
+    """A number per row of bytes, equal for equal rows, from 0 in order of their first places."""
+    return _packed(rows).dictionary_encode().indices.to_numpy()
+
+
+def _candidates(j: np.ndarray, windows: np.ndarray, width: int, neighbours: int) -> np.ndarray:
+    """Of rows in order of sample, the places of those that can be among the neighbours of any cell of their variant: after so many samples with the same window
+    or with nothing but the variant itself, those are as near to any cell and come first."""
+    bare = np.flatnonzero((windows < 0).sum(axis=1) == 2 * width)
+    ends = bare[_first_of_each(j[bare], neighbours)]
+    variants, place = np.unique(j, return_inverse=True)
+    n, last = np.bincount(place[ends], minlength=len(variants)), np.full(len(variants), len(j))
+    full = n == neighbours
+    latest = np.zeros(len(variants), dtype=np.int64)
+    np.maximum.at(latest, place[ends], ends)
+    last[full] = latest[full]
+    some = np.flatnonzero(np.arange(len(j)) <= last[place])
+    return some[_first_of_each(_codes(np.hstack([windows[some].view(np.uint8), place[some].astype(np.int64)[:, None].view(np.uint8)])), neighbours)]
+
+
+class _Votes:
+    """Votes on missing cells of one variant, by their windows, from candidates that come in order of sample: each window holds the distances and dosages of its
+    nearest so far, and is done when all of them are at distance zero. Differences are counted by products of indicator matrices, PAIRS at a time."""
+
+    def __init__(self, windows: np.ndarray, width: int, neighbours: int):
+        self.codes = _codes(windows)
+        self.windows, self.width, self.k = windows[np.unique(self.codes, return_index=True)[1]], width, neighbours
+        self.distance = np.full((len(self.windows), neighbours), np.iinfo(np.int32).max, dtype=np.int32)
+        self.dosage = np.full((len(self.windows), neighbours), -1, dtype=np.int8)
+        self.open = np.arange(len(self.windows))
+
+    def meet(self, candidates: np.ndarray) -> None:
+        values = np.unique(candidates[candidates >= 0])
+        marked = lambda x: np.hstack([(x == v).astype(np.float32) for v in values])
+        both, equal, theirs = (candidates >= 0).astype(np.float32).T, marked(candidates).T, candidates[:, self.width]
+        step = max(1, PAIRS // len(candidates))
+        for at in range(0, len(self.open), step):
+            some = self.open[at : at + step]
+            x = self.windows[some]
+            new = np.rint((x >= 0).astype(np.float32) @ both - marked(x) @ equal).astype(np.int64)
+            # earlier candidates have smaller samples: place in the row breaks ties
+            key = np.hstack([self.distance[some], new]) * (self.k + len(candidates)) + np.arange(self.k + len(candidates))
+            best = np.sort(np.argpartition(key, self.k - 1, axis=1)[:, : self.k], axis=1)
+            dosage = np.hstack([self.dosage[some], np.broadcast_to(theirs, new.shape)])
+            self.distance[some] = np.take_along_axis(key, best, axis=1) // (self.k + len(candidates))
+            self.dosage[some] = np.take_along_axis(dosage, best, axis=1)
+        self.open = self.open[self.distance[self.open].max(axis=1) > 0]
+
+    def result(self) -> np.ndarray:
+        """The most frequent dosage of each cell's nearest, the least of several; -1 without any."""
+        values = np.unique(self.dosage[self.dosage >= 0])
+        if not len(values):
+            return np.full(len(self.codes), -1)
+        n = np.stack([(self.dosage == v).sum(axis=1) for v in values], axis=1)
+        return np.where(n.max(axis=1) > 0, values[np.argmax(n, axis=1)], -1)[self.codes]
+
+
+def neighbour_windows(cells: DataFrame, width: int, neighbours: int) -> DataFrame:
+    """j, known, s, window of the cells (s, j, d) that are missing and of those observed ones that can be a neighbour: the dosages of sample s over the variants
+    from j - width to j + width, one byte each (-1: missing)."""
+    # variants near 0 are in the middle of a block
+    first, last = (F.floor((F.col("j") + BLOCK // 2 + k) / BLOCK).cast("long") for k in (-width, width))
+    dealt = cells.withColumn("block", F.explode(F.sequence(first, last))).repartition("s", "block").sortWithinPartitions(F.col("s").asc_nulls_last(), "block", "j")
+    kind, size = dict(cells.dtypes)["s"], 2 * width + 1
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh, seen = [], 0, 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                fresh += len(batch)
+                if fresh * size < WINDOW_BYTES:
+                    continue
+            elif not held:
+                return
+            table = pa.Table.from_batches(held).combine_chunks()
+            if not len(table):
+                continue
+            who = table.column("s").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            j, block = table.column("j").to_numpy(), table.column("block").to_numpy()
+            part = np.cumsum(np.r_[False, (np.diff(who) != 0) | (np.diff(block) != 0)])
+            d = table.column("d").fill_null(-1).to_numpy()
+            windows = _windows(part, j, d, width)
+            # windows of the last sample that rows to come belong to wait, with the rows they see
+            wait, keep = (len(j), len(j)) if batch is None else (int(np.argmax((part == part[-1]) & (j >= j[-1] - k * width))) for k in (1, 2))
+            own = np.arange(seen, wait)
+            own = own[(j[own] + BLOCK // 2) // BLOCK == block[own]]
+            known = own[d[own] >= 0]
+            missing = own[d[own] < 0]
+            known = known[_candidates(j[known], windows[known], width, neighbours)]
+            both = np.r_[missing, known]
+            columns = [pa.array(j[both]), pa.array(d[both] >= 0), table.column("s").take(pa.array(both)).combine_chunks(), _packed(windows[both])]
+            yield pa.RecordBatch.from_arrays(columns, names=["j", "known", "s", "window"])
+            held, fresh, seen = table.slice(keep).to_batches(), 0, wait - keep
+
+    return dealt.mapInArrow(see, f"j long, known boolean, s {kind}, window binary")
+
+
 def knn_dosage(long: DataFrame, sample: str = "sample", variant: str = "variant", dosage: str = "dosage", width: int = 5, neighbours: int = 5) -> DataFrame:
     """sample, variant, dosage with missing cells (null, NaN, -1) filled by the vote of the nearest samples.
 
@@ -112,38 +231,53 @@ def knn_dosage(long: DataFrame, sample: str = "sample", variant: str = "variant"
     dosages over the variants within width that both have; ties of distance go to the smaller sample id, ties of votes to the
     smaller dosage. variant is an integer position. Cells without any candidate stay null.
 
-    Variants are dealt in blocks with width more on either side; a task holds one byte per sample and variant of its block, and compares a
-    missing cell's window with all samples at once. So cells move at most twice, and no pairs of samples are ever rows.
+    A cell's neighbours depend on its window only: the dosages of its sample over the variants within width. Windows are read off cells in order of sample and
+    variant (of BLOCK variants at a time, with width more on either side). Missing cells, and those observed ones that can be a neighbour at all, go to their
+    variant: equal windows count once, and a window is done when its nearest are at distance zero, as none that follow come before them. A task
+    holds the missing cells of one variant, while candidates stream past in order of sample; no pairs of samples are ever rows.
     """
     v = F.col(dosage).cast("double")
-    cells = long.select(F.col(sample).alias("s"), F.col(variant).cast("long").alias("j"), F.when(F.isnan(v) | (v == -1), None).otherwise(v).cast("int").alias("d"))
-    block = max(32, 2 * width)
-    first, last = (F.floor((F.col("j") + k) / block).cast("long") for k in (-width, width))
-    dealt = cells.withColumn("block", F.explode(F.sequence(first, last)))
-    kind = dict(cells.dtypes)["s"]
-
-    def fill_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        coded = table.column("s").combine_chunks().dictionary_encode(null_encoding="encode")
-        n = len(coded.dictionary)
-        rank = np.empty(n, dtype=np.int64)
-        rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(n)
-        row = rank[coded.indices.to_numpy()]
-        start = table.column("block")[0].as_py() * block
-        column = table.column("j").to_numpy() - start + width
-        x = np.full((n, block + 2 * width), -1, dtype=np.int8)
-        x[row, column] = table.column("d").fill_null(-1).to_numpy()
-        own = np.flatnonzero((column >= width) & (column < block + width))
-        out = x[row[own], column[own]].astype(np.int64)
-        gaps = np.flatnonzero(out < 0)
-        gaps = gaps[np.argsort(column[own[gaps]], kind="stable")]
-        for same in np.split(gaps, np.flatnonzero(np.diff(column[own[gaps]])) + 1):
-            if len(same):
-                out[same] = _votes(x, row[own[same]], int(column[own[same[0]]]), width, neighbours)
-        filled = pa.array(out, pa.int32(), mask=out < 0)
-        yield pa.RecordBatch.from_arrays([table.column("s").take(pa.array(own)).combine_chunks(), table.column("j").take(pa.array(own)).combine_chunks(), filled], names=["s", "j", "d"])
-
-    out = dealt.groupBy("block").applyInArrow(fill_block, f"s {kind}, j long, d int")
+    d = F.when(~F.isnan(v), v).cast("int")
+    cells = long.select(F.col(sample).alias("s"), F.col(variant).cast("long").alias("j"), F.when(d >= 0, d).alias("d"))
+    kind, size = dict(cells.dtypes)["s"], 2 * width + 1
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        missing, votes, met, at = [], None, Counter(), FIRST_MET
+
+        def begin() -> _Votes:
+            return _Votes(_unpacked(pa.chunked_array([m.column("window") for m in missing]).combine_chunks(), size), width, neighbours)
+
+        for batch in batches:
+            known = batch.column("known").to_numpy(zero_copy_only=False)
+            n = int(len(known) - known.sum())
+            if known[:n].any() or n and votes:
+                raise RuntimeError("candidates came before missing cells")
+            if n:
+                missing.append(batch.slice(0, n))
+            if not missing or n == len(known):
+                continue
+            votes = votes or begin()
+            rest = batch.slice(n).column("window")
+            while len(rest) and len(votes.open):
+                some, rest, at = rest.slice(0, at), rest.slice(at), min(2 * at, MET)
+                texts = some.to_pylist()
+                fresh = []
+                for k, text in enumerate(texts):
+                    if met[text] < neighbours:
+                        fresh.append(k)
+                        if text in met or len(met) < REMEMBERED:
+                            met[text] += 1
+                if fresh:
+                    votes.meet(_unpacked(some, size)[fresh])
+        if missing:
+            votes = votes or begin()
+            filled = votes.result()
+            s, j = (pa.chunked_array([m.column(c) for m in missing]).combine_chunks() for c in ("s", "j"))
+            yield pa.RecordBatch.from_arrays([s, j, pa.array(filled, pa.int32(), mask=filled < 0)], names=["s", "j", "d"])
+
+    seen = neighbour_windows(cells, width, neighbours)
+    voted = seen.repartition("j").sortWithinPartitions("j", "known", F.col("s").asc_nulls_last()).groupBy("j").applyInArrow(vote, f"s {kind}, j long, d int")
+    out = cells.where("d is not null or j is null").unionByName(voted)
     return out.select(F.col("s").alias(sample), F.col("j").alias(variant), F.col("d").alias(dosage))
 
 
