@@ -11,9 +11,9 @@ DOSAGES = "SELECT l_partkey AS v, l_suppkey AS s, max(CASE l_returnflag WHEN 'A'
 
 
 def _packed(spark, sf_dir):
-    """Parts are variants, suppliers samples with two phenotypes."""
-    dose = F.max(F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0)).alias("g")
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("s")).agg(dose)
+    """Parts are variants, suppliers samples with two phenotypes; packing takes the largest dosage of a pair."""
+    dose = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0).alias("g")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("s"), dose)
     samples = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), "s_acctbal", "s_nationkey")
     return genotypes.pack_genotypes(rows, samples, "v", "s", "g", ["s_acctbal", "s_nationkey"])
 
